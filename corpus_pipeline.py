@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import rules, secrets, simhash
+from tidemark.llm import bpe, mixing, rules, secrets, simhash
 from tidemark.llm.shared import documents, new_path
 
 
@@ -23,7 +24,29 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact_secrets(docs)
 
 
-STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("secret scan", secret_scan)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in an order that gives every source its share."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (unsigned 32-bit, little-endian), their number, and a digest of what they decode to."""
+    decoded = bpe.decode_documents(bpe.encode_documents(docs))
+    return decoded.select(
+        "doc_id",
+        "ids",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("simhash near-dedup", near_dedup),
+    ("secret scan", secret_scan),
+    ("mixing sources to target weights", mix_sources),
+    ("bpe encoding and decoding", encode),
+]
 
 #: XXH64 fingerprints and byte-pair encoding can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules, secrets, simhash
+from . import bpe, mixing, rules, secrets, simhash
 from .shared import documents
 
 
@@ -14,6 +14,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_report(documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_report(documents(spark, sf_dir))
 
@@ -25,7 +33,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op6_simhash, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op5_mixing, op6_simhash, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
