@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, rules, secrets, simhash
+from . import bpe, mixing, rules, secrets, simhash, tokenfile
 from .shared import documents
 
 
@@ -32,8 +32,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op5_mixing, op6_simhash, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op5_mixing, op6_simhash, op7_quality_rules, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
