@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, rules, secrets, simhash, tokenfile
-from .shared import documents
+from . import bpe, crf, mixing, rules, secrets, simhash, tokenfile, toxicity
+from .shared import documents, labels
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_report(documents(spark, sf_dir))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -36,8 +40,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_report(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op5_mixing, op6_simhash, op7_quality_rules, op8_token_files)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_line_crf, op5_mixing, op6_simhash, op7_quality_rules, op8_token_files, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
