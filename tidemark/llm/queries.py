@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, mixing, rules, secrets, simhash, tokenfile, toxicity
+from . import bpe, crf, licenses, media, mixing, rules, secrets, simhash, tokenfile, toxicity
 from .shared import documents, labels
 
 
@@ -22,6 +22,10 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -40,12 +44,28 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_report(documents(spark, sf_dir))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_line_crf, op5_mixing, op6_simhash, op7_quality_rules, op8_token_files, op10_toxicity)}
+    every = (
+        op1_secret_scan,
+        op2_bpe,
+        op3_line_crf,
+        op4_media_columns,
+        op5_mixing,
+        op6_simhash,
+        op7_quality_rules,
+        op8_token_files,
+        op9_license_scan,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
