@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding, with tree concatenation for long texts.
 
-A vocabulary file is read once in each Python worker. Short texts are cut where the vocabulary's
-splitting rule is certain to cut (between a non-space and the space after it), and each distinct
-piece is encoded by the library once in a worker.
+A vocabulary file is read once in each Python worker. The merges run in tiktoken, whose ranks are made
+from the file: a merge's rank is the id of the token that it makes, which is how these vocabularies
+are numbered. Tests hold the ids against the tokenizers library.
 
 A long text is cut into leaves anywhere, even inside a word. The leaves are rows of their own, so
 tasks encode them in parallel; then neighbours are joined level by level. At each join a window around
@@ -20,10 +20,10 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,20 +32,21 @@ from .shared import by_batch, id_text
 
 #: Characters of a leaf; longer texts are cut.
 LEAF = 16_384
-#: A worker's cache of pieces is emptied beyond this size.
-PIECES = 600_000
+#: A worker's cache of words is emptied beyond this size.
+WORDS = 400_000
+#: Characters or bytes of texts that are split at a time.
+GROUP = 1 << 20
 #: Characters searched for a certain boundary on either side of a join, at first and at most.
 NEAR, FAR = 64, 4096
 
+#: Letters in every version of Unicode, which no normal form changes.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_SPACE = r" \t\n\r"
-#: Characters that are, or in some Unicode version were, white space besides these four.
-_ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
-#: White space with the word after it; a word of letters ends before an ASCII character that is none.
-_PIECE = re.compile(rf"[{_SPACE}]*(?:[{_LETTER}]++(?![^\x00-\x7f])|[^{_SPACE}]+)|[{_SPACE}]+\Z")
+#: The byte-level splitting rule, and how a vocabulary file states it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Where the splitting rule cuts whatever stands around: after letters, after digits, and after
 #: punctuation before a space or a digit.
-_SURE = re.compile(rf"(?<=[{_LETTER}])(?=[\x00-@\[-`{{-\x7f])|(?<=[0-9])(?=[\x00-/:-\x7f])|(?<=[!-/:-@\[-`{{-~])(?=[{_SPACE}0-9])")
+_SURE = re.compile(rf"(?<=[{_LETTER}])(?=[\x00-@\[-`{{-\x7f])|(?<=[0-9])(?=[\x00-/:-\x7f])|(?<=[!-/:-@\[-`{{-~])(?=[ \t\n\r0-9])")
 
 
 def vocabulary_path(name: str) -> str:
@@ -57,84 +58,51 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte of every character that byte-level vocabularies write: printable ones stand for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+@lru_cache(4)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of every token of a byte-level vocabulary, by id."""
+    with open(path, encoding="utf-8") as file:
+        read = json.load(file)
+    alphabet = byte_alphabet()
+    known = {i: bytes(alphabet[c] for c in token) for token, i in read["model"]["vocab"].items()}
+    known |= {t["id"]: t["content"].encode() for t in read["added_tokens"]}
+    return [known.get(i, b"") for i in range(max(known) + 1)]
+
+
+def decode(ids: bytes, path: str) -> str:
+    """What the library's decode gives without skipping special tokens."""
+    return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
 class Encoder:
-    """A byte-level vocabulary, with a cache of pieces; ids are little-endian unsigned 32-bit numbers."""
+    """A byte-level vocabulary; ids are little-endian unsigned 32-bit numbers."""
 
     def __init__(self, name: str):
-        with open(vocabulary_path(name), encoding="utf-8") as file:
-            added = json.load(file)["added_tokens"]
-        self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.special = [t["content"] for t in added]
-        self.bytes = self._token_bytes({t["id"]: t["content"] for t in added})
+        path = vocabulary_path(name)
+        with open(path, encoding="utf-8") as file:
+            read = json.load(file)
+        if read["normalizer"] or read["pre_tokenizer"] != BYTE_LEVEL:
+            raise ValueError(f"{name} isn't a plain byte-level vocabulary")
+        alphabet = byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in read["model"]["vocab"].items()}
+        special = {t["content"]: t["id"] for t in read["added_tokens"]}
+        self.core = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        self.special = list(special)
+        self.bytes = token_bytes(path)
         self.sizes = np.array([len(b) for b in self.bytes])
-        self.pieces: dict[str, bytes] = {}
-        #: By the text between two spaces: the ids of a space and that text. None: not to be cut there.
-        self.spaced: dict[str, bytes | None] = {}
-
-    def _token_bytes(self, added: dict[int, str]) -> list[bytes]:
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: printable ones stand for themselves
-        alphabet = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        out = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            out[i] = added[i].encode() if i in added else bytes(alphabet[c] for c in token)
-        return out
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        """Texts in any shape, each cut by expression."""
-        cut = [[t] if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        if new := list({p for ps in cut for p in ps} - self.pieces.keys()):
-            if len(self.pieces) + len(new) > PIECES:
-                self.pieces.clear()
-                new = list({p for ps in cut for p in ps})
-            self.pieces.update(zip(new, self._library(new), strict=True))
-        return [b"".join(map(self.pieces.__getitem__, ps)) for ps in cut]
-
-    @staticmethod
-    def _cuttable(piece: str) -> bool:
-        """Whether the rule cuts between this piece and a space after it."""
-        return piece != "" and piece[-1] not in " \t\n\r" and not _ODD_SPACE.search(piece)
+    def encode(self, text: str) -> np.ndarray:
+        """What the library gives; special tokens in the text count as such."""
+        return self.core.encode_to_numpy(text, allowed_special="all")
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """What the library gives for each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        split = [t.split(" ") for t in texts]
-        get, new, open_ = self.spaced.get, set(), []
-        for i, pieces in enumerate(split):
-            found = list(map(get, pieces[1:]))
-            if None in found:
-                new.update(p for p, f in zip(islice(pieces, 1, None), found, strict=True) if f is None and p not in self.spaced)
-                open_.append(i)
-            elif not pieces[0] or self._cuttable(pieces[0]) or len(pieces) == 1:
-                out[i] = b"".join(found)
-            else:
-                open_.append(i)
-        if new:
-            good = [p for p in new if self._cuttable(p)]
-            fresh = dict.fromkeys(new) | dict(zip(good, self._plain([" " + p for p in good]), strict=True))
-            if len(self.spaced) + len(fresh) > PIECES:
-                self.spaced = {}
-            self.spaced.update(fresh)
-            for i in open_:
-                found = list(map(self.spaced.get, split[i][1:]))
-                if None not in found and (not split[i][0] or self._cuttable(split[i][0])):
-                    out[i] = b"".join(found)
-        first = [i for i, o in enumerate(out) if o is not None]
-        for i, head in zip(first, self._plain([split[i][0] for i in first]), strict=True):
-            out[i] = head + out[i]
-        rest = [i for i, o in enumerate(out) if o is None]
-        for i, ids in zip(rest, self._plain([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        """What the library's decode gives without skipping special tokens."""
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return [self.encode(t).tobytes() for t in texts]
 
     def leaves(self, text: str, leaf: int = LEAF) -> list[str]:
         """``text`` cut into halves of halves of at most ``leaf`` characters, never inside a special token."""
@@ -162,7 +130,7 @@ class Encoder:
             end = self._sure_after(back[-1:] + ahead, len(back[-1:]), ids_b, whole_b)
             if start is not None and end is not None:
                 (keep, at), (drop, to) = start, end
-                middle = np.frombuffer(self._plain([(back + ahead)[at : len(back) + to]])[0], "<u4")
+                middle = self.encode((back + ahead)[at : len(back) + to])
                 return (a + b, np.concatenate([ids_a[:keep], middle, ids_b[drop:]]))
             if reach >= FAR and (joined := self._in_run(a, ids_a, b, ids_b)) is not None:
                 return (a + b, joined)
@@ -206,7 +174,7 @@ class Encoder:
                 continue
             if not window.isalpha():
                 return None
-            middle = np.array(self.tokenizer.encode(window, add_special_tokens=False).ids, "<u4")
+            middle = self.encode(window)
             if middle[0] == ids_a[i] and middle[-1] == ids_b[j - 1]:
                 return np.concatenate([ids_a[:i], middle, ids_b[j:]])
             n *= 2
@@ -220,47 +188,86 @@ class Encoder:
 
 
 class WordEncoder:
-    """A vocabulary that drops white space: every word between ASCII white space is encoded on its own.
+    """A vocabulary that lower-cases and drops white space: every word between ASCII white space is encoded on its own.
 
     Normalization and splitting act within a word, so a word gives the same ids wherever it stands. Words
-    are looked up first; new ones are cut after their letters, where the splitting rule always cuts.
+    are looked up first. New ones of printable ASCII and Latin letters, which no normal form changes, are
+    split by expression and merged together: a character that no word has ends each part, so that a
+    token with it is the vocabulary's token at a word's end. All other words go to the library.
     """
 
-    _PART = re.compile(rf"[{_LETTER}]++(?![^\x00-\x7f])|.+", re.S)
+    _PLAIN = re.compile(rf"[!-~{_LETTER}]+")
+    _PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+    _END = "\0"
 
     def __init__(self, name: str):
-        self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
+        path = vocabulary_path(name)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        with open(path, encoding="utf-8") as file:
+            read = json.load(file)
+        if [n["type"] for n in read["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or read["model"]["end_of_word_suffix"] != "</w>":
+            raise ValueError(f"{name} isn't a vocabulary of lower-case words")
+        alphabet, end = byte_alphabet(), self._END.encode()
+        ranks = {}
+        for token, i in read["model"]["vocab"].items():
+            body = token.removesuffix("</w>")
+            ranks[bytes(alphabet[c] for c in body) + end * (body != token)] = i
+        self.core = tiktoken.Encoding(name, pat_str=f"[^{self._END}]+{self._END}", mergeable_ranks=ranks, special_tokens={})
+        self.last = np.zeros(max(ranks.values()) + 1, bool)
+        self.last[[i for b, i in ranks.items() if len(b) > 1 and b.endswith(end)]] = True
+        self.special = [t["content"] for t in read["added_tokens"]]
         #: Bytes that hold any id.
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        cut = [self._PART.findall(w.decode()) for w in words]
-        if new := list({p for ps in cut for p in ps} - self.parts.keys()):
-            if len(self.parts) + len(new) > PIECES:
-                self.parts.clear()
-                new = list({p for ps in cut for p in ps})
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.parts.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        return [b"".join(map(self.parts.__getitem__, ps)) for ps in cut]
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, parts, count, other = [], [], [], []
+        for word in words:
+            text = word.decode()
+            if self._PLAIN.fullmatch(text) and "İ" not in text and not any(s in text for s in self.special):
+                cut = self._PART.findall(text.lower())
+                plain.append(word)
+                parts += cut
+                count.append(len(cut))
+            else:
+                other.append(word)
+        out = {}
+        if plain:
+            ids = self.core.encode_to_numpy(self._END.join([*parts, ""]))
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)[np.cumsum(count) - 1]
+            raw = ids.tobytes()
+            out = {w: raw[a:b] for w, a, b in zip(plain, [0, *ends.tolist()], ends.tolist(), strict=False)}
+        if other:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+            out |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(other, found, strict=True)}
+        return out
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """What the library gives for each text in UTF-8, as unsigned 32-bit little-endian ids."""
+        return in_groups(self._encode_group, texts)
+
+    def _encode_group(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        out = [list(map(self.words.get, ws)) for ws in split]
-        open_ = [i for i, found in enumerate(out) if None in found]
-        if open_:
-            new = list({w for i in open_ for w, f in zip(split[i], out[i], strict=True) if f is None})
-            fresh = dict(zip(new, self._encode(new), strict=True))
-            for i in open_:
-                out[i] = [fresh[w] if f is None else f for w, f in zip(split[i], out[i], strict=True)]
-            if len(self.words) + len(fresh) > PIECES:
+        new = {w for ws in split for w in ws} - self.words.keys()
+        if new:
+            if len(self.words) + len(new) > WORDS:
                 self.words.clear()
-            self.words.update(fresh)
-        return [b"".join(found) for found in out]
+                new = {w for ws in split for w in ws}
+            self.words.update(self._new(list(new)))
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+
+
+def in_groups(encode_group, texts: list) -> list[bytes]:
+    """``encode_group`` of the texts, about GROUP characters at a time: split texts take many times their size."""
+    out, first, size = [], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP:
+            out += encode_group(texts[first : k + 1])
+            first, size = k + 1, 0
+    return out + encode_group(texts[first:])
 
 
 @lru_cache(4)
@@ -326,10 +333,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json")
     """doc_id, ids and the text that ``ids`` stand for."""
     schema = _IDS.append(pa.field("decoded", pa.string()))
 
-    def decode(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch["doc_id"], "ids": batch["ids"], "decoded": [encoder(vocabulary).decode(i) for i in batch["ids"].to_pylist()]}
+    def make(batch: pa.RecordBatch) -> dict:
+        path = vocabulary_path(vocabulary)
+        return {"doc_id": batch["doc_id"], "ids": batch["ids"], "decoded": [decode(i, path) for i in batch["ids"].to_pylist()]}
 
-    return encoded.select("doc_id", "ids").mapInArrow(by_batch(decode, schema), "doc_id long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(by_batch(make, schema), "doc_id long, ids binary, decoded string")
 
 
 def encoding_report(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
