@@ -39,8 +39,8 @@ GROUP = 1 << 20
 #: Characters searched for a certain boundary on either side of a join, at first and at most.
 NEAR, FAR = 64, 4096
 
-#: Letters in every version of Unicode, which no normal form changes.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Letters in every version of Unicode, which no normal form changes and whose lower case is one letter.
+_LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: The byte-level splitting rule, and how a vocabulary file states it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -196,8 +196,8 @@ class WordEncoder:
     token with it is the vocabulary's token at a word's end. All other words go to the library.
     """
 
-    _PLAIN = re.compile(rf"[!-~{_LETTER}]+")
-    _PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+    _PLAIN = re.compile(rf"[\n!-~{_LETTER}]*")
+    _PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\n|[^\n{_LETTER}0-9]+")
     _END = "\0"
 
     def __init__(self, name: str):
@@ -215,34 +215,25 @@ class WordEncoder:
             body = token.removesuffix("</w>")
             ranks[bytes(alphabet[c] for c in body) + end * (body != token)] = i
         self.core = tiktoken.Encoding(name, pat_str=f"[^{self._END}]+{self._END}", mergeable_ranks=ranks, special_tokens={})
-        self.last = np.zeros(max(ranks.values()) + 1, bool)
-        self.last[[i for b, i in ranks.items() if len(b) > 1 and b.endswith(end)]] = True
+        self.line = ranks[b"\n" + end]
         self.special = [t["content"] for t in read["added_tokens"]]
         #: Bytes that hold any id.
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.words: dict[bytes, bytes] = {}
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain, parts, count, other = [], [], [], []
-        for word in words:
-            text = word.decode()
-            if self._PLAIN.fullmatch(text) and "İ" not in text and not any(s in text for s in self.special):
-                cut = self._PART.findall(text.lower())
-                plain.append(word)
-                parts += cut
-                count.append(len(cut))
-            else:
-                other.append(word)
-        out = {}
-        if plain:
-            ids = self.core.encode_to_numpy(self._END.join([*parts, ""]))
-            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)[np.cumsum(count) - 1]
-            raw = ids.tobytes()
-            out = {w: raw[a:b] for w, a, b in zip(plain, [0, *ends.tolist()], ends.tolist(), strict=False)}
-        if other:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-            out |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(other, found, strict=True)}
-        return out
+        """Words are merged one a line; lines end where the token of a line's end is."""
+        text = b"\n".join([*words, b""]).decode()
+        if self._PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            ids = self.core.encode_to_numpy(self._END.join([*self._PART.findall(text.lower()), ""]))
+            ends, raw = (4 * np.flatnonzero(ids == self.line)).tolist(), ids.tobytes()
+            return {w: raw[a + 4 : b] for w, a, b in zip(words, [-4, *ends], ends, strict=False)}
+        texts = {w: w.decode() for w in words}
+        plain = [w for w, t in texts.items() if self._PLAIN.fullmatch(t) and not any(s in t for s in self.special)]
+        other = list(texts.keys() - set(plain))
+        found = self.tokenizer.encode_batch_fast([texts[w] for w in other], add_special_tokens=False)
+        out = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(other, found, strict=True)}
+        return out | self._new(plain) if plain else out
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """What the library gives for each text in UTF-8, as unsigned 32-bit little-endian ids."""
@@ -250,13 +241,17 @@ class WordEncoder:
 
     def _encode_group(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = {w for ws in split for w in ws} - self.words.keys()
+        found = [list(map(self.words.get, ws)) for ws in split]
+        new = {w for ws, ids in zip(split, found, strict=True) if None in ids for w, i in zip(ws, ids, strict=True) if i is None}
         if new:
-            if len(self.words) + len(new) > WORDS:
+            fresh = self._new(list(new))
+            for k, ids in enumerate(found):
+                if None in ids:
+                    found[k] = [fresh[w] if i is None else i for w, i in zip(split[k], ids, strict=True)]
+            if len(self.words) + len(fresh) > WORDS:
                 self.words.clear()
-                new = {w for ws in split for w in ws}
-            self.words.update(self._new(list(new)))
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+            self.words.update(fresh)
+        return [b"".join(ids) for ids in found]
 
 
 def in_groups(encode_group, texts: list) -> list[bytes]:
