@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What is redacted, and with what.
 REDACTED = "[REDACTED]"
@@ -23,7 +24,7 @@ def redacted(value: Column, secrets: list[str] = ()) -> Column:
     return F.regexp_replace(value, BEARER, f"$1{REDACTED}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -211,12 +211,12 @@ def a28(spark, sf_dir):
 
 @query(
     "w8_recent_frames",
-    "WITH f AS (SELECT event_type AS kind, event_id AS i, epoch_ms(ts) / 1000.0 AS moment FROM events), d AS (SELECT *, moment - lag(moment) OVER (PARTITION BY kind ORDER BY moment, i) AS delta, min(moment) OVER (PARTITION BY kind) AS start FROM f) "
-    "SELECT kind, i, round(delta, 3) AS delta, round(avg(delta) OVER (PARTITION BY kind ORDER BY moment, i ROWS BETWEEN 899 PRECEDING AND CURRENT ROW), 4) AS mean FROM d WHERE moment - start >= 5000 AND delta < 900",
+    "WITH f AS (SELECT event_type AS kind, event_id AS i, epoch_us(ts) AS moment FROM events), d AS (SELECT *, moment - lag(moment) OVER (PARTITION BY kind ORDER BY moment, i) AS delta, min(moment) OVER (PARTITION BY kind) AS start FROM f) "
+    "SELECT kind, i, delta, round(avg(delta) OVER (PARTITION BY kind ORDER BY moment, i ROWS BETWEEN 899 PRECEDING AND CURRENT ROW), 4) AS mean FROM d WHERE moment - start >= 5000000 AND delta < 900000000",
 )
 def w8(spark, sf_dir):
-    frames = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("i"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0).alias("at"))
-    return layout.recent_frames(frames, 5000, 900, 900).select("kind", "i", F.round("delta", 3).alias("delta"), F.round("mean", 4).alias("mean"))
+    frames = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("i"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return layout.recent_frames(frames, 5_000_000, 900_000_000, 900).select("kind", "i", "delta", F.round("mean", 4).alias("mean"))
 
 
 @query("f26_pseudo_random", "SELECT p_partkey AS i, round(x - floor(x), 5) AS r FROM (SELECT p_partkey, sin(p_partkey * 12.9898::DOUBLE + 78.233) * 43758.5453 AS x FROM part)")

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,15 +146,16 @@ def read_archive(spark: SparkSession, path: str, max_lines: int = MAX_LINES, max
     A file that breaks off keeps the records before the break and adds a parse-error after them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(path)
-    names = [c.split()[0] for c in RECORD.split(", ")]
+    kinds = {"timestamp": pa.timestamp("us", "UTC"), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RECORD.split(", ")])
 
     def read(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 found = _FILE.search(name)
                 if not found:
                     continue
-                hour, rows = pd.Timestamp(f"{found[1]} {int(found[2]):02d}:00:00"), []
+                hour, rows = datetime.fromisoformat(f"{found[1]}T{int(found[2]):02d}:00:00+00:00"), []
                 last = 0
                 try:
                     with gzip.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace", newline="\n") as file:
@@ -162,15 +163,16 @@ def read_archive(spark: SparkSession, path: str, max_lines: int = MAX_LINES, max
                             last = record.get("line_end") or record["line"]
                             rows.append(columns(record) | {"hour": hour})
                             if len(rows) >= 10_000:
-                                yield pd.DataFrame(rows).reindex(columns=names)
+                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
                                 rows = []
                 except (OSError, EOFError) as error:
                     rows.append({"kind": "parse-error", "line": last + 1, "message": str(error), "hour": hour})
-                yield pd.DataFrame(rows, columns=names)
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", "content").mapInPandas(read, RECORD)
+    return files.select("path", "content").mapInArrow(read, RECORD)
 
 
-def metadata_readme(content: Column, encoding: Column) -> Column:
-    """The text of a base-64 README; null for another encoding or bytes that aren't text."""
-    return F.when(encoding == "base64", F.try_validate_utf8(F.expr("cast(try_to_binary(regexp_replace({}, '\\\\s', ''), 'base64') as string)".format("content"))))
+def readme_text(content: Column, encoding: Column) -> Column:
+    """The text of a base-64 README; null for another encoding or content that isn't base 64 of UTF-8."""
+    raw = F.try_to_binary(F.regexp_replace(content, r"\s", ""), F.lit("base64"))
+    return F.when(encoding == "base64", F.try_validate_utf8(raw.cast("string")))
