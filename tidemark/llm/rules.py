@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_batch, saved
+from .shared import by_batch, saved, small_batches
 
 #: Metric -> (counted, of, least threshold in per mille). Below the least threshold a ratio is never a fault.
 METRICS = {
@@ -90,7 +90,7 @@ def count_documents(docs: DataFrame) -> DataFrame:
         found = [counts(t) for t in batch["text"].to_pylist()]
         return {c: batch[c] for c in ("doc_id", "lang", "source")} | dict(zip(COUNTS, zip(*found, strict=True), strict=True))
 
-    given = docs.select(
+    given = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
@@ -193,3 +193,46 @@ def keep_quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
             yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type]).filter(pa.array(kept, pa.bool_()))
 
     return joined.select("row", *(f"most_{m}" for m in METRICS)).mapInArrow(keep, docs.schema)
+
+
+def _quantile_sql(name: str, keys: list[str]) -> str:
+    """Total, median and upper quartile of merged sketches, as ``_quantiles`` gives them."""
+    by = ", ".join([*keys, "metric"])
+    return f"""
+{name} AS (
+    SELECT {by}, max(total) AS total, min(bucket) FILTER (below * 2 >= total) AS median, min(bucket) FILTER (below * 4 >= total * 3) AS upper
+    FROM (
+        SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
+        FROM (SELECT {by}, bucket, sum(n) AS n FROM sketches GROUP BY {by}, bucket))
+    GROUP BY {by})"""
+
+
+#: The verdicts in DuckDB's SQL.
+ORACLE_SQL = f"""
+WITH given AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+split AS (
+    SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS lines FROM given),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i : i + {WINDOW - 1}], ' ')) AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM split)),
+repeated AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM windows JOIN (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1) USING (doc_id, w))
+    GROUP BY doc_id),
+counted AS (
+    SELECT s.doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper
+    FROM split s LEFT JOIN repeated r USING (doc_id)),
+ratios AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {a} * 1000 // greatest({b}, 1) AS v, {t} AS least_ FROM counted" for m, (a, b, t) in METRICS.items())}),
+bucketed AS (SELECT *, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS bucket FROM ratios),
+sketches AS (SELECT lang, source, metric, bucket, count(*) AS n FROM bucketed GROUP BY ALL),
+{_quantile_sql("own", ["lang", "source"])}, {_quantile_sql("language", ["lang"])}, {_quantile_sql("every", [])},
+chosen AS (
+    SELECT o.lang, o.source, o.metric, CASE WHEN o.total >= {MIN_GROUP} THEN o.median WHEN l.total >= {MIN_GROUP} THEN l.median ELSE e.median END AS median,
+        CASE WHEN o.total >= {MIN_GROUP} THEN o.upper WHEN l.total >= {MIN_GROUP} THEN l.upper ELSE e.upper END AS upper
+    FROM own o JOIN language l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN every e ON o.metric = e.metric),
+passed AS (
+    SELECT doc_id, bool_and(v <= greatest(c.upper + {REACH} * (c.upper - c.median), least_)) AS passes
+    FROM ratios r JOIN chosen c ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source AND r.metric = c.metric GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept
+FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted) JOIN passed USING (doc_id)
+"""
