@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_batch, id_text
+from .shared import by_batch, id_text, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -138,5 +138,5 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             texts = [t if t is None else masked(t, mask) for t in batch["text"].to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(redact, docs.schema)
+    out = small_batches(docs).mapInArrow(redact, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators of the contracts: space and the code points 9 to 13. ``bytes.split()`` cuts at exactly these.
-SEPARATORS = b" \t\n\x0b\x0c\r"
+from ..scratch import dropped, new_path, saved, shared_dir
+
+__all__ = ["by_batch", "documents", "dropped", "fold", "id_text", "labels", "new_path", "saved", "shared_dir", "small_batches"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,42 +21,21 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under ``spark.checkpoint.dir``, which driver and executors share.
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, and Arrow batches of a size that suits texts: Python tasks hold a few of them.
 
-    Only where the setting is missing (tests, local mode) is a local folder made and set.
+    Spark's own sizes suit rows of numbers; settings that a user has changed stay.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and no longer tied to its lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table from ``saved`` that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    conf = df.sparkSession.conf
+    for key, usual, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", str(4 << 20))):
+        if conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
+            conf.set(f"spark.sql.execution.arrow.{key}", own)
+    return df
 
 
 def id_text(docs: DataFrame) -> DataFrame:
     """The id and the text (null: empty), whatever other columns there are."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def fold(modulus: int) -> Column:
