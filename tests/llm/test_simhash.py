@@ -83,11 +83,22 @@ def test_dense_balls_and_chains(spark):
     classes = spark.createDataFrame(signed, "fp long, node long").groupBy("fp").agg(simhash.F.min("node").alias("node"))
     want = slow_components(prints)
     for bucket in (10_000, 8):
-        found = {r.node: r.component for r in simhash.star_components(simhash.links(classes, bucket)).collect()}
+        found = {r.node: r.component for r in simhash.components(simhash.links(classes, bucket)).collect()}
         for r in classes.collect():
             assert found.get(r.node, r.node) == want[r.node]
 
 
+def test_long_paths_and_hubs(spark):
+    rng = random.Random(9)
+    path = rng.sample(range(1000), 300)
+    pairs = list(zip(path, path[1:], strict=False)) + [(2000, 2000 + k) for k in range(1, 400)] + [(3000, 2400), (5001, 5000)]
+    edges = spark.createDataFrame([(max(p), min(p)) for p in pairs], "u long, v long")
+    want = {k: min(path) for k in path} | {k: 2000 for k in (*range(2000, 2400), 2400, 3000)} | {5000: 5000, 5001: 5000}
+    want[2400] = want[3000] = 2400  # not among the hub's nodes
+    got = {r.node: r.component for r in simhash.components(edges).collect()}
+    assert got == want
+
+
 def test_rows(spark):
     docs = spark.createDataFrame(
         [(9, None, 1), (4, "", 2), (7, "some words that are here to be read again", 3), (5, "Some words THAT are here to be read again", 4), (7, "some words that are here to be read again", 3), (None, "Some words that are here to be read again", 6), (None, "alone " * 9, 7)],

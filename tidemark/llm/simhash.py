@@ -9,8 +9,8 @@ missed. Positions are dealt evenly over the vectors, so each table keeps about h
 Equal fingerprints are one class before anything else. A bucket that holds too many classes is cut
 by a second covering of its free positions, after which about 48 positions are fixed and at most 2^17
 classes can exist, whatever the input. In a bucket, classes are joined by their exact distance, and
-only a spanning star of each local component is emitted; components over all buckets come from
-alternating large-star and small-star joins.
+only a spanning star of each local component is emitted; components over all buckets come from pointer
+doubling over written tables.
 """
 
 from __future__ import annotations
@@ -148,24 +148,39 @@ def links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return edges
 
 
-def star_components(edges: DataFrame) -> DataFrame:
-    """node, component: the smallest node that each node of ``edges`` (u > v) reaches; lone nodes have no row."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the smallest node that each node of ``edges`` (u > v) reaches; lone nodes have no row.
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    now = mark(edges)
-    while True:
+    Every node points at its smallest neighbour or itself, pointers are doubled until all point at roots,
+    and edges are carried over to the roots; again, until no edge is left. A node with very many neighbours
+    only meets them in a pre-aggregated minimum, and in joins of written tables, which Spark can split.
+    """
+    labels = None
+    while not edges.isEmpty():
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = saved(small.select("e.u", "e.v").filter("u > v").distinct(), "components")
+        roots = saved(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")), "pointers")
+        while True:
+            jump = roots.select(F.col("node").alias("at"), F.col("root").alias("further"))
+            further = saved(roots.join(jump, F.col("root") == F.col("at")).select("node", "root", "further"), "pointers")
+            done = further.filter("root <> further").isEmpty()
+            dropped(roots)
+            roots = further.select("node", F.col("further").alias("root"))
+            if done:
+                break
+        to = lambda name: roots.select(F.col("node").alias(f"{name}_"), F.col("root").alias(f"{name}_root"))
+        carried = edges.join(to("u"), F.col("u") == F.col("u_")).join(to("v"), F.col("v") == F.col("v_")).filter("u_root <> v_root")
+        carried = carried.select(F.greatest("u_root", "v_root").alias("u"), F.least("u_root", "v_root").alias("v"))
+        new = saved(carried.distinct(), "links")
+        if labels is None:
+            labels = roots
+        else:
+            moved = roots.select(F.col("node").alias("at"), F.col("root").alias("further"))
+            labels = saved(labels.join(moved, F.col("root") == F.col("at"), "left").select("node", F.coalesce("further", "root").alias("root")), "labels")
         dropped(edges)
-        edges, before, now = new, now, mark(new)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        edges = new
+    if labels is None:
+        labels = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return labels.select("node", F.col("root").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -178,7 +193,7 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     prints = saved(fingerprints(docs), "fingerprints")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), "classes")
-    found = star_components(links(classes, bucket))
+    found = components(links(classes, bucket))
     known = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
