@@ -1,6 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed n-grams.
 
-Words, neighbouring pairs, and pairs with one or two words between hash into 2^22 binary features.
+Words, neighbouring pairs, pairs with one or two words between, and word beginnings (an inflected word
+shares its beginning with forms that the sample lacks) hash into 2^22 binary features.
 The model learns from a bounded sample of labelled documents in one task. Features that fewer than
 INCLUDE of them have are left out; every other coordinate has its own learning rate, and the L1 penalty
 leaves a few hundred weights that are not zero, so the model that is sent to the tasks is small whatever
@@ -22,6 +23,8 @@ BITS = 22
 #: Labelled documents that the model learns from, about (chosen by a hash of the id), and passes over them.
 SAMPLE, EPOCHS = 8000, 10
 INCLUDE = 6
+#: Bytes of a word's beginning.
+PREFIXES = (5, 7)
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 1.0
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -38,6 +41,9 @@ def features(raw: bytes) -> np.ndarray:
     for gap in (1, 2, 3):
         if len(h) > gap:
             mixed.append((h[:-gap] * _MIX[gap]) ^ (h[gap:] * _MIX[4] + np.uint64(gap)))
+    for n in PREFIXES:
+        start = np.fromiter((zlib.crc32(w[:n]) for w in words), np.uint64, len(words)) + np.uint64(n)
+        mixed.append(start * _MIX[2] + np.uint64(n))
     every = np.concatenate(mixed) * _MIX[1]
     return (every >> np.uint64(64 - BITS)).astype(np.int64)
 
