@@ -25,12 +25,21 @@ def normalized(value: Column, lexicon: Lexicon) -> Column:
     text = F.regexp_replace(text, r"[_/\s]+", "-")
     text = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9-]", ""), "-+", "-")
     text = F.regexp_replace(text, r"^-|-\z", "")
-    out = text
-    for alias, keyword in lexicon.aliases.items():
-        out = F.when(text == alias, keyword).otherwise(out)
+    return aliased(text, lexicon)
+
+
+def aliased(keyword: Column, lexicon: Lexicon) -> Column:
+    out = keyword
+    for alias, known in lexicon.aliases.items():
+        out = F.when(keyword == alias, known).otherwise(out)
     return out
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def searchable(text: Column) -> Column:
     """Camel case split, lower case, links gone, underscores and slashes as hyphens."""
     text = F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1-$2"))
@@ -47,8 +56,9 @@ def phrases(text: Column, lexicon: Lexicon) -> Column:
     return F.concat(*found) if found else F.array().cast("array<string>")
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
+def tokens(text: Column, lexicon: Lexicon) -> Column:
+    """The keywords of a searchable text's tokens: a token is a normal form already, but for aliases."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda w: aliased(w, lexicon))
 
 
 def is_signal(keyword: Column, lexicon: Lexicon) -> Column:
@@ -58,8 +68,9 @@ def is_signal(keyword: Column, lexicon: Lexicon) -> Column:
 def is_compound(keyword: Column, lexicon: Lexicon) -> Column:
     """Two or three parts of two letters or more, none a stopword, the first ``ai`` or one an anchor."""
     parts = F.split(keyword, "-")
-    good = F.forall(parts, lambda p: (F.length(p) >= 2) & ~p.rlike("[0-9]") & ~p.isin(*lexicon.stopwords))
-    return F.size(parts).between(2, 3) & good & ((parts[0] == "ai") | F.arrays_overlap(parts, _words(lexicon.anchors)))
+    anchored = (parts[0] == "ai") | F.arrays_overlap(parts, _words(lexicon.anchors))
+    good = F.forall(parts, lambda p: (F.length(p) >= 2) & ~p.isin(*lexicon.stopwords))
+    return keyword.contains("-") & ~keyword.rlike("[0-9]") & F.size(parts).between(2, 3) & anchored & good
 
 
 def is_modifier(keyword: Column, lexicon: Lexicon) -> Column:
@@ -75,14 +86,14 @@ def bigrams(words: Column, lexicon: Lexicon) -> Column:
     """modifier-suffix for every modifier that a flexible suffix follows."""
     pairs = F.zip_with(words, F.concat(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(F.lit(""))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     good = F.filter(pairs, lambda p: is_modifier(p["a"], lexicon) & p["b"].isin(*lexicon.suffixes))
-    return F.transform(good, lambda p: normalized(F.concat_ws("-", p["a"], p["b"]), lexicon))
+    return F.transform(good, lambda p: aliased(F.concat_ws("-", p["a"], p["b"]), lexicon))
 
 
 def text_keywords(text: Column, lexicon: Lexicon) -> Column:
     """All keywords of a text, with repeats: a hyphenated phrase counts as phrase and as token."""
     found = searchable(F.coalesce(text, F.lit("")))
-    words = F.transform(tokens(found), lambda w: normalized(w, lexicon))
-    return F.filter(F.concat(phrases(found, lexicon), token_keywords(words, lexicon), bigrams(words, lexicon)), lambda k: k != "")
+    each = let(found, lambda t: F.concat(phrases(t, lexicon), let(tokens(t, lexicon), lambda ws: F.concat(token_keywords(ws, lexicon), bigrams(ws, lexicon)))))
+    return F.filter(each, lambda k: k != "")
 
 
 def topic_keywords(topics: Column, lexicon: Lexicon) -> Column:

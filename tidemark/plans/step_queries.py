@@ -113,7 +113,7 @@ def f6(spark, sf_dir):
 @query("f9_compounds", tq._OBSERVED + f"SELECT w, count(*) AS n FROM words WHERE {tq._COMPOUND} GROUP BY w")
 def f9(spark, sf_dir):
     texts = tq.entities(spark, sf_dir).select(F.explode(F.array("description", F.substring("readme", 1, tq.LEXICON.readme_limit))).alias("t"))
-    words = F.transform(keywords.tokens(keywords.searchable(F.coalesce("t", F.lit("")))), lambda w: keywords.normalized(w, tq.LEXICON))
+    words = keywords.tokens(keywords.searchable(F.coalesce("t", F.lit(""))), tq.LEXICON)
     return texts.select(F.explode(words).alias("w")).filter(keywords.is_compound(F.col("w"), tq.LEXICON)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keywords
 from ..functions.lexicon import Lexicon
 from ..operators import topics
+from ..scratch import saved
 from .registry import query, table
 
 #: The documents are invented syllables, so signals are words that do occur.
@@ -102,7 +103,9 @@ def related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.primary_communities(observed(spark, sf_dir), related(spark, sf_dir), LEXICON)
+    seen = saved(observed(spark, sf_dir), "observed")  # read three times
+    found = topics.relevance(entities(spark, sf_dir), seen, LEXICON).filter("decision = 'ai-related'")
+    return topics.primary_communities(seen, found.select("id"), LEXICON)
 
 
 @query("f5_normalize", f"SELECT doc_id, {_normal('substr(text, 1, 90)')} AS keyword FROM documents")
@@ -113,7 +116,7 @@ def f5(spark, sf_dir):
 @query("f8_tokens", _OBSERVED + "SELECT w AS token, count(*) AS n FROM words GROUP BY w")
 def f8(spark, sf_dir):
     texts = entities(spark, sf_dir).select(F.explode(F.array("description", F.substring("readme", 1, LEXICON.readme_limit))).alias("t"))
-    words = F.transform(keywords.tokens(keywords.searchable(F.coalesce("t", F.lit("")))), lambda w: keywords.normalized(w, LEXICON))
+    words = keywords.tokens(keywords.searchable(F.coalesce("t", F.lit(""))), LEXICON)
     return texts.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,8 +137,8 @@ def f7(spark, sf_dir):
 @query("f10_bigrams", _OBSERVED + f"SELECT id, {_normal(chr(119) + ' || ' + chr(39) + '-' + chr(39) + ' || next')} AS keyword, count(*) AS n FROM paired WHERE regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({_list(LEXICON.stopwords | LEXICON.generic | LEXICON.anchors)}) AND next IN ({_list(LEXICON.suffixes)}) GROUP BY ALL")
 def f10(spark, sf_dir):
     texts = entities(spark, sf_dir).select("id", F.explode(F.array("description", F.substring("readme", 1, LEXICON.readme_limit))).alias("t"))
-    words = F.transform(keywords.tokens(keywords.searchable(F.coalesce("t", F.lit("")))), lambda w: keywords.normalized(w, LEXICON))
-    return texts.select("id", F.explode(keywords.bigrams(words, LEXICON)).alias("keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    words = keywords.tokens(keywords.searchable(F.coalesce("t", F.lit(""))), LEXICON)
+    return texts.select("id", F.explode(keywords.let(words, lambda ws: keywords.bigrams(ws, LEXICON))).alias("keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a14_observations", _OBSERVED + "SELECT * FROM observed")
