@@ -1,0 +1,65 @@
+"""Sketch-led cut-offs (op7_sketch_rules), against brute force and on made-up groups."""
+
+import random
+
+from tests.llm.test_rules import quantile
+from tidemark.llm import queries, rules
+
+
+def cut_off(values, metric, times=1):
+    kept = [v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0) for v in values]
+    share, reach = rules.HIGH[metric]
+    median, high = quantile(kept, 1, 2), quantile(kept, share, 100)
+    return high + times * reach * max(high - median, rules.SPREAD)
+
+
+def slow_sketch_verdicts(docs, min_group):
+    rows = []
+    for i, text, lang, source in docs:
+        c = dict(zip(rules.COUNTS, rules.counts((text or "").encode()), strict=True))
+        base = c["n_words"] >= 20 and 100 * c["n_repeat_words"] <= 30 * c["n_words"]
+        rows.append((i, lang, source, base, {m: c[a] * 1000 // max(c[b], 1) for m, (a, b, _) in rules.METRICS.items()}))
+    out, limits = {}, {}
+    for i, lang, source, base, ratios in rows:
+        for m in ratios if base else ():
+            if (lang, source, m) not in limits:
+                own = [r[4][m] for r in rows if r[3] and r[1:3] == (lang, source)]
+                language = [r[4][m] for r in rows if r[3] and r[1] == lang]
+                every = [r[4][m] for r in rows if r[3]]
+                most = bound = cut_off(every, m, 2)
+                near = cut_off(every, m)
+                if len(language) >= min_group:
+                    near, bound = min(cut_off(language, m), most), min(cut_off(language, m, 2), most)
+                limits[lang, source, m] = min(cut_off(own, m), bound) if len(own) >= min_group else near
+        out[i] = base and all(v <= limits[lang, source, m] for m, v in ratios.items())
+    return out
+
+
+def test_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    for least in (100, 15):
+        assert {r.doc_id: r.kept for r in rules.sketch_verdicts(docs, least).collect()} == slow_sketch_verdicts(given, least)
+    assert {r.doc_id: r.kept for r in queries.queries()["op7_sketch_rules"](spark, sf).collect()} == slow_sketch_verdicts(given, 100)
+    assert rules.sketch_verdicts(docs.limit(0)).count() == 0
+
+
+def text(k, capitals):
+    """40 words of 10 letters with ``capitals`` per mille of capital letters."""
+    letters = "".join(random.Random(k).choices("abcdefghij", k=400))
+    letters = letters[: capitals * 4 // 10].upper() + letters[capitals * 4 // 10 :]
+    return " ".join(letters[i : i + 10] for i in range(0, 400, 10))
+
+
+def test_the_sketch_decides(spark):
+    """200 per mille capitals are far over a norm of 20 and no fault where the source often has 100; junk doesn't raise its own cut."""
+    rows = [(100 + k, text(k, 20), "en", "plain") for k in range(400)] + [(1000 + k, text(k, 50 if k % 3 else 100), "en", "loud") for k in range(150)]
+    rows += [(2000 + k, text(k, 900 if k % 2 else 20), "en", "junk") for k in range(100)]
+    rows += [(1, text(1, 200), "en", "plain"), (2, text(2, 200), "en", "loud")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in rules.sketch_verdicts(docs).collect()}
+    assert not kept[1] and kept[2]
+    assert not any(kept[2000 + k] for k in range(1, 100, 2)) and all(kept[2000 + k] for k in range(0, 100, 2))
+    old = {r.doc_id: r.kept for r in rules.quality_verdicts(docs).collect()}
+    assert old[1]  # the floor of 400 keeps it

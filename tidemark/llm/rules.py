@@ -32,6 +32,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_GROUP = 100
 #: Fences: so many times the distance from the median to the upper quartile above the upper quartile.
 REACH = 3
+#: For ``sketch_thresholds``: metric -> (a high quantile, in hundredths; so many times its distance from the median is added).
+#: Faults that few documents of any source have (repeated lines and words) need a quantile further out.
+HIGH = {"symbols": (90, 3), "upper": (90, 3), "dup_lines": (99, 1), "repeats": (99, 1)}
+#: The least such distance, in per mille: for sketches whose high quantile and median agree.
+SPREAD = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], dtype=np.uint64)
 
@@ -121,8 +126,9 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Size, median and upper quartile of each group's sketch."""
+    """Size, median, upper quartile and high quantile of each group's sketch."""
     by = [*keys, "metric"]
+    high = F.create_map(*(F.lit(x) for m, (h, _) in HIGH.items() for x in (m, h)))[F.col("metric")]
     merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     below = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket"))
     total = F.sum("n").over(Window.partitionBy(*by))
@@ -130,7 +136,7 @@ def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return (
         merged.select(*by, "bucket", below.alias("below"), total.alias("total"))
         .groupBy(*by)
-        .agg(F.max("total").alias("total"), at(1, 2).alias("median"), at(3, 4).alias("upper"))
+        .agg(F.max("total").alias("total"), at(1, 2).alias("median"), at(3, 4).alias("upper"), at(high, 100).alias("high"))
     )
 
 
@@ -152,6 +158,41 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+
+
+def sketch_thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """As ``thresholds``, but without floors: a high quantile of the group plus some times its distance from the median.
+
+    Groups where the two (nearly) agree take SPREAD for that distance. No group's threshold is over what
+    its language's sketch, or that of all documents, gives for twice the reach, so a source full of junk
+    doesn't raise its own.
+    """
+    reach = F.create_map(*(F.lit(x) for m, (_, r) in HIGH.items() for x in (m, r)))[F.col("metric")]
+    cut = lambda q, times=1: F.col(f"{q}.high") + times * reach * F.greatest(F.col(f"{q}.high") - F.col(f"{q}.median"), F.lit(SPREAD))
+    level = lambda keys, name: _quantiles(sketch, keys).select(*(F.col(k).alias(f"{k}_{name}") for k in [*keys, "metric"]), F.struct("total", "median", "high").alias(name))
+    joined = (
+        level(["lang", "source"], "own")
+        .withColumnsRenamed({"lang_own": "lang", "source_own": "source", "metric_own": "metric"})
+        .join(level(["lang"], "language"), F.col("lang").eqNullSafe(F.col("lang_language")) & (F.col("metric") == F.col("metric_language")))
+        .join(level([], "every"), F.col("metric") == F.col("metric_every"))
+    )
+    spoken, most = F.col("language.total") >= min_group, cut("every", 2)
+    language = F.when(spoken, F.least(cut("language"), most)).otherwise(cut("every"))
+    bound = F.when(spoken, F.least(cut("language", 2), most)).otherwise(most)
+    chosen = F.when(F.col("own.total") >= min_group, F.least(cut("own"), bound)).otherwise(language)
+    return joined.select("lang", "source", "metric", chosen.alias("most")).groupBy("lang", "source").agg(
+        *(F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"most_{m}") for m in METRICS)
+    )
+
+
+def sketch_verdicts(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """``quality_verdicts`` with ``sketch_thresholds``, from sketches of the documents that pass the base rule."""
+    counted = saved(count_documents(docs), "counts")
+    return _verdicts(counted, sketch_thresholds(sketches(counted.filter(~base_failed())), min_group))
+
+
 def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row for each row of ``docs``: its counts, base_failed, its group's thresholds and ``kept``.
 
@@ -159,8 +200,11 @@ def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     rule and no ratio is over its group's threshold. No documents give no rows.
     """
     counted = saved(count_documents(docs), "counts")
-    limits = thresholds(sketches(counted), min_group).withColumnsRenamed({"lang": "lang_", "source": "source_"})
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    return _verdicts(counted, thresholds(sketches(counted), min_group))
+
+
+def _verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    limits, failed = limits.withColumnsRenamed({"lang": "lang_", "source": "source_"}), base_failed()
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
     passes = ~failed
     for m in METRICS:
