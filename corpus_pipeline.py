@@ -30,10 +30,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (unsigned 32-bit, little-endian), their number, and a digest of what they decode to."""
-    decoded = bpe.decode_documents(bpe.encode_documents(docs))
+    """Place in the mix, token ids (unsigned 32-bit, little-endian), their number, and a digest of what they decode to."""
+    placed = mixing.positions(docs)
+    decoded = bpe.decode_documents(bpe.encode_documents(placed, keep=("position",)), keep=("position",))
     return decoded.select(
         "doc_id",
+        "position",
         "ids",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

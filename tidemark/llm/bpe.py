@@ -276,63 +276,66 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 _LEAVES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("leaf", pa.int32()), ("text", pa.string())])
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", leaf: int = LEAF) -> DataFrame:
-    """doc_id and ``ids`` (binary, unsigned 32-bit little-endian), one row for each row of ``docs``.
+def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", leaf: int = LEAF, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns ``keep`` and ``ids`` (binary, unsigned 32-bit little-endian), one row for each row of ``docs``.
 
     A null or empty text has no ids. Texts over ``leaf`` characters are encoded by tree concatenation:
     only their leaves are shuffled, once to spread the work and once to meet at their document.
     """
-    texts = id_text(docs)
+    texts, named = id_text(docs, keep), ["doc_id", *keep]
+    out = pa.schema([*((c, pa.int64()) for c in named), ("ids", pa.binary())])
+    parts = pa.schema([*((c, pa.int64()) for c in named), *list(_LEAVES)[1:]])
+    columns = ", ".join(f"{c} long" for c in named)
 
     def whole(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch["doc_id"], "ids": encoder(vocabulary).encode_many(batch["text"].to_pylist())}
+        return {c: batch[c] for c in named} | {"ids": encoder(vocabulary).encode_many(batch["text"].to_pylist())}
 
     def split(batches):
         for batch in batches:
-            for n, i, text in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for *ns, i, text in zip(*(batch[c].to_pylist() for c in (*named, "row", "text")), strict=True):
                 leaves = encoder(vocabulary).leaves(text, leaf)
-                yield pa.RecordBatch.from_pydict({"doc_id": [n] * len(leaves), "row": [i] * len(leaves), "leaf": range(len(leaves)), "text": leaves}, schema=_LEAVES)
+                yield pa.RecordBatch.from_pydict({c: [n] * len(leaves) for c, n in zip(named, ns, strict=True)} | {"row": [i] * len(leaves), "leaf": range(len(leaves)), "text": leaves}, schema=parts)
 
     def encode(batch: pa.RecordBatch) -> dict:
-        return {c: batch[c] for c in _LEAVES.names} | {"ids": encoder(vocabulary).encode_many(batch["text"].to_pylist())}
+        return {c: batch[c] for c in parts.names} | {"ids": encoder(vocabulary).encode_many(batch["text"].to_pylist())}
 
     def concatenate(batches):
         held, key = [], None
 
         def done():
-            return pa.RecordBatch.from_pydict({"doc_id": [key[1]], "ids": [encoder(vocabulary).concatenate(held).tobytes()]}, schema=_IDS)
+            return pa.RecordBatch.from_pydict({c: [n] for c, n in zip(named, key[1], strict=True)} | {"ids": [encoder(vocabulary).concatenate(held).tobytes()]}, schema=out)
 
         for batch in batches:
-            for n, i, text, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "row", "text", "ids")), strict=True):
+            for *ns, i, text, ids in zip(*(batch[c].to_pylist() for c in (*named, "row", "text", "ids")), strict=True):
                 if held and key[0] != i:
                     yield done()
                     held = []
-                key = (i, n)
+                key = (i, ns)
                 held.append((text, np.frombuffer(ids, "<u4")))
         if held:
             yield done()
 
-    short = texts.filter(F.length("text") <= leaf).mapInArrow(by_batch(whole, _IDS), "doc_id long, ids binary")
+    short = texts.filter(F.length("text") <= leaf).mapInArrow(by_batch(whole, out), f"{columns}, ids binary")
     rows = texts.filter(F.length("text") > leaf).withColumn("row", F.monotonically_increasing_id())
-    leaves = rows.mapInArrow(split, "doc_id long, row long, leaf int, text string").repartition("row", "leaf")
-    encoded = leaves.mapInArrow(by_batch(encode, _LEAVES.append(pa.field("ids", pa.binary()))), "doc_id long, row long, leaf int, text string, ids binary")
-    long = encoded.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(concatenate, "doc_id long, ids binary")
+    leaves = rows.mapInArrow(split, f"{columns}, row long, leaf int, text string").repartition("row", "leaf")
+    encoded = leaves.mapInArrow(by_batch(encode, parts.append(pa.field("ids", pa.binary()))), f"{columns}, row long, leaf int, text string, ids binary")
+    long = encoded.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(concatenate, f"{columns}, ids binary")
     return short.unionByName(long)
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, ids and the text that ``ids`` stand for."""
-    schema = _IDS.append(pa.field("decoded", pa.string()))
+def decode_documents(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns ``keep``, ids and the text that ``ids`` stand for."""
+    named = ["doc_id", *keep]
+    schema = pa.schema([*((c, pa.int64()) for c in named), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def make(batch: pa.RecordBatch) -> dict:
         path = vocabulary_path(vocabulary)
-        return {"doc_id": batch["doc_id"], "ids": batch["ids"], "decoded": [decode(i, path) for i in batch["ids"].to_pylist()]}
+        return {c: batch[c] for c in (*named, "ids")} | {"decoded": [decode(i, path) for i in batch["ids"].to_pylist()]}
 
-    return encoded.select("doc_id", "ids").mapInArrow(by_batch(make, schema), "doc_id long, ids binary, decoded string")
+    return encoded.select(*named, "ids").mapInArrow(by_batch(make, schema), ", ".join(f"{c} long" for c in named) + ", ids binary, decoded string")
 
 
 def encoding_report(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:

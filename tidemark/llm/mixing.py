@@ -119,5 +119,20 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
     return mixed.repartitionByRange("slot", "start").sortWithinPartitions("slot", "start").select("row.*")
 
 
+def positions(mixed: DataFrame) -> DataFrame:
+    """``mixed``, as read from the files of ``mixed_documents``, with ``position``: 0, 1, ... in the order of the mix.
+
+    The place follows from the file's part number and the row's index in the file, so it holds however
+    readers split or pack the files. Only one count for each file meets in a single task.
+    """
+    files = mixed.select(F.col("_metadata.file_name").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("n_"))
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
+    before = F.sum("n_").over(Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = files.select(F.col("_file").alias("_file_"), F.coalesce(before, F.lit(0)).alias("_offset"))
+    rows = mixed.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    joined = rows.join(F.broadcast(offsets), F.col("_file") == F.col("_file_"))  # one row a file
+    return joined.withColumn("position", (F.col("_offset") + F.col("_index")).cast("long")).drop("_file", "_file_", "_index", "_offset")
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "source", "text")).select("row.doc_id", "source", "size", "block", "slot", "release", "deadline", "start")

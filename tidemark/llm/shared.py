@@ -33,9 +33,9 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """The id and the text (null: empty), whatever other columns there are."""
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def id_text(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The id, the text (null: empty) and the columns ``keep``, whatever other columns there are."""
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
 def fold(modulus: int) -> Column:
