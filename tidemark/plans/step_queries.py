@@ -110,6 +110,11 @@ def f6(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", keywords.searchable(F.substring("html", 1, 400)).alias("found"))
 
 
+@query("f6_searchable_whole", "SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(html, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://\\S+', ' ', 'g'), '[_/]+', '-', 'g') AS found FROM pages")
+def f6_whole(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", keywords.searchable(F.col("html")).alias("found"))
+
+
 @query("f9_compounds", tq._OBSERVED + f"SELECT w, count(*) AS n FROM words WHERE {tq._COMPOUND} GROUP BY w")
 def f9(spark, sf_dir):
     texts = tq.entities(spark, sf_dir).select(F.explode(F.array("description", F.substring("readme", 1, tq.LEXICON.readme_limit))).alias("t"))

@@ -113,6 +113,11 @@ def f5(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", keywords.normalized(F.substring("text", 1, 90), LEXICON).alias("keyword"))
 
 
+@query("f5_normalize_whole", f"SELECT doc_id, {_normal('text')} AS keyword FROM documents")
+def f5_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", keywords.normalized(F.col("text"), LEXICON).alias("keyword"))
+
+
 @query("f8_tokens", _OBSERVED + "SELECT w AS token, count(*) AS n FROM words GROUP BY w")
 def f8(spark, sf_dir):
     texts = entities(spark, sf_dir).select(F.explode(F.array("description", F.substring("readme", 1, LEXICON.readme_limit))).alias("t"))
