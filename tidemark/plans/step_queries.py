@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords
 from ..operators import activity, city, decisions, events as ops, lifecycle
+from ..operators.ranking import dense_places
 from ..sources import archive, tables
 from . import city_queries as cq
 from . import event_queries as eq
@@ -72,7 +73,7 @@ def p16(spark, sf_dir):
 @query("p18_kept_errors", _V + "SELECT count(*) AS n FROM events_ WHERE status IN ('parse-error', 'invalid')")
 def p18(spark, sf_dir):
     errors = ops.coverage_errors(eq.inspected(spark, sf_dir).withColumn("message", F.lit(None).cast("string")))
-    old = errors.limit(5).withColumn("source", F.lit("metadata"))
+    old = errors.withColumn("source", F.lit("metadata"))
     return activity.without_old_errors(errors.unionByName(old)).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -143,6 +144,11 @@ def o4(spark, sf_dir):
     return tq.observed(spark, sf_dir).select("id", "source", "keyword").orderBy("id", "source", "keyword").limit(200)
 
 
+@query("o4_observation_order_whole", tq._OBSERVED + "SELECT id, source, keyword, row_number() OVER (ORDER BY id, source, keyword) AS place FROM observed")
+def o4_whole(spark, sf_dir):
+    return dense_places(tq.observed(spark, sf_dir).select("id", "source", "keyword"), [F.col("id"), F.col("source"), F.col("keyword")], "place")
+
+
 @query(
     "o5_community_order",
     tq._OBSERVED + f", grouped AS (SELECT community, {tq._DISTRICT} AS district, count(*) AS entities FROM homes GROUP BY ALL) "
@@ -152,10 +158,18 @@ def o5(spark, sf_dir):
     return city.shown_order(tq.a20(spark, sf_dir), tq.LEXICON).limit(20).select("community", "district", "entities")
 
 
+@query(
+    "o5_community_order_whole",
+    tq._OBSERVED + f", grouped AS (SELECT community, {tq._DISTRICT} AS district, count(*) AS entities FROM homes GROUP BY ALL) "
+    f"SELECT community, district, entities, row_number() OVER (ORDER BY list_position([{', '.join(repr(d) for d in tq.LEXICON.shown)}], district), entities DESC, community) AS place FROM grouped",
+)
+def o5_whole(spark, sf_dir):
+    shown = F.array_position(F.array(*(F.lit(d) for d in tq.LEXICON.shown)), F.col("district"))
+    return dense_places(tq.a20(spark, sf_dir).select("community", "district", "entities"), [shown, F.desc("entities"), F.col("community")], "place")
+
+
 @query("o7_log_order", lq._FOLD + ", listed AS (SELECT key, i, unnest(emitted) AS e, generate_subscripts(emitted, 1) AS k FROM steps) SELECT key, e.type AS \"type\", CAST(e.week AS VARCHAR) AS week, row_number() OVER (ORDER BY e.week, key, i, k) AS place FROM listed")
 def o7(spark, sf_dir):
-    from ..operators.ranking import dense_places
-
     log = lifecycle.lifecycle_events(lq.states(spark, sf_dir))
     return lq.as_text(dense_places(log, [F.col("week"), F.col("key"), F.col("seq")], "place").select("key", "type", "week", "place"))
 
@@ -165,6 +179,11 @@ def o8(spark, sf_dir):
     return cq.ranked(spark, sf_dir).orderBy("global_rank").limit(100).select("id", "global_rank")
 
 
+@query("o8_by_rank_whole", cq._RANKED + "SELECT id, global_rank, row_number() OVER (ORDER BY global_rank) AS place FROM placed")
+def o8_whole(spark, sf_dir):
+    return dense_places(cq.ranked(spark, sf_dir).select("id", "global_rank"), [F.col("global_rank")], "place")
+
+
 @query("u2_input_union", lq._KNOWN + "SELECT input, count(*) AS n, count(id) AS known FROM seen GROUP BY input")
 def u2(spark, sf_dir):
     seen = lq.observations(spark, sf_dir)

@@ -171,6 +171,13 @@ def o3(spark, sf_dir):
     return topics.census(observed(spark, sf_dir)).select("keyword", "entities", "occurrences").orderBy(F.desc("entities"), F.desc("occurrences"), "keyword").limit(25)
 
 
+@query("o3_census_whole", _OBSERVED + "SELECT *, row_number() OVER (ORDER BY entities DESC, occurrences DESC, keyword) AS place FROM (SELECT keyword, count(DISTINCT id) AS entities, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM observed GROUP BY keyword)")
+def o3_whole(spark, sf_dir):
+    from ..operators.ranking import dense_places
+
+    return dense_places(topics.census(observed(spark, sf_dir)).select("keyword", "entities", "occurrences"), [F.desc("entities"), F.desc("occurrences"), F.col("keyword")], "place")
+
+
 @query(
     "a17_emerging",
     _OBSERVED + f", wide AS (SELECT keyword FROM shared WHERE entities >= 5 AND keyword NOT IN ({_list(LEXICON.broad)})) "
