@@ -36,14 +36,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_verdicts(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"most_{m}" for m in rules.METRICS)
     )
 
 
-def op7_sketch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.sketch_verdicts(documents(spark, sf_dir)).select("doc_id", *rules.COUNTS, "base_failed", *(f"most_{m}" for m in rules.METRICS), "kept")
-
-
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_report(documents(spark, sf_dir))
 
@@ -65,7 +61,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_mixing,
         op6_simhash,
         op7_quality_rules,
-        op7_sketch_rules,
         op8_token_files,
         op9_license_scan,
         op10_toxicity,

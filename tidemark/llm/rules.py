@@ -1,10 +1,11 @@
 """Quality rules whose cut-offs follow each language and source.
 
-Every document gets counts. Ratios of them (per mille) go into one quantile sketch for each
-(language, source): a histogram over buckets of equal relative width, so sketches merge by adding
-counts, the quantiles are exact to one part in 32, and the same rows always give the same sketch.
-Groups that are too small use their language's sketch, else that of all documents, which are sums of
-the same buckets. The thresholds are then joined to the documents.
+Every document gets counts. Ratios of them (per mille) of the documents that pass the base rule go into
+one quantile sketch for each (language, source): a histogram over buckets of equal relative width, so
+sketches merge by adding counts, the quantiles are exact to one part in 32, and the same rows always
+give the same sketch. A group's cut-off lies beyond a high quantile of its sketch. Groups that are too
+small use their language's sketch, else that of all documents, which are sums of the same buckets. The
+thresholds are then joined to the documents.
 """
 
 from __future__ import annotations
@@ -15,26 +16,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import by_batch, saved, small_batches
 
-#: Metric -> (counted, of, least threshold in per mille). Below the least threshold a ratio is never a fault.
+#: Metric -> (counted, of).
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 60),
-    "upper": ("n_upper", "word_chars", 400),
-    "dup_lines": ("n_dup_lines", "n_lines", 500),
-    "repeats": ("n_repeat_words", "n_words", 300),
+    "symbols": ("n_symbols", "word_chars"),
+    "upper": ("n_upper", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"),
 }
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A group needs so many documents for a sketch of its own.
 MIN_GROUP = 100
-#: Fences: so many times the distance from the median to the upper quartile above the upper quartile.
-REACH = 3
-#: For ``sketch_thresholds``: metric -> (a high quantile, in hundredths; so many times its distance from the median is added).
-#: Faults that few documents of any source have (repeated lines and words) need a quantile further out.
-HIGH = {"symbols": (90, 3), "upper": (90, 3), "dup_lines": (99, 1), "repeats": (99, 1)}
+#: Metric -> (a high quantile, in hundredths; so many times its distance from the median is added).
+#: About a tenth of the documents may be full of symbols, so only nine tenths tell what is usual. The other
+#: faults are rare, but good documents have them too, so their quantile lies further out.
+HIGH = {"symbols": (90, 3), "upper": (99, 2), "dup_lines": (99, 2), "repeats": (99, 2)}
 #: The least such distance, in per mille: for sketches whose high quantile and median agree.
 SPREAD = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
@@ -87,13 +88,16 @@ def counts(raw: bytes) -> tuple[int, ...]:
     return (len(words), points, len(joined) - len(joined.translate(None, SYMBOLS)), dup, repeated_words(words), lines, len(joined) - len(joined.translate(None, CAPITALS)))
 
 
+def _counted(texts: list[bytes]) -> dict:
+    return dict(zip(COUNTS, zip(*map(counts, texts), strict=True), strict=True))
+
+
 def count_documents(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the COUNTS; a null text counts as empty."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *((c, pa.int64()) for c in COUNTS)])
 
     def count(batch: pa.RecordBatch) -> dict:
-        found = [counts(t) for t in batch["text"].to_pylist()]
-        return {c: batch[c] for c in ("doc_id", "lang", "source")} | dict(zip(COUNTS, zip(*found, strict=True), strict=True))
+        return {c: batch[c] for c in ("doc_id", "lang", "source")} | _counted(batch["text"].to_pylist())
 
     given = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -105,7 +109,7 @@ def count_documents(docs: DataFrame) -> DataFrame:
 
 
 def ratio(metric: str) -> Column:
-    counted, of, _ = METRICS[metric]
+    counted, of = METRICS[metric]
     return F.expr(f"{counted} * 1000 div greatest({of}, 1)")
 
 
@@ -125,58 +129,38 @@ def sketches(counted: DataFrame) -> DataFrame:
     )
 
 
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Size, median, upper quartile and high quantile of each group's sketch."""
+def _quantiles(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The keys and the metric, with suffix ``name``, and a struct ``name``: size, median and high quantile of each group's sketch."""
     by = [*keys, "metric"]
     high = F.create_map(*(F.lit(x) for m, (h, _) in HIGH.items() for x in (m, h)))[F.col("metric")]
     merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     below = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket"))
     total = F.sum("n").over(Window.partitionBy(*by))
     at = lambda num, den: F.min(F.when(F.col("below") * den >= F.col("total") * num, F.col("bucket")))
-    return (
-        merged.select(*by, "bucket", below.alias("below"), total.alias("total"))
-        .groupBy(*by)
-        .agg(F.max("total").alias("total"), at(1, 2).alias("median"), at(3, 4).alias("upper"), at(high, 100).alias("high"))
-    )
-
-
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source and one column for each metric: the largest ratio, in per mille, that isn't a fault."""
-    least = F.create_map(*(F.lit(x) for m, (_, _, t) in METRICS.items() for x in (m, t)))
-    fence = lambda q: F.greatest(q["upper"] + REACH * (q["upper"] - q["median"]), least[F.col("metric")])
-    own = _quantiles(sketch, ["lang", "source"]).select("lang", "source", "metric", F.struct("total", "median", "upper").alias("own"))
-    language = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("lang_"), F.col("metric").alias("metric_"), F.struct("total", "median", "upper").alias("language"))
-    every = _quantiles(sketch, []).select(F.col("metric").alias("metric__"), F.struct("total", "median", "upper").alias("every"))
-    best = (
-        F.when(F.col("own.total") >= min_group, F.col("own"))
-        .when(F.col("language.total") >= min_group, F.col("language"))
-        .otherwise(F.col("every"))
-    )
-    joined = own.join(language, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("metric") == F.col("metric_"))).join(every, F.col("metric") == F.col("metric__"))
-    return joined.select("lang", "source", "metric", best.alias("q")).groupBy("lang", "source").agg(
-        *(F.max(F.when(F.col("metric") == m, fence(F.col("q")))).alias(f"most_{m}") for m in METRICS)
-    )
+    found = merged.select(*by, "bucket", below.alias("below"), total.alias("total")).groupBy(*by)
+    found = found.agg(F.max("total").alias("total"), at(1, 2).alias("median"), at(high, 100).alias("high"))
+    return found.select(*(F.col(k).alias(f"{k}_{name}") for k in by), F.struct("total", "median", "high").alias(name))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
 
 
-def sketch_thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """As ``thresholds``, but without floors: a high quantile of the group plus some times its distance from the median.
+def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """lang, source and one column for each metric: the largest ratio, in per mille, that isn't a fault.
 
-    Groups where the two (nearly) agree take SPREAD for that distance. No group's threshold is over what
-    its language's sketch, or that of all documents, gives for twice the reach, so a source full of junk
-    doesn't raise its own.
+    It is a high quantile of the group plus some times its distance from the median; where the two
+    (nearly) agree, SPREAD is taken for that distance. No group's threshold is over what its language's
+    sketch, or that of all documents, gives for twice the reach, so a source full of junk doesn't raise
+    its own.
     """
     reach = F.create_map(*(F.lit(x) for m, (_, r) in HIGH.items() for x in (m, r)))[F.col("metric")]
     cut = lambda q, times=1: F.col(f"{q}.high") + times * reach * F.greatest(F.col(f"{q}.high") - F.col(f"{q}.median"), F.lit(SPREAD))
-    level = lambda keys, name: _quantiles(sketch, keys).select(*(F.col(k).alias(f"{k}_{name}") for k in [*keys, "metric"]), F.struct("total", "median", "high").alias(name))
     joined = (
-        level(["lang", "source"], "own")
+        _quantiles(sketch, ["lang", "source"], "own")
         .withColumnsRenamed({"lang_own": "lang", "source_own": "source", "metric_own": "metric"})
-        .join(level(["lang"], "language"), F.col("lang").eqNullSafe(F.col("lang_language")) & (F.col("metric") == F.col("metric_language")))
-        .join(level([], "every"), F.col("metric") == F.col("metric_every"))
+        .join(_quantiles(sketch, ["lang"], "language"), F.col("lang").eqNullSafe(F.col("lang_language")) & (F.col("metric") == F.col("metric_language")))
+        .join(_quantiles(sketch, [], "every"), F.col("metric") == F.col("metric_every"))
     )
     spoken, most = F.col("language.total") >= min_group, cut("every", 2)
     language = F.when(spoken, F.least(cut("language"), most)).otherwise(cut("every"))
@@ -187,68 +171,64 @@ def sketch_thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFram
     )
 
 
-def sketch_verdicts(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """``quality_verdicts`` with ``sketch_thresholds``, from sketches of the documents that pass the base rule."""
-    counted = saved(count_documents(docs), "counts")
-    return _verdicts(counted, sketch_thresholds(sketches(counted.filter(~base_failed())), min_group))
+def _judged(counted: DataFrame, min_group: int) -> DataFrame:
+    """``counted`` with base_failed, the thresholds of its group and ``kept``.
+
+    The thresholds are a small written table; Spark broadcasts it if its size allows, else it joins by group.
+    A group without thresholds has no document that passes the base rule.
+    """
+    limits = saved(thresholds(sketches(counted.filter(~base_failed())), min_group), "thresholds").withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left").drop("lang_", "source_")
+    passes = ~base_failed()
+    for m in METRICS:
+        passes &= F.coalesce(ratio(m) <= F.col(f"most_{m}"), F.lit(True))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", passes)
 
 
 def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row for each row of ``docs``: its counts, base_failed, its group's thresholds and ``kept``.
 
-    Null languages and sources form groups of their own. A document is kept if it passes the base
-    rule and no ratio is over its group's threshold. No documents give no rows.
+    Null languages and sources form groups of their own, null texts count as empty, repeated rows give
+    repeated results and count as often in the sketches; ties at a threshold are kept. A document is
+    kept if it passes the base rule and no ratio is over its group's threshold. No documents give no rows.
     """
-    counted = saved(count_documents(docs), "counts")
-    return _verdicts(counted, thresholds(sketches(counted), min_group))
-
-
-def _verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    limits, failed = limits.withColumnsRenamed({"lang": "lang_", "source": "source_"}), base_failed()
-    joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
-    passes = ~failed
-    for m in METRICS:
-        passes &= ratio(m) <= F.coalesce(F.col(f"most_{m}"), F.lit(METRICS[m][2]))
-    return joined.select("doc_id", *COUNTS, failed.alias("base_failed"), *(f"most_{m}" for m in METRICS), passes.alias("kept"))
+    judged = _judged(saved(count_documents(docs), "counts"), min_group)
+    return judged.select("doc_id", *COUNTS, "base_failed", *(f"most_{m}" for m in METRICS), "kept")
 
 
 def keep_quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of ``docs`` that are kept, unchanged, whatever their columns are called.
 
-    A row's verdict follows from its text and its group's thresholds, so it is computed in the pass
-    that reads the texts: the small table of thresholds is joined to the documents, not their counts.
+    Nulls, repeats, ties and empty tables are as in ``quality_verdicts``. Texts are counted once: the
+    rows are written with their counts, since a verdict needs the sketches of all rows.
     """
-    limits = saved(thresholds(sketches(saved(count_documents(docs), "counts")), min_group), "thresholds")
-    rows = docs.select(F.struct("*").alias("row"))
-    joined = rows.join(limits, rows["row.lang"].eqNullSafe(limits["lang"]) & rows["row.source"].eqNullSafe(limits["source"]), "left")
 
-    def keep(batches):
+    def count(batches):
         for batch in batches:
-            row = batch["row"]
-            limit = {m: batch[f"most_{m}"].to_pylist() for m in METRICS}
-            kept = []
-            for i, text in enumerate(row.field("text").to_pylist()):
-                c = dict(zip(COUNTS, counts((text or "").encode()), strict=True))
-                good = c["n_words"] >= MIN_WORDS and 100 * c["n_repeat_words"] <= MAX_REPEAT_PERCENT * c["n_words"]
-                for m, (counted, of, least) in METRICS.items():
-                    most = least if limit[m][i] is None else limit[m][i]
-                    good = good and c[counted] * 1000 // max(c[of], 1) <= most
-                kept.append(good)
-            yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type]).filter(pa.array(kept, pa.bool_()))
+            if batch.num_rows:
+                found = _counted([(t or "").encode() for t in batch["row"].field("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch["row"], *(pa.array(found[c], pa.int64()) for c in COUNTS)], names=["row", *COUNTS])
 
-    return joined.select("row", *(f"most_{m}" for m in METRICS)).mapInArrow(keep, docs.schema)
+    rows = small_batches(docs).select(F.struct("*").alias("row"))
+    schema = StructType([*rows.schema, *(StructField(c, LongType()) for c in COUNTS)])
+    counted = saved(rows.mapInArrow(count, schema), "counted")
+    keyed = counted.select("row", F.col("row.lang").cast("string").alias("lang"), F.col("row.source").cast("string").alias("source"), *COUNTS)
+    return _judged(keyed, min_group).filter("kept").select("row.*")
 
 
 def _quantile_sql(name: str, keys: list[str]) -> str:
-    """Total, median and upper quartile of merged sketches, as ``_quantiles`` gives them."""
+    """Total, median and high quantile of merged sketches, as ``_quantiles`` gives them, and their cut-offs."""
     by = ", ".join([*keys, "metric"])
+    high = "CASE metric " + " ".join(f"WHEN '{m}' THEN {h}" for m, (h, _) in HIGH.items()) + " END"
+    reach = "CASE metric " + " ".join(f"WHEN '{m}' THEN {r}" for m, (_, r) in HIGH.items()) + " END"
     return f"""
 {name} AS (
-    SELECT {by}, max(total) AS total, min(bucket) FILTER (below * 2 >= total) AS median, min(bucket) FILTER (below * 4 >= total * 3) AS upper
-    FROM (
-        SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
-        FROM (SELECT {by}, bucket, sum(n) AS n FROM sketches GROUP BY {by}, bucket))
-    GROUP BY {by})"""
+    SELECT {by}, total, high + {reach} * greatest(high - median, {SPREAD}) AS cut, high + 2 * {reach} * greatest(high - median, {SPREAD}) AS far FROM (
+        SELECT {by}, max(total) AS total, min(bucket) FILTER (below * 2 >= total) AS median, min(bucket) FILTER (below * 100 >= total * {high}) AS high
+        FROM (
+            SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
+            FROM (SELECT {by}, bucket, sum(n) AS n FROM sketches GROUP BY {by}, bucket))
+        GROUP BY {by}))"""
 
 
 #: The verdicts in DuckDB's SQL.
@@ -266,17 +246,20 @@ counted AS (
     SELECT s.doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper
     FROM split s LEFT JOIN repeated r USING (doc_id)),
-ratios AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {a} * 1000 // greatest({b}, 1) AS v, {t} AS least_ FROM counted" for m, (a, b, t) in METRICS.items())}),
+based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted),
+ratios AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {a} * 1000 // greatest({b}, 1) AS v FROM based" for m, (a, b) in METRICS.items())}),
 bucketed AS (SELECT *, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS bucket FROM ratios),
-sketches AS (SELECT lang, source, metric, bucket, count(*) AS n FROM bucketed GROUP BY ALL),
+sketches AS (SELECT lang, source, metric, bucket, count(*) AS n FROM bucketed WHERE NOT base_failed GROUP BY ALL),
 {_quantile_sql("own", ["lang", "source"])}, {_quantile_sql("language", ["lang"])}, {_quantile_sql("every", [])},
 chosen AS (
-    SELECT o.lang, o.source, o.metric, CASE WHEN o.total >= {MIN_GROUP} THEN o.median WHEN l.total >= {MIN_GROUP} THEN l.median ELSE e.median END AS median,
-        CASE WHEN o.total >= {MIN_GROUP} THEN o.upper WHEN l.total >= {MIN_GROUP} THEN l.upper ELSE e.upper END AS upper
+    SELECT o.lang, o.source, o.metric, CASE
+        WHEN o.total >= {MIN_GROUP} AND l.total >= {MIN_GROUP} THEN least(o.cut, l.far, e.far)
+        WHEN o.total >= {MIN_GROUP} THEN least(o.cut, e.far)
+        WHEN l.total >= {MIN_GROUP} THEN least(l.cut, e.far) ELSE e.cut END AS most
     FROM own o JOIN language l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN every e ON o.metric = e.metric),
 passed AS (
-    SELECT doc_id, bool_and(v <= greatest(c.upper + {REACH} * (c.upper - c.median), least_)) AS passes
-    FROM ratios r JOIN chosen c ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source AND r.metric = c.metric GROUP BY doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept
-FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted) JOIN passed USING (doc_id)
+    SELECT doc_id, bool_and(coalesce(v <= most, true)) AS passes, {", ".join(f"max(most) FILTER (r.metric = '{m}')::BIGINT AS most_{m}" for m in METRICS)}
+    FROM ratios r LEFT JOIN chosen c ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source AND r.metric = c.metric GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept, {", ".join(f"most_{m}" for m in METRICS)}
+FROM based JOIN passed USING (doc_id)
 """
