@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -55,6 +56,25 @@ def test_unbroken_runs_of_letters():
         assert own(text, 5000) == library(text)
 
 
+def test_contractions_and_white_space_at_every_cut():
+    rng = random.Random(9)
+    alphabets = ["'lrve ", "ab", " \n\t\u3000\xa0", "!?'\"", "xyz<|endoftext|>", "\x1c\x85 b", "\u0663\u09e72 x", "\u13e3\u1c90\U0001e900 \U0001f600"]
+    for _ in range(800):
+        some = rng.sample(alphabets, rng.randint(1, 4))
+        text = "".join(rng.choice(rng.choice(some)) for _ in range(rng.randint(1, 200)))
+        assert own(text, rng.choice([1, 2, 3, 10])) == library(text)
+
+
+def test_joins_take_time_in_proportion():
+    """Texts of 2 MB, some without any certain boundary; once the library has read them, joins take no longer."""
+    rng, n = random.Random(10), 2_000_000
+    mixed = "".join(rng.choice("!?.,;#") for _ in range(n))
+    for text in ("<|endoftext|>" * (n // 13), "a" * n, "x, " + "a" * n, "!" * n, mixed, " " * n, "字、" * (n // 10), "word " * (n // 5)):
+        want, begin = library(text), time.monotonic()
+        assert own(text, bpe.LEAF) == want
+        assert time.monotonic() - begin < 30
+
+
 def test_documents(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     docs = spark.read.parquet(path)
@@ -73,6 +93,7 @@ def test_nulls_repeats_and_long_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, long, "c"), (3, long, "d"), (None, "hi there", "e"), (None, long, "f")], "doc_id long, text string, ids string")
     rows = sorted((r.doc_id or 0, bytes(r.ids)) for r in bpe.encode_documents(docs, leaf=1000).collect())
     want = lambda t: np.array(library(t), "<u4").tobytes()
+    assert len(rows) == 6
     assert rows == sorted([(1, b""), (2, b""), (3, want(long)), (3, want(long)), (0, want("hi there")), (0, want(long))])
 
 

@@ -5,28 +5,38 @@ from the file: a merge's rank is the id of the token that it makes, which is how
 are numbered. Tests hold the ids against the tokenizers library.
 
 A long text is cut into leaves anywhere, even inside a word. The leaves are rows of their own, so
-tasks encode them in parallel; then neighbours are joined level by level. At each join a window around
-it is encoded again and grown until its ends agree with what both sides have:
-
-* at a certain boundary of the splitting rule, where a token begins in either encoding, or
-* inside one unbroken run of letters, where the window's first and last token are those of the sides.
-  A sequence of byte-pair tokens is the encoding of its text exactly if every neighbouring pair is
-  the encoding of the pair's text; each pair in the result lies in one of three encodings, so the
-  result is what encoding the whole run gives.
+tasks encode them in parallel; then neighbours are joined level by level. The splitting rule reads a
+text from left to right and cuts it into pieces; a piece that ends two characters or more before the end
+of what was read stays the same whatever follows. At each join a window of tokens around it is encoded again and grown until both
+sides agree with it:
+
+* on the left it begins where the left side's last piece begins, or inside that piece (a long run) at a
+  token which the window gives again;
+* on the right it ends where a piece begins both in the window and in the right side's own reading,
+  from where on both readings are the same, or inside the right side's first piece at a token which the
+  window gives again.
+
+A sequence of byte-pair tokens is the encoding of a piece exactly if every neighbouring pair is the
+encoding of the pair's text; each pair in the result lies in one of three encodings, so the result is
+what encoding the whole piece gives. A join takes next to no time where both sides agree soon. Where
+they never do (one letter millions of times, at an odd place), it encodes the piece again, so the whole
+text is encoded about as many times as the tree has levels.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .shared import by_batch, id_text
 
@@ -36,8 +46,15 @@ LEAF = 16_384
 WORDS = 400_000
 #: Characters or bytes of texts that are split at a time.
 GROUP = 1 << 20
-#: Characters searched for a certain boundary on either side of a join, at first and at most.
-NEAR, FAR = 64, 4096
+#: Tokens on either side of a join that are read at first, and beyond which all of the piece is.
+NEAR, FAR = 16, 1024
+#: Leaves begin at multiples of this, so that in long repetitions tokens mostly begin there too.
+STEP = 240
+#: Characters at a leaf's ends that are searched for its first and last piece before the whole leaf is.
+EDGE = 256
+
+#: Characters after a piece's beginning that the splitting rule may need to see before it begins another there ("'ll").
+SEEN = 2
 
 #: Letters in every version of Unicode, which no normal form changes and whose lower case is one letter.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -80,6 +97,15 @@ def decode(ids: bytes, path: str) -> str:
     return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+class Part(NamedTuple):
+    """A text with its tokens: the end of its first piece and the beginning of its last, in characters and tokens."""
+
+    text: str
+    ids: np.ndarray
+    first: tuple[int, int]
+    last: tuple[int, int]
+
+
 class Encoder:
     """A byte-level vocabulary; ids are little-endian unsigned 32-bit numbers."""
 
@@ -94,8 +120,10 @@ class Encoder:
         special = {t["content"]: t["id"] for t in read["added_tokens"]}
         self.core = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
         self.special = list(special)
+        self.specials = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.bytes = token_bytes(path)
         self.sizes = np.array([len(b) for b in self.bytes])
+        self.pieces = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
     def encode(self, text: str) -> np.ndarray:
         """What the library gives; special tokens in the text count as such."""
@@ -104,87 +132,123 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t).tobytes() for t in texts]
 
+    def _before_special(self, text: str, at: int) -> int:
+        """``at``, or the beginning of the special token that it lies in."""
+        for s in self.special:
+            found = text.find(s, max(0, at - len(s) + 1), at + len(s) - 1)
+            if 0 <= found < at:
+                at = found
+        return at
+
+    def _after_special(self, text: str, at: int) -> int:
+        """``at``, or the end of the special token that it lies in; at most the text's end."""
+        for s in self.special:
+            found = text.find(s, max(0, at - len(s) + 1), at + len(s) - 1)
+            if 0 <= found < at:
+                at = found + len(s)
+        return min(at, len(text))
+
     def leaves(self, text: str, leaf: int = LEAF) -> list[str]:
         """``text`` cut into halves of halves of at most ``leaf`` characters, never inside a special token."""
         if len(text) <= leaf:
             return [text]
         cut = len(text) // 2
-        for s in self.special:
-            at = text.find(s, max(0, cut - len(s) + 1), cut + len(s) - 1)
-            if 0 <= at < cut:
-                cut = at
+        cut = self._before_special(text, cut - cut % STEP or cut)
         if not cut:
             return [text]
         return self.leaves(text[:cut], leaf) + self.leaves(text[cut:], leaf)
 
-    def join(self, left: tuple[str, np.ndarray], right: tuple[str, np.ndarray]) -> tuple[str, np.ndarray]:
-        """The encoding of two neighbouring texts from theirs."""
-        (a, ids_a), (b, ids_b) = left, right
-        if not a or not b:
-            return (a + b, np.concatenate([ids_a, ids_b]))
-        reach = NEAR
+    def starts(self, text: str) -> list[int]:
+        """Where the pieces of a text begin: special tokens, and what the library's splitting rule gives between them."""
+        out, at = [], 0
+        for s in self.specials.finditer(text):
+            out += [at + a for _, (a, _) in self.pieces.pre_tokenize_str(text[at : s.start()])]
+            out.append(s.start())
+            at = s.end()
+        return out + [at + a for _, (a, _) in self.pieces.pre_tokenize_str(text[at:])]
+
+    def _tokens(self, ids: np.ndarray, text: str) -> int:
+        """How many of the first ``ids`` make up ``text``."""
+        size = len(text.encode())
+        return int(np.searchsorted(np.cumsum(self.sizes[ids]), size)) + 1 if size else 0
+
+    def part(self, text: str, ids: np.ndarray) -> Part:
+        """A leaf with its tokens."""
+        head = text[: self._after_special(text, EDGE)]
+        starts = self.starts(head)
+        if len(starts) < 2 and len(head) < len(text):
+            starts = self.starts(text)
+        first = starts[1] if len(starts) > 1 else len(text)
+        tail = max(0, len(text) - EDGE)
+        sure = [m.start() for m in _SURE.finditer(text, tail)]
+        begin = self._before_special(text, sure[-1]) if sure else 0
+        last = begin + max((s for s in self.starts(text[begin:]) if begin + s <= len(text) - SEEN), default=0)
+        return Part(text, ids, (first, self._tokens(ids, text[:first])), (last, self._tokens(ids, text[:last])))
+
+    def _text(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()
+
+    def _inside(self, token: int) -> bool:
+        """Whether a token begins inside a character."""
+        return 0x80 <= self.bytes[token][0] < 0xC0
+
+    def join(self, a: Part, b: Part) -> Part:
+        """Two neighbouring texts as one."""
+        if not a.text or not b.text:
+            return b if not a.text else a
+        n = NEAR
         while True:
-            back, ahead = a[-reach:], b[:reach]
-            whole_a, whole_b = len(back) == len(a), len(ahead) == len(b)
-            start = self._sure_before(back + ahead[:1], len(back), ids_a, whole_a)
-            end = self._sure_after(back[-1:] + ahead, len(back[-1:]), ids_b, whole_b)
-            if start is not None and end is not None:
-                (keep, at), (drop, to) = start, end
-                middle = self.encode((back + ahead)[at : len(back) + to])
-                return (a + b, np.concatenate([ids_a[:keep], middle, ids_b[drop:]]))
-            if reach >= FAR and (joined := self._in_run(a, ids_a, b, ids_b)) is not None:
-                return (a + b, joined)
-            reach *= 2
-
-    def _sure_before(self, text: str, cut: int, ids: np.ndarray, whole: bool) -> tuple[int, int] | None:
-        """(tokens kept, place in text) of the last certain boundary up to ``cut`` at which a token begins."""
-        places = [m.start() for m in _SURE.finditer(text) if m.start() <= cut]
-        for at in [*reversed(places), *([0] if whole else [])]:
-            size, keep = len(text[at:cut].encode()), len(ids)
-            while size > 0 and keep:
-                keep -= 1
-                size -= self.sizes[ids[keep]]
-            if size == 0 and (at or whole):
-                return keep, at
-        return None
-
-    def _sure_after(self, text: str, cut: int, ids: np.ndarray, whole: bool) -> tuple[int, int] | None:
-        """(tokens dropped, characters after ``cut``) of the first certain boundary from ``cut`` on at which a token begins."""
-        places = [m.start() for m in _SURE.finditer(text) if m.start() >= cut]
-        for at in [*places, *([len(text)] if whole else [])]:
-            size, drop = len(text[cut:at].encode()), 0
-            while size > 0 and drop < len(ids):
-                size -= self.sizes[ids[drop]]
-                drop += 1
-            if size == 0:
-                return drop, at - cut
-        return None
-
-    def _in_run(self, a: str, ids_a: np.ndarray, b: str, ids_b: np.ndarray) -> np.ndarray | None:
-        """Windows of tokens inside a run of letters around the join; None if there is no such run or no agreement."""
-        n = 16
-        while n <= 1024:
-            i, j = max(0, len(ids_a) - n), min(len(ids_b), n)
-            raw_a = b"".join(map(self.bytes.__getitem__, ids_a[i:].tolist()))
-            raw_b = b"".join(map(self.bytes.__getitem__, ids_b[:j].tolist()))
-            try:
-                window = (raw_a + raw_b).decode()
-            except UnicodeDecodeError:  # an end inside a character
-                n += 1
-                continue
-            if not window.isalpha():
+            i, j = max(a.last[1], len(a.ids) - n), min(len(b.ids), n)
+            while self._inside(a.ids[i]):
+                i -= 1
+            while j < len(b.ids) and self._inside(b.ids[j]):
+                j += 1
+            if (joined := self._join(a, i, b, j)) is not None:
+                return joined
+            n = 4 * n if n < FAR else len(a.ids) + len(b.ids)
+
+    def _join(self, a: Part, i: int, b: Part, j: int) -> Part | None:
+        """The join by a window from ``a``'s token ``i`` to before ``b``'s token ``j``, or None if it doesn't agree."""
+        left, right = self._text(a.ids[i:]), self._text(b.ids[:j])
+        cut, end = len(left), len(right)
+        more = b.text[end : self._after_special(b.text, min(end + SEEN, len(b.text)))]
+        read = self.starts(left + right + more)
+        own = {cut + s for s in self.starts(right + more)}
+        if end == len(b.text):
+            read, own = [*read, cut + end], own | {cut + end}
+        common = next((s for s in read if cut <= s <= cut + end and s in own), None)
+        if common is not None:
+            to, drop = common - cut, self._tokens(b.ids[:j], right[: common - cut])
+        else:
+            to, drop = end, j
+            if j >= b.first[1] or read[-1] >= cut + end or self.starts(left + right) != read:
                 return None
+        window, inner = left + right[:to], [s for s in read if 0 < s < cut + to]
+        if self.starts(window) == [0, *inner]:
             middle = self.encode(window)
-            if middle[0] == ids_a[i] and middle[-1] == ids_b[j - 1]:
-                return np.concatenate([ids_a[:i], middle, ids_b[j:]])
-            n *= 2
-        return None
-
-    def concatenate(self, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
-        """Neighbours joined level by level."""
+        else:  # white space at its end isn't one piece once something follows
+            middle = np.concatenate([self.encode(window[s:t]) for s, t in zip([0, *inner], [*inner, len(window)], strict=True)])
+        if (i > a.last[1] and middle[0] != a.ids[i]) or (common is None and middle[-1] != b.ids[j - 1]):
+            return None
+        at = lambda s: (len(a.text) - cut + s, i + self._tokens(middle, window[:s]))
+        behind = lambda edge: (len(a.text) + edge[0], i + len(middle) + edge[1] - drop)
+        if a.last[0]:
+            first = a.first
+        else:
+            first = at(inner[0]) if inner else behind((to, drop) if common is not None else b.first)
+        if to <= b.last[0] <= len(b.text) - SEEN:
+            last = behind(b.last)
+        else:
+            kept = [s for s in inner if s <= cut + len(b.text) - SEEN]
+            last = at(kept[-1]) if kept else a.last
+        return Part(a.text + b.text, np.concatenate([a.ids[:i], middle, b.ids[drop:]]), first, last)
+
+    def concatenate(self, leaves: list[tuple[str, np.ndarray]]) -> np.ndarray:
+        """The encoding of neighbouring texts from theirs, joined level by level."""
+        parts = [self.part(*leaf) for leaf in leaves]
         while len(parts) > 1:
             parts = [self.join(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-        return parts[0][1]
+        return parts[0].ids
 
 
 class WordEncoder:
@@ -276,53 +340,55 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-_LEAVES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("leaf", pa.int32()), ("text", pa.string())])
-
-
 def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", leaf: int = LEAF, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the long columns ``keep`` and ``ids`` (binary, unsigned 32-bit little-endian), one row for each row of ``docs``.
 
-    A null or empty text has no ids. Texts over ``leaf`` characters are encoded by tree concatenation:
-    only their leaves are shuffled, once to spread the work and once to meet at their document.
+    A null or empty text has no ids, repeated rows give repeated results, and no documents give none.
+    Texts over ``leaf`` characters are encoded by tree concatenation: only their leaves are shuffled, once
+    to spread the work and once to meet at their document. They meet by id, ``keep`` and the text's
+    SHA-256, which a task that is run again gives again; equal rows are joined once and given as often.
     """
     texts, named = id_text(docs, keep), ["doc_id", *keep]
     out = pa.schema([*((c, pa.int64()) for c in named), ("ids", pa.binary())])
-    parts = pa.schema([*((c, pa.int64()) for c in named), *list(_LEAVES)[1:]])
+    parts = pa.schema([*((c, pa.int64()) for c in named), ("digest", pa.binary()), ("leaf", pa.int32()), ("text", pa.string())])
     columns = ", ".join(f"{c} long" for c in named)
+    key = [*named, "digest"]
 
     def whole(batch: pa.RecordBatch) -> dict:
         return {c: batch[c] for c in named} | {"ids": encoder(vocabulary).encode_many(batch["text"].to_pylist())}
 
     def split(batches):
         for batch in batches:
-            for *ns, i, text in zip(*(batch[c].to_pylist() for c in (*named, "row", "text")), strict=True):
-                leaves = encoder(vocabulary).leaves(text, leaf)
-                yield pa.RecordBatch.from_pydict({c: [n] * len(leaves) for c, n in zip(named, ns, strict=True)} | {"row": [i] * len(leaves), "leaf": range(len(leaves)), "text": leaves}, schema=parts)
+            for *ns, text in zip(*(batch[c].to_pylist() for c in (*named, "text")), strict=True):
+                leaves, digest = encoder(vocabulary).leaves(text, leaf), hashlib.sha256(text.encode()).digest()
+                same = {c: [n] * len(leaves) for c, n in zip(key, (*ns, digest), strict=True)}
+                yield pa.RecordBatch.from_pydict(same | {"leaf": range(len(leaves)), "text": leaves}, schema=parts)
 
     def encode(batch: pa.RecordBatch) -> dict:
         return {c: batch[c] for c in parts.names} | {"ids": encoder(vocabulary).encode_many(batch["text"].to_pylist())}
 
     def concatenate(batches):
-        held, key = [], None
+        held, now, times = [], None, 0
 
         def done():
-            return pa.RecordBatch.from_pydict({c: [n] for c, n in zip(named, key[1], strict=True)} | {"ids": [encoder(vocabulary).concatenate(held).tobytes()]}, schema=out)
+            ids = encoder(vocabulary).concatenate(held).tobytes()
+            return pa.RecordBatch.from_pydict({c: [n] * times for c, n in zip(named, now, strict=False)} | {"ids": [ids] * times}, schema=out)
 
         for batch in batches:
-            for *ns, i, text, ids in zip(*(batch[c].to_pylist() for c in (*named, "row", "text", "ids")), strict=True):
-                if held and key[0] != i:
+            for *k, at, text, ids in zip(*(batch[c].to_pylist() for c in (*key, "leaf", "text", "ids")), strict=True):
+                if held and now != k:
                     yield done()
-                    held = []
-                key = (i, ns)
-                held.append((text, np.frombuffer(ids, "<u4")))
+                    held, times = [], 0
+                now, times = k, times + (at == 0)
+                if at == len(held):  # not a repeated row's
+                    held.append((text, np.frombuffer(ids, "<u4")))
         if held:
             yield done()
 
     short = texts.filter(F.length("text") <= leaf).mapInArrow(by_batch(whole, out), f"{columns}, ids binary")
-    rows = texts.filter(F.length("text") > leaf).withColumn("row", F.monotonically_increasing_id())
-    leaves = rows.mapInArrow(split, f"{columns}, row long, leaf int, text string").repartition("row", "leaf")
-    encoded = leaves.mapInArrow(by_batch(encode, parts.append(pa.field("ids", pa.binary()))), f"{columns}, row long, leaf int, text string, ids binary")
-    long = encoded.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(concatenate, f"{columns}, ids binary")
+    leaves = texts.filter(F.length("text") > leaf).mapInArrow(split, f"{columns}, digest binary, leaf int, text string").repartition(*key, "leaf")
+    encoded = leaves.mapInArrow(by_batch(encode, parts.append(pa.field("ids", pa.binary()))), f"{columns}, digest binary, leaf int, text string, ids binary")
+    long = encoded.repartition(*key).sortWithinPartitions(*key, "leaf").mapInArrow(concatenate, f"{columns}, ids binary")
     return short.unionByName(long)
 
 
