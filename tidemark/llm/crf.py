@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import by_batch, fold, id_text
 from .toxicity import labelled
 
-#: Labelled documents that the model learns from, about (chosen by a hash of the id).
+#: Labelled documents that the model learns from, about (chosen by a hash of the id; their bytes are bounded by ``toxicity.labelled``).
 SAMPLE = 6000
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3

@@ -5,7 +5,8 @@ shares its beginning with forms that the sample lacks) hash into 2^22 binary fea
 The model learns from a bounded sample of labelled documents in one task. Features that fewer than
 INCLUDE of them have are left out; every other coordinate has its own learning rate, and the L1 penalty
 leaves a few hundred weights that are not zero, so the model that is sent to the tasks is small whatever
-the corpus.
+the corpus. Word beginnings, INCLUDE and L1 were chosen by threefold cross-validation inside the folds
+that aren't held out.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_batch, fold, id_text
+from .shared import by_batch, fold, id_text, saved
 
 BITS = 22
 #: Labelled documents that the model learns from, about (chosen by a hash of the id), and passes over them.
 SAMPLE, EPOCHS = 8000, 10
-INCLUDE = 6
+#: Bytes of the sample's texts, about, and of one text at most: what a model's single task holds is bounded.
+SAMPLE_BYTES, TEXT_BYTES = 32 << 20, 1 << 20
+INCLUDE = 3
 #: Bytes of a word's beginning.
-PREFIXES = (5, 7)
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 1.0
+PREFIXES = (4, 6)
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 1.0
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 #: Everything but ASCII letters, digits and bytes of other scripts ends a word.
@@ -86,14 +89,20 @@ class Scorer:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: int, sample: int) -> DataFrame:
-    """doc_id, text (binary), label and u, in [0, 1): about ``sample`` labelled documents outside the held-out fold."""
+    """doc_id, text (binary), label and u, in [0, 1): about ``sample`` labelled documents outside the held-out fold.
+
+    Texts of over TEXT_BYTES are never in the sample, and if its texts have over SAMPLE_BYTES, a share of it
+    stays that has about so many. The sample follows from the ids alone.
+    """
     known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold(folds) != held))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
     u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     share = min(1.0, sample / max(known.count(), 1))
     chosen = known.withColumn("u", u).filter(F.col("u") < share).withColumnRenamed("doc_id", "id_")
-    texts = id_text(docs).withColumn("text", F.col("text").cast("binary"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).drop("id_")  # about ``sample`` rows
+    texts = id_text(docs).withColumn("text", F.col("text").cast("binary")).filter(F.octet_length("text") <= TEXT_BYTES)
+    rows = saved(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).drop("id_"), "sample")  # about ``sample`` rows
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows.filter(F.col("u") < share * SAMPLE_BYTES / size) if size > SAMPLE_BYTES else rows
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[int], list[float]]:
@@ -108,12 +117,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     def learn(batches):
         model, times, held = Ftrl(), np.zeros(1 << BITS, np.int32), []
         for batch in batches:
-            for turn, label, raw in zip(batch["turn"].to_pylist(), batch["label"].to_pylist(), batch["at"].to_pylist(), strict=True):
+            for label, raw in zip(batch["label"].to_pylist(), batch["at"].to_pylist(), strict=True):
                 at = np.frombuffer(raw, "<i4")
-                if turn == 0:
-                    times[at] += 1
-                else:
-                    held.append((at[times[at] >= INCLUDE], label))
+                times[at] += 1
+                held.append((at, label))
+        held = [(at[times[at] >= INCLUDE], label) for at, label in held]
         if len({label for _, label in held}) > 1:
             for _ in range(EPOCHS):
                 for at, label in held:
@@ -122,8 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
         yield pa.RecordBatch.from_pydict({"at": np.flatnonzero(w), "w": w[w != 0]})
 
     found = rows.mapInArrow(by_batch(extract, schema), "doc_id long, label int, u double, at binary")
-    turns = found.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))  # first counted, then kept as far as included
-    model = turns.repartition(1).sortWithinPartitions("turn", "u", "doc_id", "at").mapInArrow(learn, "at long, w double").collect()  # the weights that aren't zero
+    model = found.repartition(1).sortWithinPartitions("u", "doc_id", "at").mapInArrow(learn, "at long, w double").collect()  # the weights that aren't zero
     return [r.at for r in model], [r.w for r in model]
 
 
