@@ -81,11 +81,13 @@ def test_dense_balls_and_chains(spark):
         prints[rng.randrange(10**9)] = rng.getrandbits(64)
     signed = [(fp - (1 << 64) if fp >> 63 else fp, i) for i, fp in prints.items()]
     classes = spark.createDataFrame(signed, "fp long, node long").groupBy("fp").agg(simhash.F.min("node").alias("node"))
-    want = slow_components(prints)
+    want, ids = slow_components(prints), {r.fp: r.node for r in classes.collect()}
     for bucket in (10_000, 8):
-        found = {r.node: r.component for r in simhash.components(simhash.links(classes, bucket)).collect()}
-        for r in classes.collect():
-            assert found.get(r.node, r.node) == want[r.node]
+        root = {fp: fp for fp in ids} | {r.node: r.component for r in simhash.components(simhash.links(classes, bucket)).collect()}
+        least = {}
+        for fp, r in root.items():
+            least[r] = min(least.get(r, ids[fp]), ids[fp])
+        assert {i: least[root[fp]] for fp, i in ids.items()} == {i: want[i] for i in ids.values()}
 
 
 def test_long_paths_and_hubs(spark):
@@ -113,3 +115,21 @@ def test_rows(spark):
     twice = docs.filter("doc_id = 7")
     assert simhash.drop_near_duplicates(twice).count() == 1
     assert simhash.fingerprint_report(docs.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts(spark):
+    """Id 7 has two texts; their components stay apart, and each keeps a document."""
+    rng = random.Random(3)
+    one, two = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(400)) for c in "ab")
+    long = " ".join(f"w{i}" for i in range(300_000))
+    docs = spark.createDataFrame([(7, one), (7, two), (8, one), (6, two), (9, long), (10, long), (7, one)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == [(6, 6), (7, 6), (7, 7), (7, 7), (8, 7), (9, 9), (10, 9)]
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()) == sorted([(7, one), (6, two), (9, long)])
+
+
+def test_clashing_names(spark):
+    names = ["row", "hash", "fp", "root", "component_id", "first", "n", "node", "table", "key"]
+    docs = spark.createDataFrame([(2, "a b c d e", *names), (1, "a b c d e", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.schema == docs.schema and [r.doc_id for r in kept.collect()] == [1]
+    assert [r.component_id for r in simhash.fingerprint_report(docs).collect()] == [1, 1]

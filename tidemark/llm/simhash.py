@@ -6,7 +6,7 @@ positions span at most r dimensions, so some v is orthogonal to all of them: two
 differ in r bits or fewer agree on every position of that table, and no pair within the radius can be
 missed. Positions are dealt evenly over the vectors, so each table keeps about half of the 64 bits.
 
-Equal fingerprints are one class before anything else. A bucket that holds too many classes is cut
+Equal fingerprints are one class before anything else, and classes are the nodes. A bucket that holds too many classes is cut
 by a second covering of its free positions, after which about 48 positions are fixed and at most 2^17
 classes can exist, whatever the input. In a bucket, classes are joined by their exact distance, and
 only a spanning star of each local component is emitted; components over all buckets come from pointer
@@ -50,13 +50,14 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (long), one row for each row of ``docs``; null and empty texts have fp 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, hash of the text and fp (longs), one row for each row of ``docs``; null and empty texts have fp 0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64())])
 
     def make(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch["doc_id"], "fp": pa.array([fingerprint(t) for t in batch["text"].to_pylist()], pa.int64())}
+        return {"doc_id": batch["doc_id"], "hash": batch["hash"], "fp": pa.array([fingerprint(t) for t in batch["text"].to_pylist()], pa.int64())}
 
-    return id_text(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(by_batch(make, schema), "doc_id long, fp long")
+    texts = id_text(docs).select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(by_batch(make, schema), "doc_id long, hash long, fp long")
 
 
 def covering(positions: list[int], radius: int = RADIUS) -> list[int]:
@@ -100,8 +101,8 @@ def _bucket_edges(batches):
     """Batches sorted by (table, inner, key): edges within each bucket; one bucket is held at a time."""
 
     def edges(bucket: list[np.ndarray]):
-        fp, node = np.concatenate([b[0] for b in bucket]), np.concatenate([b[1] for b in bucket])
-        return local_stars(fp.view(np.uint64), node)
+        fp = np.concatenate(bucket)
+        return local_stars(fp.view(np.uint64), fp)
 
     def batch_of(ends, roots):
         return pa.RecordBatch.from_pydict({"u": np.concatenate(ends), "v": np.concatenate(roots)})
@@ -111,7 +112,7 @@ def _bucket_edges(batches):
         if not batch.num_rows:
             continue
         key = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("table", "inner", "key")])
-        fp, node = batch["fp"].to_numpy(), batch["node"].to_numpy()
+        fp = batch["fp"].to_numpy()
         cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(fp)]
         ends, roots = [], []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -120,7 +121,7 @@ def _bucket_edges(batches):
                     to += new
                 held = []
             held_key = tuple(key[:, a])
-            held.append((fp[a:b], node[a:b]))
+            held.append(fp[a:b])
         if ends:
             yield batch_of(ends, roots)
     if held:
@@ -130,17 +131,21 @@ def _bucket_edges(batches):
 
 
 def links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (u, v), v < u, between the nodes of ``classes`` (fp, node): their components are those of all pairs within the radius."""
+    """Edges (u, v), v < u, between the fingerprints ``fp`` of ``classes``: their components are those of all pairs within the radius.
+
+    A bucket's size is counted before its classes meet (partial sums, then a join that Spark splits if a key
+    is hot), so that no task ever holds more than ``bucket`` of them, or 2^17 after the second covering.
+    """
     masks = F.array(*(F.struct(F.lit(t).cast("byte").alias("table"), F.lit(m).alias("mask")) for t, m in enumerate(MASKS)))
-    keyed = classes.select("fp", "node", F.explode(masks).alias("m")).select(
-        F.col("m.table").alias("table"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp", "node"
+    keyed = classes.select("fp", F.explode(masks).alias("m")).select(
+        F.col("m.table").alias("table"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp"
     )
     sizes = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = saved(keyed.join(sizes, ["table", "key"]), "buckets")
-    small = shared.filter(F.col("n") <= bucket).select("table", F.lit(0).cast("byte").alias("inner"), "key", "fp", "node")
+    small = shared.filter(F.col("n") <= bucket).select("table", F.lit(0).cast("byte").alias("inner"), "key", "fp")
     inner = F.array(*(F.array(*(F.struct(F.lit(i + 1).cast("byte").alias("inner"), F.lit(m).alias("mask")) for i, m in enumerate(ms))) for ms in INNER))
-    large = shared.filter(F.col("n") > bucket).select("table", "key", "fp", "node", F.explode(inner[F.col("table")]).alias("m")).select(
-        "table", F.col("m.inner").alias("inner"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.col("m.mask"))).alias("key"), "fp", "node"
+    large = shared.filter(F.col("n") > bucket).select("table", "key", "fp", F.explode(inner[F.col("table")]).alias("m")).select(
+        "table", F.col("m.inner").alias("inner"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.col("m.mask"))).alias("key"), "fp"
     )
     dealt = small.unionByName(large).repartition("table", "inner", "key").sortWithinPartitions("table", "inner", "key")
     edges = saved(dealt.mapInArrow(_bucket_edges, "u long, v long").distinct(), "links")
@@ -184,35 +189,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp and component_id, one row for each row of ``docs``.
+    """doc_id, hash, fp, root and component_id, one row for each row of ``docs``.
 
-    component_id is the smallest doc_id that links within the radius reach. Null and empty texts share
-    fingerprint 0 and link like any other. Rows without an id never name a component: they get the
-    component of the other documents of their fingerprint, or null if there are none. No documents
-    give no rows.
+    component_id is the smallest doc_id that links within the radius reach, root the component's smallest
+    fingerprint: fingerprints are the nodes, so rows that repeat an id with other texts don't join their
+    components. ``hash`` is the text's. Null and empty texts share fingerprint 0 and link like any other.
+    Rows without an id never name a component: they get the smallest id in theirs, or null if there is
+    none. No documents give no rows.
     """
     prints = saved(fingerprints(docs), "fingerprints")
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), "classes")
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     found = components(links(classes, bucket))
-    known = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    rooted = saved(classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id; all its columns.
+    """One row of each component, all its columns: that with the smallest id, and of those the one with the smallest hash of its text.
 
-    Of rows that repeat an id, one stays. Rows without an id can't be named, and stay.
+    Of equal ids and texts the row with the smallest hash of all columns stays, and of equal rows one.
+    Rows without an id can't be named, and stay.
     """
-    found = saved(near_duplicates(docs), "near")
-    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "n")
+    found = saved(near_duplicates(docs).filter("doc_id is not null"), "near")
+    times = found.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    first = times.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "n")).alias("first")).select("first.*")
     rows = docs.select(F.struct("*").alias("row"))
-    kept = rows.join(keep.hint("shuffle_hash"), rows["row.doc_id"] == keep["doc_id"])
+    same = (rows["row.doc_id"].cast("long") == first["doc_id"]) & (F.xxhash64(F.coalesce(rows["row.text"], F.lit(""))) == first["hash"])
+    kept = rows.join(first.hint("shuffle_hash"), same)
     lone = docs.filter(F.col("doc_id").isNull())
-    if found.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty():
+    if first.filter("n > 1").isEmpty():
         return kept.select("row.*").unionByName(lone)
-    # an id that is repeated: the row with the smallest hash of all its columns
-    first = kept.groupBy("doc_id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return first.select("row.*").unionByName(lone)
+    several = kept.filter("n > 1").groupBy("doc_id", "hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.filter("n = 1").select("row.*").unionByName(several.select("row.*")).unionByName(lone)
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
