@@ -39,6 +39,26 @@ def test_documents(spark):
     assert all(len(x) == 1 for x in taken.values())
 
 
+def test_default_blocks_interleave(spark):
+    """With the default block every source has many blocks, and any prefix of the mix keeps to the shares."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) < 5000")
+    rows = mixing.mix(docs).select("source", "size", "block", "slot", "start").orderBy("slot", "start").collect()
+    sizes, blocks = Counter(), defaultdict(set)
+    for r in rows:
+        sizes[r.source] += r.size
+        blocks[r.source].add(r.block)
+    assert all(len(b) >= 12 for b in blocks.values()) and len({r.source for r in rows[:60]}) > 5
+    block = max(mixing.BLOCK_LEAST, min(sizes.values()) // mixing.BLOCKS)
+    assert all(r.block == r.start // block for r in rows)
+    n = dict(zip(sorted(sizes), mixing.slots_of([max(sizes[s], 1) ** mixing.TEMPERATURE for s in sorted(sizes)], max(1024, 64 * len(sizes))), strict=True))
+    period, longest, given = sum(n.values()), max(r.size for r in rows), Counter()
+    for r in rows:
+        share = r.slot * n[r.source] / period * block
+        if given[r.source] < sizes[r.source]:
+            assert -2 * block - longest < given[r.source] - share < 2 * block + longest
+        given[r.source] += r.size
+
+
 def test_mix_keeps_rows_and_their_order(spark):
     rows = [(i, None if i % 7 == 0 else "x " * (i % 50), None if i % 5 == 0 else "ab"[i % 2], i) for i in range(500)] + [(3, "same", "a", 1)] * 4 + [(None, "no id", "b", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot long")

@@ -1,6 +1,9 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form blocks of equal size. Weights are whole slots of a period of D slots. The
+Each source's documents form blocks of equal size: by default so small that the smallest source has
+BLOCKS of them. A document belongs to the block where it starts; one that is longer than a block fills
+the source's next blocks too, whose slots then stay empty. So at any slot a source is less than one block
+away from its share, and ahead by up to what its last document has beyond its block. Weights are whole slots of a period of D slots. The
 k-th block of a source with n slots may run from slot floor(k D / n) and must run before
 ceil((k + 1) D / n); earliest deadline first meets every deadline, since the slots add up to D, so at any
 slot each source is less than one block away from its share. The schedule repeats after D slots: it is
@@ -21,16 +24,16 @@ from pyspark.sql import functions as F
 
 from .shared import saved
 
-#: Characters in a block.
-BLOCK = 1 << 18
+#: Characters in a block, at most and at least, and blocks of the smallest source between these bounds.
+BLOCK, BLOCK_LEAST, BLOCKS = 1 << 18, 1 << 10, 32
 #: Without given weights, a source's weight is its size to this power.
 TEMPERATURE = 0.7
 #: Sources are a small dimension: more than this is an error, not a silent cut.
 MAX_SOURCES = 10_000
 #: Slots of a period for each source, and at least.
 SLOTS_EACH, SLOTS_LEAST = 64, 1024
-#: Documents in a range of hashes, and ranges of a source at most.
-RANGE_ROWS, RANGES = 512, 4096
+#: Documents in a range of hashes, about: the ranges of a source follow its size.
+RANGE_ROWS = 1024
 
 
 def slots_of(weights: list[float], period: int) -> list[int]:
@@ -58,8 +61,8 @@ def schedule(slots: list[int]) -> list[list[int]]:
     return out
 
 
-def plan(sizes: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
-    """source, its number, ranges, n, slots (array), period: one row for each source."""
+def plan(sizes: DataFrame, weights: dict[str | None, float] | None) -> tuple[DataFrame, int]:
+    """source, its number, ranges, n, slots (array), period, one row for each source; and the block's size."""
     found = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -68,18 +71,21 @@ def plan(sizes: DataFrame, weights: dict[str | None, float] | None) -> DataFrame
     if weights and (missing := [r.source for r, w in zip(found, weight, strict=True) if w <= 0]):
         raise ValueError(f"no positive weight for sources {missing}")
     n = slots_of(weight, max(SLOTS_LEAST, SLOTS_EACH * len(found))) if found else []
-    rows = [(r.source, i, min(RANGES, -(-r.rows // RANGE_ROWS)), k, s) for i, (r, k, s) in enumerate(zip(found, n, schedule(n), strict=True))]
+    block = max(BLOCK_LEAST, min([BLOCK, *(r.size // BLOCKS for r in found)]))
+    rows = [(r.source, i, -(-r.rows // RANGE_ROWS), k, s) for i, (r, k, s) in enumerate(zip(found, n, schedule(n), strict=True))]
     schema = "source_ string, i int, ranges long, n long, slots array<int>"
-    return sizes.sparkSession.createDataFrame(rows, schema).withColumn("period", F.lit(sum(n)).cast("long"))
+    return sizes.sparkSession.createDataFrame(rows, schema).withColumn("period", F.lit(sum(n)).cast("long")), block
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: row (all its columns), source, size, block, slot, release, deadline, start.
 
     Reading the rows by slot, then start gives the mix. ``start`` is the size of the source's documents
     before this one. A document is in the block where it starts. Null sources are a source of their
     own, null texts have size 0. No row is dropped or repeated: where a source has no blocks left, its
     slots stay empty and the others keep their order and proportions. ``weights`` must name every source.
+    Within a source, documents come by a hash of id and text; rows that agree in both have one size and
+    take their places among themselves in any order. No documents give no rows.
     """
     rows = docs.select(
         F.struct("*").alias("row"),
@@ -87,7 +93,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc_id", "text").alias("hash"),
     )
-    sources = F.broadcast(plan(rows.select("source", "size"), weights))  # at most MAX_SOURCES rows and SLOTS_EACH slots a source
+    sources, own = plan(rows.select("source", "size"), weights)
+    block, sources = block or own, F.broadcast(sources)  # at most MAX_SOURCES rows and SLOTS_EACH slots a source
     placed = rows.join(sources, F.col("source").eqNullSafe(F.col("source_"))).withColumn(
         "range", F.expr("shiftright(shiftrightunsigned(hash, 33) * ranges, 31)")
     )
@@ -113,7 +120,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     )
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None) -> DataFrame:
     """The rows of ``docs``, all of them and unchanged, in the order of the mix: part by part and row by row."""
     mixed = mix(docs, weights, block).select("row", "slot", "start")
     return mixed.repartitionByRange("slot", "start").sortWithinPartitions("slot", "start").select("row.*")
