@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, tokenfile
+from tidemark.llm.shared import new_path
 
 VOCABULARY = "word_bpe_49k.json"
 LIBRARY = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
@@ -28,7 +29,8 @@ def test_words_as_the_library():
 
 
 @pytest.mark.parametrize("width,sizes", [(2, [0, 1, 5, tokenfile.CHUNK - 6, 3, 2 * tokenfile.CHUNK + 1, 0, 9]), (4, [1]), (4, []), (2, [tokenfile.CHUNK])])
-def test_round_trip(width, sizes):
+def test_round_trip(width, sizes, monkeypatch):
+    monkeypatch.setattr(tokenfile, "TABLE", 3)
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 1 << (8 * width), n, dtype=np.uint64).astype("<u4") for n in sizes]
     out = io.BytesIO()
@@ -71,3 +73,17 @@ def test_nulls_repeats_and_none(spark):
     rows = sorted(((r.start, r.doc_id, r.n_tokens) for r in tokenfile.token_file_report(docs).collect()))
     assert rows == [(0, None, 2), (2, 2, 1), (3, 5, 3), (6, 5, 3), (9, 7, 1)]
     assert tokenfile.token_file_report(docs.limit(0)).count() == 0
+
+
+def test_files_roll(spark):
+    """Small files give what large ones give; a text of a million words is one document."""
+    long = "Word é, two. " * 350_000
+    docs = spark.createDataFrame([(i, "a b c " * (i % 9), "x") for i in range(300)] + [(300, long, "y")], "doc_id long, text string, part string").coalesce(1)
+    folder = new_path(spark, "tokens")
+    files = tokenfile.write_token_files(docs, folder, parts=2, roll=500)
+    assert files.count() > 6
+    start = 0
+    for r in sorted(tokenfile.read_token_files(files, folder).collect(), key=lambda r: r.doc_id):
+        ids = library(long if r.doc_id == 300 else "a b c " * (r.doc_id % 9)) + np.array([1], "<u4").tobytes()
+        assert (r.start, bytes(r.ids)) == (start, ids)
+        start += len(ids) // 4

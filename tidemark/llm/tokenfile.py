@@ -2,13 +2,15 @@
 
 File layout, all numbers little-endian:
 
-    magic | chunks | document table | index | size of index (8 bytes) | magic
+    magic | chunks and blocks of the document table | index | size of index (8 bytes) | magic
 
 A chunk is CHUNK ids (the last one fewer) transposed into byte planes, lowest byte first, each
 compressed with zstandard on its own: the high planes of ids are nearly constant and shrink to almost
-nothing. The document table has id, presence of the id and number of tokens of every document, in the file's order. The
-index has position, number of ids, size of each plane and crc32 of every chunk, so that a reader
-fetches only the chunks it needs.
+nothing. The document table has id, presence of the id and number of tokens of every document, in the
+file's order, in blocks of TABLE documents. The index has position, number of ids, size of each plane and
+crc32 of every chunk, and position, size and number of documents of every block, so that a reader fetches
+only what it needs. A writer begins a new file beyond ROLL ids, so that what is held of a file, its index,
+is bounded, and readers can share the files of one writer.
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ from pyspark.sql import functions as F
 from .bpe import word_encoder
 from .shared import id_text, new_path, saved
 
-MAGIC = b"TMTOKEN1"
+MAGIC = b"TMTOKEN2"
 CHUNK, LEVEL, END = 1 << 16, 3, 1
+#: Documents in a block of the document table.
+TABLE = 1 << 13
+#: Ids of a file, about.
+ROLL = 1 << 26
+_DOCUMENT = [("id", "<i8"), ("named", "u1"), ("n", "<u8")]
 
 
 def planes(ids: np.ndarray, width: int) -> list[bytes]:
@@ -48,11 +55,11 @@ def from_planes(parts: list[bytes], n: int) -> np.ndarray:
 
 
 class TokenWriter:
-    """Appends documents to one file; at most a chunk of ids is held."""
+    """Appends documents to one file; at most a chunk of ids and a block of the document table are held."""
 
     def __init__(self, out, width: int = 4):
         self.out, self.width, self.at = out, width, 0
-        self.index, self.documents, self.held, self.n = [], [], [], 0
+        self.index, self.blocks, self.documents, self.held, self.n = [], [], [], [], 0
         self._write(MAGIC)
 
     def _write(self, data: bytes) -> None:
@@ -61,6 +68,8 @@ class TokenWriter:
 
     def append(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.documents.append((doc_id or 0, doc_id is not None, len(ids)))
+        if len(self.documents) == TABLE:
+            self._block()
         self.held.append(ids)
         self.n += len(ids)
         if self.n >= CHUNK:
@@ -76,13 +85,19 @@ class TokenWriter:
         for part in parts:
             self._write(part)
 
+    def _block(self) -> None:
+        packed = zstandard.ZstdCompressor(level=LEVEL).compress(np.array(self.documents, _DOCUMENT).tobytes())
+        self.blocks.append(struct.pack("<QII", self.at, len(packed), len(self.documents)))
+        self._write(packed)
+        self.documents = []
+
     def close(self) -> None:
         if self.n:
             self._chunk(np.concatenate(self.held))
-        table = np.array(self.documents, [("id", "<i8"), ("named", "u1"), ("n", "<u8")]).tobytes()
-        packed = zstandard.ZstdCompressor(level=LEVEL).compress(table)
-        index = struct.pack("<BQQQI", self.width, self.at, len(packed), len(table), len(self.index)) + b"".join(self.index)
-        self._write(packed + index + struct.pack("<Q", len(index)) + MAGIC)
+        if self.documents:
+            self._block()
+        index = struct.pack("<BII", self.width, len(self.index), len(self.blocks)) + b"".join(self.index + self.blocks)
+        self._write(index + struct.pack("<Q", len(index)) + MAGIC)
 
 
 class TokenReader:
@@ -96,11 +111,16 @@ class TokenReader:
             raise ValueError("not a token file")
         n = struct.unpack("<Q", tail[:8])[0]
         index = self._range(size - 16 - n, n)
-        self.width, at, packed, plain, chunks = struct.unpack_from("<BQQQI", index)
-        form = struct.Struct(f"<QI{self.width}II")
-        self.chunks = [form.unpack_from(index, struct.calcsize("<BQQQI") + k * form.size) for k in range(chunks)]
-        table = zstandard.ZstdDecompressor().decompress(self._range(at, packed), max_output_size=plain) if plain else b""
-        self.documents = np.frombuffer(table, [("id", "<i8"), ("named", "u1"), ("n", "<u8")])
+        self.width, chunks, blocks = struct.unpack_from("<BII", index)
+        form, first = struct.Struct(f"<QI{self.width}II"), struct.calcsize("<BII")
+        self.chunks = [form.unpack_from(index, first + k * form.size) for k in range(chunks)]
+        self.blocks = [struct.unpack_from("<QII", index, first + chunks * form.size + k * 16) for k in range(blocks)]
+
+    def documents(self) -> Iterator[tuple[int, int, int]]:
+        """(id, whether it has one, number of ids) of every document, block by block."""
+        for at, packed, n in self.blocks:
+            plain = zstandard.ZstdDecompressor().decompress(self._range(at, packed), max_output_size=n * 17)
+            yield from np.frombuffer(plain, _DOCUMENT).tolist()
 
     def _range(self, at: int, n: int) -> bytes:
         self.file.seek(at)
@@ -129,7 +149,7 @@ class TokenReader:
     def each(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, place of its first id, ids) of every document; holds a document and a chunk at a time."""
         held, k, start = np.zeros(0, "<u4"), 0, 0
-        for doc_id, named, n in self.documents.tolist():
+        for doc_id, named, n in self.documents():
             parts, size = [held], len(held)
             while size < n:
                 parts.append(self.chunk(k))
@@ -139,12 +159,13 @@ class TokenReader:
             held, start = every[n:], start + n
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end: int = END, parts: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end: int = END, parts: int | None = None, roll: int = ROLL) -> DataFrame:
     """Encode ``docs`` into token files in ``folder``, in ascending doc_id order over all files; gives the files' table.
 
-    Columns: part (its order), path, n_documents, n_ids. Null ids come first, and rows that repeat an id
-    are ordered by their text's hash. A null or empty text is the end id alone. Every attempt at a task
-    writes a file of its own, and the table names those of the attempts that ended well.
+    Columns: part and file (their order), path, n_documents, n_ids. Null ids come first, and rows that
+    repeat an id are ordered by their text's hash. A null or empty text is the end id alone; no documents
+    give no files. Every attempt at a task writes files of its own, and the table names those of the
+    attempts that ended well.
     """
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["doc_id", "hash"]
@@ -152,28 +173,37 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_
     def write(batches):
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.ids"
-        encode, documents, ids = word_encoder(vocabulary), 0, 0
-        with store.open_output_stream(path) as out:
-            writer = TokenWriter(out, encode.width)
-            tail = np.array([end], "<u4").tobytes()
-            for batch in batches:
-                for doc_id, found in zip(batch["doc_id"].to_pylist(), encode.encode_many(batch["text"].to_pylist()), strict=True):
-                    array = np.frombuffer(found + tail, "<u4")
-                    writer.append(doc_id, array)
-                    documents, ids = documents + 1, ids + len(array)
+        part, encode, tail = TaskContext.get().partitionId(), word_encoder(vocabulary), np.array([end], "<u4").tobytes()
+        file, out, ids, documents = 0, None, 0, 0
+
+        def closed():
             writer.close()
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_documents": [documents], "n_ids": [ids]})
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_documents": [documents], "n_ids": [ids]})
+
+        for batch in batches:
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), encode.encode_many(batch["text"].to_pylist()), strict=True):
+                if out is None:
+                    path, ids, documents = f"{root}/part-{part:06d}-{file:06d}-{uuid.uuid4().hex}.ids", 0, 0
+                    out = store.open_output_stream(path)
+                    writer = TokenWriter(out, encode.width)
+                array = np.frombuffer(found + tail, "<u4")
+                writer.append(doc_id, array)
+                documents, ids = documents + 1, ids + len(array)
+                if ids >= roll:
+                    yield closed()
+                    file, out = file + 1, None
+        if out is not None:
+            yield closed()
 
     ranged = id_text(docs).withColumn("hash", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
     ordered = ranged.repartitionByRange(n, *key).sortWithinPartitions(*key).select("doc_id", "text")
-    return saved(ordered.mapInArrow(write, "part long, path string, n_documents long, n_ids long"), "token-files")
+    return saved(ordered.mapInArrow(write, "part long, file long, path string, n_documents long, n_ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (binary) of every document in ``files``."""
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    """doc_id, start (ids of all documents before it) and ids (binary) of every document in ``files``; no files give no rows."""
+    before = F.sum("n_ids").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file of ROLL ids
     based = files.withColumn("base", F.coalesce(before, F.lit(0)))
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
@@ -186,7 +216,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     rows, size = [], 0
                     for doc_id, start, ids in TokenReader(file).each():
                         rows.append((doc_id, base + start, ids.tobytes()))
-                        size += 4 * len(ids)
+                        size += 4 * len(ids) + 64
                         if size > 1 << 22:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                             rows, size = [], 0
