@@ -1,9 +1,11 @@
 """Media columns: payloads in tar shards, rows with digest, shard, offset and length.
 
 A text becomes an 8-bit greyscale PNG of 576 samples a row. The image's SHA-256 is its name in the tar
-shard and its address: a task stores equal images once, and every row points to a byte range. Metadata
+shard and its address: every digest has one place, and every row points to that byte range. Tasks write
+without knowing of each other, so an image may be written once a task; then only digests and places
+are shuffled, the first place of a digest becomes its home, and the other ones are never read. Metadata
 columns come from range reads of the PNG header alone; only a reader that asks for samples fetches
-the whole range. Each attempt at a task writes shards of its own, and the index, a Parquet table that
+the whole range. Each place is read once, however many rows point to it. Each attempt at a task writes shards of its own, and the index, a Parquet table that
 Spark commits, names those of the attempts that ended well, so a lost executor costs only a repeat.
 """
 
@@ -124,13 +126,21 @@ class RangeReader:
 
     def __call__(self, path: str, offset: int, n: int) -> bytes:
         if path != self.path:
+            self.close()
             self.path, self.file = path, self.store.open_input_file(path)
         self.file.seek(offset)
         return self.file.read(n)
 
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
 
-def store_media(docs: DataFrame, folder: str) -> DataFrame:
-    """The index: doc_id, n_bytes, digest, shard, offset, length; one row for each row of ``docs``."""
+def store_media(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The index (doc_id, n_bytes, digest, shard, offset, length), one row for each row of ``docs``, and the media (digest, shard, offset, length), one row for each content.
+
+    A null or empty text is an image of one row; no documents give no shards and empty tables.
+    """
 
     def write(batches):
         shards = ShardWriter(folder)
@@ -145,13 +155,16 @@ def store_media(docs: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         shards.close()
 
-    return saved(id_text(docs).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-index")
+    written = saved(id_text(docs).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-written")
+    homes = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("home"))
+    media = saved(homes.select("digest", "home.*"), "media")
+    return written.select("doc_id", "n_bytes", "digest").join(media, "digest").select("doc_id", "n_bytes", "digest", "shard", "offset", "length"), media
 
 
 def by_shard(index: DataFrame) -> DataFrame:
-    """The index dealt so that a task reads its shards from front to back."""
+    """The index in ranges of (shard, offset), so that tasks have equal shares and read from front to back."""
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(n, "shard").sortWithinPartitions("shard", "offset")
+    return index.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def with_metadata(index: DataFrame, folder: str) -> DataFrame:
@@ -164,6 +177,7 @@ def with_metadata(index: DataFrame, folder: str) -> DataFrame:
             for k, name in enumerate(("width", "height", "bits", "colour")):
                 batch = batch.append_column(name, pa.array([h[k] for h in heads], pa.int64()))
             yield batch
+        get.close()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
     return index.mapInArrow(read, f"{schema}, width long, height long, bits long, colour long")
@@ -191,6 +205,7 @@ def with_samples(index: DataFrame, folder: str) -> DataFrame:
             for name, c, k in zip(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), columns, kinds, strict=True):
                 batch = batch.append_column(name, pa.array(c, k))
             yield batch
+        get.close()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
     return index.mapInArrow(read, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
@@ -202,8 +217,9 @@ def media_report(docs: DataFrame) -> DataFrame:
     A null or empty text is one row of samples 255; repeated rows give repeated rows; no documents
     give none. Other columns are ignored.
     """
-    folder = new_path(docs.sparkSession, "media")
-    index = with_metadata(by_shard(store_media(docs, folder)), folder)
-    return with_samples(index, folder).select(
+    folder = new_path(docs.sparkSession, "shards")
+    index, media = store_media(docs, folder)
+    read = saved(with_samples(with_metadata(by_shard(media), folder), folder), "media-read")
+    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
     )
