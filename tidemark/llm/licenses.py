@@ -3,7 +3,8 @@
 Texts are words in lower case without punctuation. From every template, 5-word shingles are hashed and
 the least hash of each window of 4 is kept; the inverted index maps these fingerprints to places in
 templates. All shingles of a text are looked up, so a passage that shares a kept shingle is never
-missed by an unlucky window. Hits on nearby diagonals make a candidate, and a banded alignment of
+missed by an unlucky window. Five words in a row must be the template's: a statement of five to eight
+words names its license in one of them, and another word there is another license. Hits on nearby diagonals make a candidate, and a banded alignment of
 the whole template with the text around it gives the matched words and their span.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -203,10 +205,11 @@ def find_licenses(text: str, index: Index) -> list[tuple[str, int, int, int, int
         if n >= COVERAGE * len(index.words[name]):
             found.add((name, first, last, n, len(index.words[name])))
     spans = [m.span() for m in _WORD.finditer(text)]
-    kept, taken = [], []
+    kept, taken = [], []  # spans that don't overlap, in order
     for name, first, last, n, total in sorted(found, key=lambda f: (-f[3], -f[3] / f[4], f[0], f[1])):
-        if all(last < a or first > b for a, b in taken):
-            taken.append((first, last))
+        k = bisect_right(taken, last, key=lambda t: t[0])  # the nearest span that begins at ``last`` or before
+        if not k or taken[k - 1][1] < first:
+            taken.insert(k, (first, last))
             kept.append((name, spans[first][0], spans[last][1], n, total))
     return sorted(kept, key=lambda k: k[1])
 
