@@ -7,12 +7,12 @@ SF = "/root/testdata/sf0.01"
 
 def test_whole_texts(spark):
     for name, cut, key in (("f6_searchable", 400, "page_id"), ("f5_normalize", 90, "doc_id")):
-        whole = catalogue.queries()[f"{name}_whole"](spark, SF)
+        whole = catalogue.queries()[name](spark, SF)
         value = next(c for c in whole.columns if c != key)
         assert whole.filter(f"length({value}) > {2 * cut}").count() > 0
 
 
 def test_whole_orders(spark):
-    for name, cut in (("o3_census_whole", 25), ("o4_observation_order_whole", 200), ("o5_community_order_whole", 20), ("o8_by_rank_whole", 100)):
+    for name, cut in (("o3_census_top", 25), ("o4_observation_order", 200), ("o5_community_order", 20), ("o8_by_rank", 100)):
         places = sorted(r.place for r in catalogue.queries()[name](spark, SF).select("place").collect())
         assert len(places) > cut and places == list(range(1, len(places) + 1)), name

@@ -6,12 +6,17 @@ other scripts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon
 
+# The token pattern, and the normal forms below.
 TOKEN = "[a-z0-9]+(?:-[a-z0-9]+)*"
+#: Where a token begins and ends, for patterns that look for some tokens only.
+_BEGIN, _END = "(?<![a-z0-9])(?<![a-z0-9]-)", "(?!-?[a-z0-9])"
 _BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
@@ -46,13 +51,33 @@ def searchable(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"https?://\S+", " "), "[_/]+", "-")
 
 
+def _one_of(words) -> str:
+    return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+def _apart(phrases: list[list[str]]) -> list[list[list[str]]]:
+    """Phrases in groups of which at most one begins at any word; one that can overlap itself is alone (a group of its own, first)."""
+    alone = [p for p in phrases if any(p[k:] == p[:-k] for k in range(1, len(p)))]
+    groups = []
+    for p in (p for p in phrases if p not in alone):
+        for g in groups:
+            if all(p[: len(q)] != q and q[: len(p)] != p for q in g):
+                g.append(p)
+                break
+        else:
+            groups.append([p])
+    return [[[p] for p in alone], groups]
+
+
 def phrases(text: Column, lexicon: Lexicon) -> Column:
-    """The keyword of every phrase found in a searchable text, once for each place."""
-    found = []
-    for phrase in lexicon.phrases:
-        pattern = _BEFORE + phrase.replace(" ", "[ -]+") + _AFTER
-        keyword = lexicon.aliases.get(phrase.replace(" ", "-"), phrase.replace(" ", "-"))
-        found.append(F.array_repeat(F.lit(keyword), F.regexp_count(text, F.lit(pattern))))
+    """The keyword of every phrase found in a searchable text, once for each place. One pass finds all phrases that can't hide each other."""
+    alone, groups = _apart([p.split(" ") for p in lexicon.phrases])
+    resolved = lambda words: lexicon.aliases.get("-".join(words), "-".join(words))
+    found = [F.array_repeat(F.lit(resolved(p)), F.regexp_count(text, F.lit(_BEFORE + "[ -]+".join(p) + _AFTER))) for (p,) in alone]
+    for group in groups:
+        any_of = "|".join("[ -]+".join(map(re.escape, p)) for p in group)
+        seen = F.regexp_extract_all(text, F.lit(f"{_BEFORE}(?=({any_of}){_AFTER})"), 1)
+        found.append(F.transform(seen, lambda m: aliased(F.regexp_replace(m, "[ -]+", "-"), lexicon)))
     return F.concat(*found) if found else F.array().cast("array<string>")
 
 
@@ -77,22 +102,32 @@ def is_modifier(keyword: Column, lexicon: Lexicon) -> Column:
     return keyword.rlike(r"^[a-z]{3,}\z") & ~keyword.isin(*(lexicon.stopwords | lexicon.generic | lexicon.anchors))
 
 
-def token_keywords(words: Column, lexicon: Lexicon) -> Column:
-    """Normalized tokens that are signals or useful compounds."""
+def token_keywords(text: Column, lexicon: Lexicon) -> Column:
+    """A searchable text's tokens that are signals or useful compounds.
+
+    One pass gives the few tokens that can be either (signals, aliases, words with hyphens); only these
+    are looked at one by one.
+    """
+    maybe = f"{_BEGIN}(?:[a-z]{{2,}}+(?:-[a-z]{{2,}}+){{1,2}}|{_one_of(lexicon.signals | lexicon.aliases.keys())}){_END}"
+    words = F.transform(F.regexp_extract_all(text, F.lit(maybe), 0), lambda w: aliased(w, lexicon))
     return F.filter(words, lambda w: (w != "") & (w.isin(*lexicon.signals) | is_compound(w, lexicon)))
 
 
-def bigrams(words: Column, lexicon: Lexicon) -> Column:
-    """modifier-suffix for every modifier that a flexible suffix follows."""
-    pairs = F.zip_with(words, F.concat(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(F.lit(""))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    good = F.filter(pairs, lambda p: is_modifier(p["a"], lexicon) & p["b"].isin(*lexicon.suffixes))
+def bigrams(text: Column, lexicon: Lexicon) -> Column:
+    """modifier-suffix for every modifier of a searchable text that a flexible suffix follows."""
+    suffixes = {s for s in lexicon.suffixes if s not in lexicon.aliases} | {a for a, k in lexicon.aliases.items() if k in lexicon.suffixes}
+    first = "|".join([*([_one_of(lexicon.aliases)] if lexicon.aliases else []), "[a-z]{3,}+"])
+    pair = f"{_BEGIN}({first}){_END}(?=[^a-z0-9]+({_one_of(suffixes)}){_END})"
+    first, second = (F.transform(F.regexp_extract_all(text, F.lit(pair), k), lambda w: aliased(w, lexicon)) for k in (1, 2))
+    pairs = F.zip_with(first, second, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    good = F.filter(pairs, lambda p: is_modifier(p["a"], lexicon))
     return F.transform(good, lambda p: aliased(F.concat_ws("-", p["a"], p["b"]), lexicon))
 
 
 def text_keywords(text: Column, lexicon: Lexicon) -> Column:
     """All keywords of a text, with repeats: a hyphenated phrase counts as phrase and as token."""
     found = searchable(F.coalesce(text, F.lit("")))
-    each = let(found, lambda t: F.concat(phrases(t, lexicon), let(tokens(t, lexicon), lambda ws: F.concat(token_keywords(ws, lexicon), bigrams(ws, lexicon)))))
+    each = let(found, lambda t: F.concat(phrases(t, lexicon), token_keywords(t, lexicon), bigrams(t, lexicon)))
     return F.filter(each, lambda k: k != "")
 
 

@@ -54,7 +54,7 @@ def p7(spark, sf_dir):
 
 @query("p9_related", tq._OBSERVED + "SELECT id FROM related")
 def p9(spark, sf_dir):
-    return tq.related(spark, sf_dir)
+    return tq.assessed(spark, sf_dir).filter("decision = 'ai-related'").select("id")
 
 
 @query("p11_history_filter", lq._FOLD + "SELECT count(*) AS n FROM steps WHERE i > 0 AND NOT (n > 0 OR status IS NOT NULL OR coalesce(breakout_status = 'pending', FALSE))")
@@ -106,13 +106,8 @@ def f3(spark, sf_dir):
     return eq.raw_records(spark, sf_dir).filter("created_at is not null").select("line", F.try_to_timestamp("created_at").isNotNull().alias("readable"))
 
 
-@query("f6_searchable", "SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(substr(html, 1, 400), '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://\\S+', ' ', 'g'), '[_/]+', '-', 'g') AS found FROM pages")
+@query("f6_searchable", "SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(html, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://\\S+', ' ', 'g'), '[_/]+', '-', 'g') AS found FROM pages")
 def f6(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", keywords.searchable(F.substring("html", 1, 400)).alias("found"))
-
-
-@query("f6_searchable_whole", "SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(html, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://\\S+', ' ', 'g'), '[_/]+', '-', 'g') AS found FROM pages")
-def f6_whole(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", keywords.searchable(F.col("html")).alias("found"))
 
 
@@ -139,31 +134,17 @@ def f33(spark, sf_dir):
     return decisions.model_input(parts).withColumn("topics", F.array_join("topics", ","))
 
 
-@query("o4_observation_order", tq._OBSERVED + "SELECT id, source, keyword FROM observed ORDER BY id, source, keyword LIMIT 200")
+@query("o4_observation_order", tq._OBSERVED + "SELECT id, source, keyword, row_number() OVER (ORDER BY id, source, keyword) AS place FROM observed")
 def o4(spark, sf_dir):
-    return tq.observed(spark, sf_dir).select("id", "source", "keyword").orderBy("id", "source", "keyword").limit(200)
-
-
-@query("o4_observation_order_whole", tq._OBSERVED + "SELECT id, source, keyword, row_number() OVER (ORDER BY id, source, keyword) AS place FROM observed")
-def o4_whole(spark, sf_dir):
     return dense_places(tq.observed(spark, sf_dir).select("id", "source", "keyword"), [F.col("id"), F.col("source"), F.col("keyword")], "place")
 
 
 @query(
     "o5_community_order",
     tq._OBSERVED + f", grouped AS (SELECT community, {tq._DISTRICT} AS district, count(*) AS entities FROM homes GROUP BY ALL) "
-    f"SELECT community, district, entities FROM grouped ORDER BY list_position([{', '.join(repr(d) for d in tq.LEXICON.shown)}], district), entities DESC, community LIMIT 20",
-)
-def o5(spark, sf_dir):
-    return city.shown_order(tq.a20(spark, sf_dir), tq.LEXICON).limit(20).select("community", "district", "entities")
-
-
-@query(
-    "o5_community_order_whole",
-    tq._OBSERVED + f", grouped AS (SELECT community, {tq._DISTRICT} AS district, count(*) AS entities FROM homes GROUP BY ALL) "
     f"SELECT community, district, entities, row_number() OVER (ORDER BY list_position([{', '.join(repr(d) for d in tq.LEXICON.shown)}], district), entities DESC, community) AS place FROM grouped",
 )
-def o5_whole(spark, sf_dir):
+def o5(spark, sf_dir):
     shown = F.array_position(F.array(*(F.lit(d) for d in tq.LEXICON.shown)), F.col("district"))
     return dense_places(tq.a20(spark, sf_dir).select("community", "district", "entities"), [shown, F.desc("entities"), F.col("community")], "place")
 
@@ -174,13 +155,8 @@ def o7(spark, sf_dir):
     return lq.as_text(dense_places(log, [F.col("week"), F.col("key"), F.col("seq")], "place").select("key", "type", "week", "place"))
 
 
-@query("o8_by_rank", cq._RANKED + "SELECT id, global_rank FROM placed ORDER BY global_rank LIMIT 100")
+@query("o8_by_rank", cq._RANKED + "SELECT id, global_rank, row_number() OVER (ORDER BY global_rank) AS place FROM placed")
 def o8(spark, sf_dir):
-    return cq.ranked(spark, sf_dir).orderBy("global_rank").limit(100).select("id", "global_rank")
-
-
-@query("o8_by_rank_whole", cq._RANKED + "SELECT id, global_rank, row_number() OVER (ORDER BY global_rank) AS place FROM placed")
-def o8_whole(spark, sf_dir):
     return dense_places(cq.ranked(spark, sf_dir).select("id", "global_rank"), [F.col("global_rank")], "place")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import keywords
 from ..functions.lexicon import Lexicon
 from ..operators import topics
+from ..operators.city import communities
+from ..operators.ranking import dense_places
 from ..scratch import saved
 from .registry import query, table
 
@@ -98,23 +100,20 @@ def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.relevance(entities(spark, sf_dir), observed(spark, sf_dir), LEXICON)
 
 
-def related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed(spark, sf_dir).filter("decision = 'ai-related'").select("id")
+def analyzed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Observations and assessments; the texts are read once."""
+    seen = saved(observed(spark, sf_dir), "observed")
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return seen, saved(topics.relevance(ids, seen, LEXICON), "assessed")
 
 
-def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = saved(observed(spark, sf_dir), "observed")  # read three times
-    found = topics.relevance(entities(spark, sf_dir), seen, LEXICON).filter("decision = 'ai-related'")
-    return topics.primary_communities(seen, found.select("id"), LEXICON)
+def homes(spark: SparkSession, sf_dir: str, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    seen, scored = found or analyzed(spark, sf_dir)
+    return topics.primary_communities(seen, scored.filter("decision = 'ai-related'").select("id"), LEXICON)
 
 
-@query("f5_normalize", f"SELECT doc_id, {_normal('substr(text, 1, 90)')} AS keyword FROM documents")
+@query("f5_normalize", f"SELECT doc_id, {_normal('text')} AS keyword FROM documents")
 def f5(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", keywords.normalized(F.substring("text", 1, 90), LEXICON).alias("keyword"))
-
-
-@query("f5_normalize_whole", f"SELECT doc_id, {_normal('text')} AS keyword FROM documents")
-def f5_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", keywords.normalized(F.col("text"), LEXICON).alias("keyword"))
 
 
@@ -142,8 +141,8 @@ def f7(spark, sf_dir):
 @query("f10_bigrams", _OBSERVED + f"SELECT id, {_normal(chr(119) + ' || ' + chr(39) + '-' + chr(39) + ' || next')} AS keyword, count(*) AS n FROM paired WHERE regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({_list(LEXICON.stopwords | LEXICON.generic | LEXICON.anchors)}) AND next IN ({_list(LEXICON.suffixes)}) GROUP BY ALL")
 def f10(spark, sf_dir):
     texts = entities(spark, sf_dir).select("id", F.explode(F.array("description", F.substring("readme", 1, LEXICON.readme_limit))).alias("t"))
-    words = keywords.tokens(keywords.searchable(F.coalesce("t", F.lit(""))), LEXICON)
-    return texts.select("id", F.explode(keywords.let(words, lambda ws: keywords.bigrams(ws, LEXICON))).alias("keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    pairs = keywords.bigrams(keywords.searchable(F.coalesce("t", F.lit(""))), LEXICON)
+    return texts.select("id", F.explode(pairs).alias("keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a14_observations", _OBSERVED + "SELECT * FROM observed")
@@ -166,15 +165,8 @@ def a15(spark, sf_dir):
     return topics.census(observed(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("o3_census_top", _OBSERVED + "SELECT keyword, count(DISTINCT id) AS entities, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM observed GROUP BY keyword ORDER BY entities DESC, occurrences DESC, keyword LIMIT 25")
+@query("o3_census_top", _OBSERVED + "SELECT *, row_number() OVER (ORDER BY entities DESC, occurrences DESC, keyword) AS place FROM (SELECT keyword, count(DISTINCT id) AS entities, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM observed GROUP BY keyword)")
 def o3(spark, sf_dir):
-    return topics.census(observed(spark, sf_dir)).select("keyword", "entities", "occurrences").orderBy(F.desc("entities"), F.desc("occurrences"), "keyword").limit(25)
-
-
-@query("o3_census_whole", _OBSERVED + "SELECT *, row_number() OVER (ORDER BY entities DESC, occurrences DESC, keyword) AS place FROM (SELECT keyword, count(DISTINCT id) AS entities, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM observed GROUP BY keyword)")
-def o3_whole(spark, sf_dir):
-    from ..operators.ranking import dense_places
-
     return dense_places(topics.census(observed(spark, sf_dir)).select("keyword", "entities", "occurrences"), [F.desc("entities"), F.desc("occurrences"), F.col("keyword")], "place")
 
 
@@ -184,12 +176,13 @@ def o3_whole(spark, sf_dir):
     "SELECT id, CASE WHEN decision = 'ai-related' THEN CASE WHEN id IN (SELECT id FROM observed WHERE keyword IN (FROM wide)) THEN 'emerging' ELSE 'unknown' END END AS status FROM assessed",
 )
 def a17(spark, sf_dir):
-    return topics.community_status(observed(spark, sf_dir), assessed(spark, sf_dir), LEXICON)
+    return topics.community_status(*analyzed(spark, sf_dir), LEXICON)
 
 
 @query("a18_related_counts", _OBSERVED + "SELECT * FROM shared")
 def a18(spark, sf_dir):
-    return topics.related_counts(observed(spark, sf_dir), related(spark, sf_dir))
+    seen, scored = analyzed(spark, sf_dir)
+    return topics.related_counts(seen, scored.filter("decision = 'ai-related'"))
 
 
 @query("a19_primary_community", _OBSERVED + "SELECT * FROM homes")
@@ -217,7 +210,7 @@ def f19(spark, sf_dir):
     "FROM homes LEFT JOIN shared ON shared.keyword = community GROUP BY community",
 )
 def a20(spark, sf_dir):
-    from ..operators.city import communities
-
-    placed = homes(spark, sf_dir).withColumn("district", keywords.district(F.col("community"), LEXICON))
-    return communities(placed, topics.related_counts(observed(spark, sf_dir), related(spark, sf_dir)), LEXICON).select("community", "label", "district", "status", "entities")
+    found = analyzed(spark, sf_dir)
+    placed = homes(spark, sf_dir, found).withColumn("district", keywords.district(F.col("community"), LEXICON))
+    related = topics.related_counts(found[0], found[1].filter("decision = 'ai-related'"))
+    return communities(placed, related, LEXICON).select("community", "label", "district", "status", "entities")
