@@ -12,12 +12,10 @@ from ..functions.lexicon import Lexicon
 def observations(entities: DataFrame, lexicon: Lexicon) -> DataFrame:
     """id, source, keyword, occurrences, confidence from id, topics, description, readme."""
     readme = F.substring("readme", 1, lexicon.readme_limit)
-    found = F.array(
-        F.struct(F.lit("topics").alias("source"), topic_keywords(F.col("topics"), lexicon).alias("keywords")),
-        F.struct(F.lit("description").alias("source"), text_keywords(F.col("description"), lexicon).alias("keywords")),
-        F.struct(F.lit("readme").alias("source"), text_keywords(readme, lexicon).alias("keywords")),
-    )
-    each = entities.select("id", F.explode(found).alias("f")).select("id", "f.source", F.explode("f.keywords").alias("keyword"))
+    texts = F.array(F.struct(F.lit("description").alias("source"), F.col("description").alias("text")), F.struct(F.lit("readme").alias("source"), readme.alias("text")))
+    read = entities.select("id", F.explode(texts).alias("t")).select("id", "t.source", text_keywords(F.col("t.text"), lexicon).alias("keywords"))
+    named = entities.select("id", F.lit("topics").alias("source"), topic_keywords(F.col("topics"), lexicon).alias("keywords"))
+    each = named.unionByName(read).select("id", "source", F.explode("keywords").alias("keyword"))
     confidence = F.create_map(*(F.lit(x) for s, (c, _, _) in lexicon.sources.items() for x in (s, c)))
     return each.groupBy("id", "source", "keyword").agg(F.count(F.lit(1)).alias("occurrences")).withColumn("confidence", confidence[F.col("source")])
 

@@ -134,14 +134,14 @@ def f8(spark, sf_dir):
     + ") WHERE n > 0",
 )
 def f7(spark, sf_dir):
-    found = keywords.phrases(keywords.searchable(F.col("text")), LEXICON)
+    found = keywords.text_keywords(F.col("text"), LEXICON, ("phrases",))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("keyword")).groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f10_bigrams", _OBSERVED + f"SELECT id, {_normal(chr(119) + ' || ' + chr(39) + '-' + chr(39) + ' || next')} AS keyword, count(*) AS n FROM paired WHERE regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({_list(LEXICON.stopwords | LEXICON.generic | LEXICON.anchors)}) AND next IN ({_list(LEXICON.suffixes)}) GROUP BY ALL")
 def f10(spark, sf_dir):
     texts = entities(spark, sf_dir).select("id", F.explode(F.array("description", F.substring("readme", 1, LEXICON.readme_limit))).alias("t"))
-    pairs = keywords.bigrams(keywords.searchable(F.coalesce("t", F.lit(""))), LEXICON)
+    pairs = keywords.text_keywords(F.col("t"), LEXICON, ("bigrams",))
     return texts.select("id", F.explode(pairs).alias("keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
