@@ -93,6 +93,32 @@ def test_file_that_breaks_off(spark, tmp_path):
     assert kinds.count("parse-error") == 1 and kinds.count("event") > 100
 
 
+def test_damaged_bytes_keep_what_was_read(spark, tmp_path):
+    """One damaged byte anywhere never fails the read: records before it stay, and the fault is an error."""
+    raw = gzip.compress("\n".join(json.dumps(event(str(i + 1), note=str(i * 7919 % 10007))) for i in range(3000)).encode())
+    for k in range(20):
+        bad = bytearray(raw)
+        bad[20 + k * (len(raw) - 40) // 20] ^= 0xFF
+        (tmp_path / f"2026-07-27-{k}.json.gz").write_bytes(bytes(bad))
+    rows = archive.read_archive(spark, str(tmp_path)).groupBy("hour", "kind").count().collect()
+    assert {r.hour.hour for r in rows if r.kind == "parse-error"} == set(range(20))
+    assert sum(r["count"] for r in rows if r.kind == "event") > 5000
+
+
+def test_only_the_window_is_read(spark, tmp_path):
+    """A folder under an outside hour's name can't be read at all; empty files count as read."""
+    for h in (1, 2):
+        (tmp_path / f"2026-07-27-{h}.json.gz").write_bytes(gzip.compress(b"" if h == 2 else json.dumps(event("1", at="2026-07-27T01:10:00Z")).encode()))
+    (tmp_path / "2026-07-27-3.json.gz").write_bytes(b"no gzip at all")
+    (tmp_path / "2026-07-28-1.json.gz").symlink_to(tmp_path / "missing")
+    window = archive.hour_window("2026-07-27T01:00:00Z", 2)
+    assert archive.file_names(window) == ["2026-07-27-1.json.gz", "2026-07-27-2.json.gz"]
+    rows = archive.read_archive(spark, str(tmp_path), window, mark_files=True).collect()
+    assert sorted((r.hour.hour, r.kind) for r in rows) == [(1, "event"), (1, "file"), (2, "file")]
+    found = events.validated(archive.read_archive(spark, str(tmp_path), window, mark_files=True))
+    assert found.filter("kind = 'file' and status <> 'ignored'").count() == 0
+
+
 def test_readme(spark):
     rows = [(base64.b64encode("héllo".encode()).decode(), "base64"), ("%%%", "base64"), ("aGk=", "none"), (base64.b64encode(b"\xff\xfe").decode(), "base64")]
     found = spark.createDataFrame(rows, "content string, encoding string").select(archive.readme_text(archive.F.col("content"), archive.F.col("encoding")).alias("t")).collect()

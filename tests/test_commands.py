@@ -38,8 +38,22 @@ def test_from_archive_to_city(spark, tmp_path):
     assert rows["agents/mcp"].velocity == 8.0
     assert series["daily"].count() == 21 and series["days"].filter("complete").count() == 7
     main(["lifecycle", str(out / "series"), "--out", str(out / "life")])
-    states = {r.key: r.status for r in tables.read_relation(spark, str(out / "life/states"), "1").collect()}
-    assert states == {"graph/rag": "candidate", "small/tool": "candidate", "agents/mcp": "candidate"}
+    states = {r.key: (r.status, r.availability) for r in tables.read_relation(spark, str(out / "life/states"), "1").collect()}
+    assert states == {f"name:{n}": ("candidate", "unknown") for n in ("graph/rag", "small/tool", "agents/mcp")}
+    metadata = spark.createDataFrame([(5, "Graph/RAG2", "graph/rag"), (6, "small/tool", "small/tool")], "id long, today string, full_name string")
+    metadata.select("full_name", "id", "today").write.parquet(str(tmp_path / "metadata"))
+    main(["enrich", str(out / "series"), "--metadata", str(tmp_path / "metadata"), "--out", str(out / "rich")])
+    rich = {r.key: r for r in tables.read_relation(spark, str(out / "rich/activity"), "1").collect()}
+    assert {k: (r.metadata_selected, r.current and r.current.id) for k, r in rich.items()} == {"graph/rag": (True, 5), "small/tool": (False, None), "agents/mcp": (True, None)}
+    assert [r.target for r in tables.read_relation(spark, str(out / "rich/errors"), "1").collect()] == ["agents/mcp"]
+    assert tuple(tables.read_relation(spark, str(out / "rich/metadata"), "1").first()) == (2, 1, False)
+    main(["lifecycle", str(out / "rich"), "--scout-weekly", "6", "--breakout-weekly", "300", "--out", str(out / "life2")])
+    states = {r.key: (r.id, r.status, r.availability) for r in tables.read_relation(spark, str(out / "life2/states"), "1").collect()}
+    assert states == {"id:5": (5, "candidate", "available"), "name:small/tool": (None, None, "unknown"), "name:agents/mcp": (None, "candidate", "unavailable")}
+    windows = [tables.read_relation(spark, str(out / "life2/window"), "1")] * 3
+    assert commands.incompatible(*windows).isEmpty()
+    shorter = windows[0].select(commands.F.date_add("first", 1).alias("first"), "last")
+    assert len(commands.incompatible(windows[0], shorter, shorter).collect()) == 2
     entities = spark.createDataFrame([(1, ["graph-rag"], None, None), (2, [], "A calendar.", None), (3, ["mcp", "ai-agents"], None, None)], "id long, topics array<string>, description string, readme string")
     analysis = commands.analyze(entities)
     active = spark.createDataFrame([(1, "graph/rag", 202, 900, 9, 5), (3, "agents/mcp", 56, 20, 1, None)], "id long, full_name string, watches long, stars long, forks long, commits long")
@@ -52,6 +66,45 @@ def test_from_archive_to_city(spark, tmp_path):
     assert tables.city_violations(city["entities"], city["communities"], ["agents"]).first().problem == "unknown district"
 
 
+def test_a_renamed_entity_is_followed_by_its_id(spark):
+    """Week one under an old name without metadata, week two under the new one, whose metadata know both."""
+    day = lambda k: f"2026-07-{27 + k}" if k < 5 else f"2026-08-{k - 4:02d}"
+    current = "struct<id:long,full_name:string>"
+    schema = f"key string, full_name string, first_seen_at string, last_seen_at string, n long, metadata_selected boolean, current {current}"
+    series = []
+    for name, known in (("old/name", None), ("new/name", (7, "new/name"))):
+        k = 7 * len(series)
+        active = spark.createDataFrame([(name, name, day(k) + "T00:00:00Z", day(k + 6) + "T00:00:00Z", 21, bool(known), known), ("Both/X".lower(), "Both/X", day(k) + "T00:00:00Z", day(k) + "T01:00:00Z", 3, False, None)], schema)
+        if not known:
+            active = active.drop("metadata_selected", "current")
+            active = active.unionByName(active.filter("key = 'old/name'").withColumns({"key": commands.F.lit("new/name"), "full_name": commands.F.lit("New/name")}))
+        daily = active.select("key", commands.F.explode(commands.F.array(*(commands.F.lit(day(k + d)).cast("date") for d in range(7)))).alias("date"), commands.F.lit(1).cast("long").alias("n"))
+        days = spark.createDataFrame([(day(k + d),) for d in range(7)], "date string").selectExpr("to_date(date) date", "24L hours_collected", "10L events", "true complete")
+        series.append({"activity": active, "daily": daily, "days": days})
+    found = commands.follow(spark, series)
+    states = {r.key: (r.id, r.full_name, r.aliases, r.availability) for r in found["states"].collect()}
+    assert states == {
+        "id:7": (7, "new/name", ["New/name", "new/name"], "available"),
+        "name:old/name": (None, "old/name", ["old/name"], "unknown"),
+        "name:both/x": (None, "Both/X", ["Both/X"], "unknown"),
+    }
+    weeks = {(r.key, str(r.week)): r.n for r in found["weeks"].collect()}
+    assert weeks["id:7", "2026-07-27"] == 7 and weeks["id:7", "2026-08-03"] == 7 and weeks["name:both/x", "2026-08-03"] == 7
+
+
+def test_replacing_a_relation_fails_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    tables.write_relation(spark.range(3), path, "1")
+    monkeypatch.setattr(tables, "write_relation", lambda *a: None)  # nothing is there to be renamed
+    try:
+        tables.replace_relation(spark.range(9), path, "1")
+        raise AssertionError
+    except OSError:
+        pass
+    assert tables.read_relation(spark, path, "1").count() == 3
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
 def test_buildings_never_overlap(spark):
     from tidemark.operators import layout
 

@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lexicon import Lexicon
+from .operators import lifecycle
 from .plans import commands
 from .sources import tables
 
 VERSION = "1"
+# Fixed value: the bound of an option.
+MAX_README = 100_000
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,9 +33,17 @@ def parser() -> argparse.ArgumentParser:
     command("discover", ("archive", {}), ("--from", {"required": True, "dest": "start"}), ("--hours", {"type": int, "default": 24}), ("--top", {"type": int, "default": 10}), ("--metadata", {}), out)
     command("backfill", ("archive", {}), ("--from", {"required": True, "dest": "start"}), ("--days", {"type": int, "default": 7}), ("--least-daily", {"type": int}), ("--least-total", {"type": int}), out)
     command("enrich", ("series", {}), ("--metadata", {"required": True}), out)
-    command("lifecycle", ("series", {"nargs": "+"}), out)
-    command("analyze", ("entities", {"help": "table of id, topics, description, readme"}), out)
-    command("build-city", ("active", {}), ("--analysis", {"required": True}), ("--states", {"required": True}), out)
+    limit = lambda flag, value, what: (flag, {"type": int, "default": value, "help": f"least {what}"})
+    command(
+        "lifecycle",
+        ("series", {"nargs": "+", "help": "raw or enriched, in ascending order"}),
+        limit("--main-daily", lifecycle.MAIN_DAILY, "events of a day"),
+        limit("--scout-weekly", lifecycle.SCOUT_WEEKLY, "events of a week that qualify"),
+        limit("--breakout-weekly", lifecycle.BREAKOUT_WEEKLY, "events of a week that break out"),
+        out,
+    )
+    command("analyze", ("entities", {"help": "table of id, topics, description, readme"}), ("--series", {"help": "the series that the entities come from"}), ("--readme-limit", {"type": int, "default": 12_000}), out)
+    command("build-city", ("active", {}), ("--series", {"required": True}), ("--analysis", {"required": True}), ("--states", {"required": True}), out)
     return top
 
 
@@ -44,6 +56,11 @@ def read(spark: SparkSession, path: str, *names: str) -> dict:
     return {n: tables.read_relation(spark, f"{path}/{n}", VERSION) for n in names}
 
 
+def window(spark: SparkSession, series: str):
+    """First and last day of a series: one row."""
+    return read(spark, series, "days")["days"].agg(F.min("date").alias("first"), F.max("date").alias("last"))
+
+
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     if a.command == "init":
@@ -57,16 +74,20 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "backfill":
         write(commands.backfill(spark, a.archive, a.start, a.days, a.least_daily, a.least_total), a.out)
     elif a.command == "enrich":
-        series = read(spark, a.series, "activity", "errors")
-        selected, missing = commands.activity.enriched(series["activity"].filter("selected"), spark.read.parquet(a.metadata))
-        errors = commands.activity.without_old_errors(series["errors"]).unionByName(missing)
-        write({"activity": selected, "errors": errors}, a.out)
+        write(commands.enrich(read(spark, a.series, "activity", "daily", "days", "integrity", "errors"), spark.read.parquet(a.metadata)), a.out)
     elif a.command == "lifecycle":
-        write(commands.follow(spark, [read(spark, s, "daily", "days") for s in a.series]), a.out)
+        limits = lifecycle.rules(a.main_daily, a.scout_weekly, a.breakout_weekly)
+        write(commands.follow(spark, [read(spark, s, "activity", "daily", "days") for s in a.series], limits), a.out)
     elif a.command == "analyze":
-        write(commands.analyze(spark.read.parquet(a.entities)), a.out)
+        if not 1 <= a.readme_limit <= MAX_README:
+            raise ValueError(f"the README limit must be from 1 to {MAX_README}")
+        found = commands.analyze(spark.read.parquet(a.entities), Lexicon(readme_limit=a.readme_limit))
+        write(found | ({"window": window(spark, a.series)} if a.series else {}), a.out)
     else:
-        states = read(spark, a.states, "states")["states"].select(F.lit(None).cast("long").alias("id"), F.col("key").alias("name"), "status", "fast_ever")
+        windows = window(spark, a.series), *(read(spark, path, "window")["window"] for path in (a.analysis, a.states))
+        if problems := [r.problem for r in commands.incompatible(*windows).collect()]:  # two at most
+            raise ValueError("; ".join(problems))
+        states = read(spark, a.states, "states")["states"].select("id", F.col("full_name").alias("name"), "status", "fast_ever")
         write(commands.build_city(spark.read.parquet(a.active), read(spark, a.analysis, "related", "homes"), states), a.out)
 
 

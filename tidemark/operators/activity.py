@@ -87,16 +87,24 @@ def top_candidates(totals: DataFrame, k: int = 10) -> DataFrame:
 
 
 def enriched(totals: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``totals`` with their metadata (null where there is none), and a coverage row for each miss.
+    """All rows of ``totals`` with metadata_selected and ``current``, their metadata, and a coverage row for each miss.
 
-    ``metadata`` has one row for each full_name in any casing.
+    Where ``totals`` has a column ``selected``, only selected rows get metadata or can miss it; the others
+    keep null. ``metadata`` has one row for each full_name in any casing.
     """
     found = metadata.select(F.lower("full_name").alias("key_"), F.struct("*").alias("current"))
-    joined = totals.join(found, F.col("key") == F.col("key_"), "left").drop("key_")
-    missing = joined.filter("current is null").select(F.lit("metadata").alias("source"), F.col("full_name").alias("target"), F.lit("metadata is missing").alias("message"))
+    asked = totals.withColumn("metadata_selected", F.col("selected") if "selected" in totals.columns else F.lit(True))
+    joined = asked.join(found, (F.col("key") == F.col("key_")) & F.col("metadata_selected"), "left").drop("key_")
+    missing = joined.filter("metadata_selected and current is null").select(F.lit("metadata").alias("source"), F.col("full_name").alias("target"), F.lit("metadata is missing").alias("message"))
     return joined, missing
 
 
+def metadata_counts(rows: DataFrame) -> DataFrame:
+    """selected, collected, complete over the rows of ``enriched``."""
+    asked, got = F.count_if("metadata_selected"), F.count_if(F.col("metadata_selected") & F.col("current").isNotNull())
+    return rows.agg(asked.alias("selected"), got.alias("collected"), (asked == got).alias("complete"))
+
+
 def still_needed(selected: DataFrame, known: DataFrame) -> DataFrame:
     """Selected keys without metadata yet: what an incremental run has to fetch."""
     return selected.join(known.select("key"), "key", "left_anti")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compatible, digest
+from ..functions.text import compatible, digest, redacted
 from .ranking import dense_places
 
 # The decisions, and bounds of the options.
@@ -66,7 +67,7 @@ def strict_responses(requested: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.select("id", "batch", F.when(problem.isNull(), F.col("answer")).alias("decision"), problem.alias("problem"))
 
 
-def classify(misses: DataFrame, invoke: Callable[[list[dict]], list[dict]], size: int = 20, retries: int = 1, budget: int = MAX_BUDGET) -> tuple[DataFrame, int]:
+def classify(misses: DataFrame, invoke: Callable[[list[dict]], list[dict]], size: int = 20, retries: int = 1, budget: int = MAX_BUDGET, secrets: list[str] = ()) -> tuple[DataFrame, int]:
     """Decisions of a model for ``misses``, and how many requests it took.
 
     ``invoke`` answers a batch; it runs in the tasks. Rounds are sequential, since the budget counts the
@@ -95,12 +96,51 @@ def classify(misses: DataFrame, invoke: Callable[[list[dict]], list[dict]], size
         spent += asked
         answered = saved(dealt.repartition("batch").mapInPandas(run, "batch long, id long, decision string, evidence string"), "answers")
         checked = strict_responses(dealt, answered)
-        good = checked.filter("problem is null").join(answered.select("id", "evidence"), "id")
+        good = saved(checked.filter("problem is null").join(answered.select("id", "batch", "evidence"), ["id", "batch"]), "good")
         done = good if done is None else done.unionByName(good)
         open_ = saved(open_.join(good.select("id"), "id", "left_anti"), "open")
     if done is None:
         done = misses.select("id", F.lit(None).cast("long").alias("batch"), F.lit(None).cast("string").alias("decision"), F.lit(None).cast("string").alias("problem"), F.lit(None).cast("string").alias("evidence")).limit(0)
-    return done.select("id", "decision", F.trim(F.substring(compatible(F.col("evidence")), 1, EVIDENCE)).alias("evidence")), spent
+    return done.select("id", "decision", evidence(F.col("evidence"), secrets).alias("evidence")), spent
+
+
+def evidence(value: Column, secrets: list[str] = ()) -> Column:
+    """What a model says for its decision: secrets redacted, normalized, cut, trimmed."""
+    return F.trim(F.substring(compatible(redacted(value, secrets)), 1, EVIDENCE))
+
+
+class Model(NamedTuple):
+    """A model: ``invoke`` answers a batch (a list of id, description, topics) with a list of id, decision, evidence."""
+
+    invoke: Callable[[list[dict]], list[dict]]
+    provider: str
+    name: str
+    prompt_version: str = "1"
+    method_version: str = "1"
+    size: int = 20
+    retries: int = 1
+    budget: int = MAX_BUDGET
+    secrets: tuple[str, ...] = ()
+
+
+def decided(entities: DataFrame, model: Model, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, decision, evidence) of the entities that the cache or the model decides, and the cache's new entries."""
+    from ..scratch import saved
+
+    versions = (model.provider, model.name, model.prompt_version, model.method_version)
+    inputs = saved(cache_keys(model_input(entities), *versions).dropDuplicates(["id"]), "inputs")
+    if cache is None:
+        hits, misses = inputs.limit(0).select("id", F.lit(None).cast("string").alias("decision"), F.lit(None).cast("string").alias("evidence")), inputs
+    else:
+        if not corrupt_entries(cache).isEmpty():
+            raise ValueError("the cache has entries that don't follow from their fields")
+        hits, misses = cache_split(inputs, cache)
+        hits = hits.select("id", "decision", "evidence")
+    answers, _ = classify(misses.select("id", "description", "topics"), model.invoke, model.size, model.retries, model.budget, list(model.secrets))
+    found = saved(answers, "decisions")
+    named = dict(zip(("provider", "model", "prompt_version", "method_version"), map(F.lit, versions), strict=True))
+    fresh = inputs.select("id", "metadata_hash", "key").join(found, "id").withColumns(named)
+    return hits.unionByName(found), fresh
 
 
 def one_outcome(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -248,22 +248,39 @@ def week_summary(daily: DataFrame, coverage: DataFrame, limits: dict[str, int] |
 
 
 def identified(observations: DataFrame) -> DataFrame:
-    """``observations`` (input, name, id) with ``identity``: id:<n> if any input knows the name's id, else name:<name>.
+    """``observations`` (input, name, id, current_name) with ``identity``: id:<n> if any input knows the name's id, else name:<name>.
 
-    The latest input that knows an id for a name decides.
+    Metadata give an id to the name that was asked for and to the entity's current name; the latest input
+    that knows an id for a name decides. A row's own id goes before those. Column ``current_name`` may be missing.
     """
-    known = observations.filter("id is not null").groupBy(F.lower("name").alias("key_")).agg(F.max_by("id", F.struct("input", "id")).alias("id_"))
-    joined = observations.join(known, F.lower("name") == F.col("key_"), "left")
+    rows = observations if "current_name" in observations.columns else observations.withColumn("current_name", F.lit(None).cast("string"))
+    names = rows.filter("id is not null").select("id", "input", F.explode(F.array_compact(F.array("name", "current_name"))).alias("n_"))
+    known = names.groupBy(F.lower("n_").alias("key_")).agg(F.max_by("id", F.struct("input", "id")).alias("id_"))
+    joined = rows.join(known, F.lower("name") == F.col("key_"), "left")
     own = F.coalesce("id", "id_")
     return joined.withColumn("identity", F.when(own.isNotNull(), F.concat(F.lit("id:"), own)).otherwise(F.concat(F.lit("name:"), F.lower("name")))).drop("key_", "id_")
 
 
 def merged_identities(observations: DataFrame) -> DataFrame:
-    """identity, last name, aliases, first and last time, total: renames and inputs merged."""
-    return identified(observations).groupBy("identity").agg(
-        F.max_by("name", F.struct("input", "name")).alias("full_name"),
-        F.array_sort(F.collect_set("name")).alias("aliases"),
+    """From observations, ``identified`` or not: identity, id, last name, aliases, availability, first and last time, total; renames and inputs merged.
+
+    A current name goes before the observed one. ``availability`` follows from the last input that asked for
+    metadata (column ``asked``, if there is one): available, unavailable, or unknown if none did.
+    """
+    named = observations if "identity" in observations.columns else identified(observations)
+    name, asked = F.coalesce("current_name", "name"), F.col("asked") if "asked" in named.columns else F.lit(False)
+    told = F.when(F.col("id").isNotNull(), "available").when(asked, "unavailable")
+    return named.groupBy("identity").agg(
+        F.max_by(name, F.struct("input", "name")).alias("full_name"),
+        F.array_sort(F.array_union(F.collect_set("name"), F.collect_set("current_name"))).alias("aliases"),
+        F.coalesce(F.max_by(told, F.when(told.isNotNull(), F.struct("input", "name"))), F.lit("unknown")).alias("availability"),
         F.min("first_at").alias("first_at"),
         F.max("last_at").alias("last_at"),
         F.sum("n").alias("n"),
-    )
+    ).withColumn("id", F.regexp_extract("identity", r"^id:(\d+)\z", 1).try_cast("long"))
+
+
+def identity_days(daily: DataFrame, named: DataFrame) -> DataFrame:
+    """key (the identity), date, n: the counts of each day of all an identity's names and inputs, from ``daily`` (input, key, date, n)."""
+    of = named.select("input", F.lower("name").alias("key"), "identity").distinct()
+    return daily.join(of, ["input", "key"]).groupBy(F.col("identity").alias("key"), "date").agg(F.sum("n").alias("n"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keywords
 from ..functions.lexicon import Lexicon
-from ..operators import activity, city, events, layout, lifecycle, topics
+from ..functions.text import ordinal
+from ..operators import activity, city, decisions, events, layout, lifecycle, topics
 from ..operators.ranking import dense_places
 from ..scratch import saved
 from ..sources import archive
@@ -15,9 +18,7 @@ from ..sources import archive
 
 def inspect(spark: SparkSession, path: str, window: tuple) -> DataFrame:
     """Deduplicated records of the archive in a window of hours."""
-    first, last = (F.lit(f"{t.isoformat()}Z").cast("timestamp") for t in window)
-    records = archive.read_archive(spark, path).filter((F.col("hour") >= first) & (F.col("hour") < last))
-    return saved(events.deduplicated(events.validated(records)), "inspected")
+    return saved(events.deduplicated(events.validated(archive.read_archive(spark, path, window, mark_files=True))), "inspected")
 
 
 def discover(spark: SparkSession, path: str, start: str, hours: int = 24, top: int = 10, metadata: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -49,26 +50,71 @@ def backfill(spark: SparkSession, path: str, start: str, days: int = 7, least_da
     return {"activity": series, "daily": activity.dense_daily(counts, calendar), "days": covered, "integrity": events.integrity(inspected.withColumn("date", F.to_date("hour")), ["date"]), "errors": events.coverage_errors(inspected)}
 
 
+def enrich(series: dict[str, DataFrame], metadata: DataFrame) -> dict[str, DataFrame]:
+    """A series with the metadata of its selected entities: all of its tables, so that it can be used like the raw one."""
+    rows, missing = activity.enriched(series["activity"].drop("metadata_selected", "current"), metadata)
+    errors = activity.without_old_errors(series["errors"]).unionByName(missing)
+    return series | {"activity": rows, "errors": errors, "metadata": activity.metadata_counts(rows)}
+
+
+def observations(series: DataFrame, number: int) -> DataFrame:
+    """A series' entities as input ``number`` of ``lifecycle.identified``, whether it is enriched or raw."""
+    known = "current" in series.columns
+    current = lambda field, kind: F.col(f"current.{field}").cast(kind) if known else F.lit(None).cast(kind)
+    return series.select(
+        F.lit(number).alias("input"),
+        "key",
+        F.col("full_name").alias("name"),
+        current("id", "long").alias("id"),
+        current("full_name", "string").alias("current_name"),
+        (F.coalesce("metadata_selected", F.lit(False)) if known else F.lit(False)).alias("asked"),
+        F.to_timestamp("first_seen_at").alias("first_at"),
+        F.to_timestamp("last_seen_at").alias("last_at"),
+        F.col("n").cast("long").alias("n"),
+    )
+
+
 def follow(spark: SparkSession, inputs: list[dict[str, DataFrame]], limits: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """The lifecycle over consecutive series: states, weeks, events, summary."""
-    days, daily = None, None
-    for k, series in enumerate(inputs):
-        d, n = series["days"].withColumn("input", F.lit(k)), series["daily"]
-        days, daily = (d, n) if days is None else (days.unionByName(d), daily.unionByName(n))
+    """The lifecycle over consecutive series (activity, daily, days), raw or enriched: states, weeks, events, summary, window.
+
+    Entities are followed by their id, under whatever names; only names that no input knows an id for are
+    followed by name. ``states`` has id, full_name, aliases and availability of each.
+    """
+    tables = [
+        (s["days"].withColumn("input", F.lit(k)), s["daily"].withColumn("input", F.lit(k)), observations(s["activity"], k)) for k, s in enumerate(inputs)
+    ]
+    days, daily, seen = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each) for each in zip(*tables, strict=True))
     if not lifecycle.check_windows(days.select("input", "date")).isEmpty():
         raise ValueError("series must be consecutive days in ascending order")
     coverage = lifecycle.week_coverage(days.withColumn("records_complete", F.col("complete")))
-    observed = daily.filter("n > 0")
+    named = saved(lifecycle.identified(seen), "identified")
+    observed = saved(lifecycle.identity_days(daily.filter("n > 0"), named), "observed")
     states = saved(lifecycle.folded(lifecycle.tracked_weeks(observed, coverage, limits)), "states")
-    return {"states": lifecycle.final_states(states), "weeks": lifecycle.lifecycle_weeks(states), "events": lifecycle.lifecycle_events(states), "summary": lifecycle.week_summary(observed, coverage, limits)}
+    who = lifecycle.merged_identities(named).select(F.col("identity").alias("key"), "id", "full_name", "aliases", "availability", "first_at", "last_at")
+    window = days.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return {"states": lifecycle.final_states(states).join(who, "key"), "window": window, "weeks": lifecycle.lifecycle_weeks(states), "events": lifecycle.lifecycle_events(states), "summary": lifecycle.week_summary(observed, coverage, limits)}
+
 
+def analyze(entities: DataFrame, lexicon: Lexicon = Lexicon(), model: decisions.Model | None = None, cache: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Keywords and relevance of entities (id, topics, description, readme): observations, assessed, census, communities.
 
-def analyze(entities: DataFrame, lexicon: Lexicon = Lexicon()) -> dict[str, DataFrame]:
-    """Keywords and relevance of entities (id, topics, description, readme): observations, assessed, census, communities."""
-    observed = saved(topics.observations(entities, lexicon), "observed")
-    assessed = saved(topics.relevance(entities, observed, lexicon), "assessed")
+    Relevance follows from the keywords, or, with a ``model``, from its decisions: those in ``cache`` aren't
+    asked for again, READMEs of entities that it rules out or leaves open aren't read, and ``cache`` in the
+    result has what is to be added to the cache.
+    """
+    extra = {}
+    if model is None:
+        observed = saved(topics.observations(entities, lexicon), "observed")
+        assessed = saved(topics.relevance(entities, observed, lexicon), "assessed")
+    else:
+        outcomes, extra["cache"] = decisions.decided(entities, model, cache)
+        judged = entities.join(outcomes, "id", "left")
+        wanted = F.when(F.coalesce(F.col("decision") != "not-ai", F.lit(False)), F.col("readme"))
+        observed = saved(topics.observations(judged.select("id", "topics", "description", wanted.alias("readme")), lexicon), "observed")
+        score = F.coalesce(F.round(ordinal(F.col("decision")) * 100), F.lit(0)).cast("long")
+        assessed = saved(judged.select("id", score.alias("score"), F.coalesce("decision", F.lit("unavailable")).alias("decision"), "evidence"), "assessed")
     related = assessed.filter("decision = 'ai-related'").select("id")
-    return {
+    return extra | {
         "observations": observed,
         "assessed": assessed.join(topics.community_status(observed, assessed, lexicon), "id"),
         "census": topics.census(observed),
@@ -77,6 +123,19 @@ def analyze(entities: DataFrame, lexicon: Lexicon = Lexicon()) -> dict[str, Data
     }
 
 
+def incompatible(activity_window: DataFrame, analysis_window: DataFrame, lifecycle_window: DataFrame) -> DataFrame:
+    """problem: what keeps the documents of a city from going together (windows: first, last; one row each). No rows: nothing."""
+    a, n, c = (w.select(F.col("first").alias(f"{k}_first"), F.col("last").alias(f"{k}_last")) for w, k in ((activity_window, "a"), (analysis_window, "n"), (lifecycle_window, "c")))
+    every = a.join(F.broadcast(n)).join(F.broadcast(c))  # one row each
+    problems = F.array_compact(
+        F.array(
+            F.when(~F.col("a_first").eqNullSafe(F.col("n_first")) | ~F.col("a_last").eqNullSafe(F.col("n_last")), "the analysis has another window than the activity"),
+            F.when(~F.coalesce((F.col("c_first") <= F.col("a_first")) & (F.col("c_last") >= F.col("a_last")), F.lit(False)), "the lifecycle doesn't cover the activity"),
+        )
+    )
+    return every.select(F.explode(problems).alias("problem"))
+
+
 def build_city(active: DataFrame, analysis: dict[str, DataFrame], states: DataFrame, lexicon: Lexicon = Lexicon()) -> dict[str, DataFrame]:
     """Entities, communities and districts with places, from activity with metadata, analysis and lifecycle.
 

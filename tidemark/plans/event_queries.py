@@ -234,9 +234,8 @@ def j1(spark, sf_dir):
 @query("j2_selected_metadata", _VALID + f", {_META} SELECT t.key, t.n, CASE WHEN t.n >= 50 THEN m.stars END AS stars FROM (SELECT key, count(*) AS n FROM watches GROUP BY key) t LEFT JOIN meta m ON t.key = m.key AND t.n >= 50")
 def j2(spark, sf_dir):
     totals = activity.entity_totals(watches(spark, sf_dir))
-    joined, _ = activity.enriched(totals.filter("n >= 50"), metadata(spark, sf_dir))
-    rest = totals.filter("n < 50").select("key", "n", F.lit(None).cast("long").alias("stars"))
-    return joined.select("key", "n", "current.stars").unionByName(rest)
+    joined, _ = activity.enriched(totals.withColumn("selected", F.col("n") >= 50), metadata(spark, sf_dir))
+    return joined.select("key", "n", "current.stars")
 
 
 @query("j3_incremental_anti", _VALID + f", {_META} SELECT key FROM (SELECT key FROM daily GROUP BY key HAVING max(n) >= 5) WHERE key NOT IN (SELECT key FROM meta)")
@@ -267,8 +266,8 @@ def u4(spark, sf_dir):
 @query("a8_metadata_counts", _VALID + f", {_META} SELECT count(*) AS selected, count(m.key) AS collected, count(*) = count(m.key) AS complete FROM (SELECT key FROM daily GROUP BY key HAVING max(n) >= 5) s LEFT JOIN meta m USING (key)")
 def a8(spark, sf_dir):
     selected = activity.any_day(daily(spark, sf_dir), 5)
-    joined = selected.join(metadata(spark, sf_dir).select(F.lower("full_name").alias("key"), "id"), "key", "left")
-    return joined.agg(F.count(F.lit(1)).alias("selected"), F.count("id").alias("collected"), (F.count(F.lit(1)) == F.count("id")).alias("complete"))
+    joined, _ = activity.enriched(selected.withColumn("full_name", F.col("key")), metadata(spark, sf_dir))
+    return activity.metadata_counts(joined)
 
 
 @query("t2_day_buckets", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS hours FROM events GROUP BY 1")

@@ -236,4 +236,51 @@ def j4(spark, sf_dir):
     + "SELECT identity, arg_max(name, struct_pack(input, name)) AS full_name, array_to_string(list_sort(list(DISTINCT name)), ',') AS aliases, min(first_at) AS first_at, max(last_at) AS last_at, CAST(sum(n) AS BIGINT) AS n FROM identified GROUP BY identity",
 )
 def a13(spark, sf_dir):
-    return lifecycle.merged_identities(observations(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", ","))
+    return lifecycle.merged_identities(observations(spark, sf_dir)).select("identity", "full_name", F.array_join("aliases", ",").alias("aliases"), "first_at", "last_at", "n")
+
+
+# One row for each input and name: the entity's name today, and whether its metadata were asked for.
+_NAMED = f"""
+WITH seen AS ({_SEEN.format(text="VARCHAR", orders="orders").replace("CAST(o_orderdate AS", "CAST(CAST(o_orderdate AS DATE) AS")}),
+rows_ AS (SELECT input, max(name) AS name, lower(name) AS key, max(id) AS id, CASE WHEN max(id) % 3 = 0 THEN 'new/' || max(id) END AS current_name, input % 2 = 0 AS asked FROM seen GROUP BY input, lower(name)),
+names AS (SELECT id, input, lower(name) AS key_ FROM rows_ WHERE id IS NOT NULL UNION ALL SELECT id, input, current_name FROM rows_ WHERE id IS NOT NULL AND current_name IS NOT NULL),
+known AS (SELECT key_, arg_max(id, struct_pack(input, id)) AS id_ FROM names GROUP BY 1),
+identified AS (SELECT r.*, CASE WHEN coalesce(id, id_) IS NOT NULL THEN 'id:' || coalesce(id, id_) ELSE 'name:' || key END AS identity FROM rows_ r LEFT JOIN known ON key = key_)
+"""
+
+
+def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).groupBy("input", F.lower("name").alias("key")).agg(F.max("name").alias("name"), F.max("id").alias("id"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("n").alias("n"))
+    return rows.withColumns({"current_name": F.when(F.col("id") % 3 == 0, F.concat(F.lit("new/"), "id")), "asked": F.col("input") % 2 == 0})
+
+
+@query(
+    "a13_renames",
+    _NAMED + "SELECT identity, arg_max(coalesce(current_name, name), struct_pack(input, name)) AS full_name, "
+    "array_to_string(list_sort(list_distinct(list_concat(list(name), list(current_name) FILTER (current_name IS NOT NULL)))), ',') AS aliases, "
+    "coalesce(arg_max(CASE WHEN id IS NOT NULL THEN 'available' ELSE 'unavailable' END, struct_pack(input, name)) FILTER (id IS NOT NULL OR asked), 'unknown') AS availability FROM identified GROUP BY identity",
+)
+def a13_renames(spark, sf_dir):
+    merged = lifecycle.merged_identities(lifecycle.identified(series_rows(spark, sf_dir)))
+    return merged.select("identity", "full_name", F.array_join("aliases", ",").alias("aliases"), "availability")
+
+
+@query(
+    "a13_identity_days",
+    _NAMED + "SELECT identity AS key, s.first_at AS date, CAST(count(*) AS BIGINT) AS n FROM seen s JOIN identified i ON s.input = i.input AND lower(s.name) = i.key GROUP BY 1, 2",
+)
+def a13_days(spark, sf_dir):
+    daily = observations(spark, sf_dir).groupBy("input", F.lower("name").alias("key"), F.col("first_at").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return lifecycle.identity_days(daily, lifecycle.identified(series_rows(spark, sf_dir)))
+
+
+@query(
+    "p12_compatible",
+    "WITH w AS (SELECT user_id % 7 AS part, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events GROUP BY 1), one AS (SELECT a, b FROM w WHERE part = 1), two AS (SELECT CAST(a + 1 AS DATE) AS a, b FROM w WHERE part = 2) "
+    "SELECT problem FROM (SELECT unnest([CASE WHEN one.a <> two.a OR one.b <> two.b THEN 'the analysis has another window than the activity' END, CASE WHEN NOT (two.a <= one.a AND two.b >= one.b) THEN 'the lifecycle doesn''t cover the activity' END]) AS problem FROM one, two) WHERE problem IS NOT NULL",
+)
+def p12(spark, sf_dir):
+    from . import commands
+
+    window = lambda part, later: table(spark, sf_dir, "events").filter(F.col("user_id") % 7 == part).agg(F.date_add(F.to_date(F.min("ts")), later).alias("first"), F.to_date(F.max("ts")).alias("last"))
+    return commands.incompatible(window(1, 0), window(2, 1), window(2, 1))

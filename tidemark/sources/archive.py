@@ -1,7 +1,8 @@
 """Hourly archives: gzip files of one JSON record a line, some broken over several lines.
 
 A file is one task: gzip can't be split, and a record's line number and recovery depend on what came
-before it in the file. The text is read line by line; at most one pending record is held.
+before it in the file. A task holds the compressed file and one pending record; the text is read line by
+line. Files outside the window that is asked for aren't opened.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import gzip
 import io
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -140,12 +142,25 @@ def columns(record: dict) -> dict:
     }
 
 
-def read_archive(spark: SparkSession, path: str, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES) -> DataFrame:
+def file_names(window: tuple[datetime, datetime]) -> list[str]:
+    """The names of the files of a window's hours."""
+    first, last = window
+    hours = int((last - first) / timedelta(hours=1))
+    return [f"{h:%Y-%m-%d}-{h.hour}.json.gz" for h in (first + timedelta(hours=k) for k in range(hours))]
+
+
+def read_archive(
+    spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None, mark_files: bool = False, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """All records of the archive files under ``path``, with their file's hour; one task reads a file at a time.
 
-    A file that breaks off keeps the records before the break and adds a parse-error after them.
+    With a ``window`` (its first hour, and the hour after its last) only its hours' files are listed and
+    read. With ``mark_files`` every file also gives a record of kind ``file`` on line 0, so that hours
+    without records are known to have been read. A file that breaks off or is damaged keeps the records
+    before the fault and adds a parse-error after them.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(path)
+    wanted = "{" + ",".join(file_names(window)) + "}" if window else "*.json.gz"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", wanted).load(path)
     kinds = {"timestamp": pa.timestamp("us", "UTC"), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RECORD.split(", ")])
 
@@ -155,7 +170,8 @@ def read_archive(spark: SparkSession, path: str, max_lines: int = MAX_LINES, max
                 found = _FILE.search(name)
                 if not found:
                     continue
-                hour, rows = datetime.fromisoformat(f"{found[1]}T{int(found[2]):02d}:00:00+00:00"), []
+                hour = datetime.fromisoformat(f"{found[1]}T{int(found[2]):02d}:00:00+00:00")
+                rows = [{"kind": "file", "line": 0, "hour": hour}] if mark_files else []
                 last = 0
                 try:
                     with gzip.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace", newline="\n") as file:
@@ -165,7 +181,7 @@ def read_archive(spark: SparkSession, path: str, max_lines: int = MAX_LINES, max
                             if len(rows) >= 10_000:
                                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                                 rows = []
-                except (OSError, EOFError) as error:
+                except (OSError, EOFError, zlib.error) as error:
                     rows.append({"kind": "parse-error", "line": last + 1, "message": str(error), "hour": hour})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -22,16 +22,29 @@ def write_relation(df: DataFrame, path: str, version: str, mode: str = "error")
 
 
 def replace_relation(df: DataFrame, path: str, version: str) -> None:
-    """Replace a relation as a whole: readers see the old table or the new one, and a failed run leaves the old."""
+    """Replace a relation as a whole: the new one is written beside the old one, which is renamed aside and, if the new one can't take its place, back.
+
+    A failed write leaves the old relation; between the two renames a reader finds none, never a part of one.
+    """
     spark = df.sparkSession
     fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     write_relation(df, fresh, version)
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     store = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.exists(path_of(path)):
-        store.delete(path_of(path), True)
-    if not store.rename(path_of(fresh), path_of(path)):
+    aside = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    had = store.exists(path_of(path))
+    if had and not store.rename(path_of(path), path_of(aside)):
+        raise OSError(f"{path} couldn't be renamed to {aside}")
+    try:
+        moved = store.rename(path_of(fresh), path_of(path))
+    except Exception:
+        moved = False
+    if not moved:
+        if had:
+            store.rename(path_of(aside), path_of(path))
         raise OSError(f"{fresh} couldn't be renamed to {path}")
+    if had:
+        store.delete(path_of(aside), True)
 
 
 def read_relation(spark: SparkSession, path: str, version: str) -> DataFrame:
