@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, rules, secrets, simhash
-from tidemark.llm.shared import documents, new_path
+from tidemark.llm.shared import documents
+from tidemark.scratch import deleted, new_path, scope
+
+
+# Null texts count as empty; repeated rows are judged alike; ties are settled as the operators say; empty
+# tables pass through every stage. Documents without an id stay: near_dedup can't name them.
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules reject go."""
+    """Documents that the adaptive quality rules reject go, empty ones among them."""
     return rules.keep_quality(docs)
 
 
@@ -55,10 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. What a stage makes for itself goes once its result is written, and that once the next has read it."""
+    docs, before = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = new_path(spark, f"stage{k}")
-        out.write.parquet(path)
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            deleted(spark, before)
+        before = path
     return docs

@@ -49,6 +49,7 @@ class Lexicon:
     review: int = 25
     emerging: int = 5
     readme_limit: int = 12_000
+    # Fixed values as well: districts, their order, and acronyms.
     #: District -> keywords, the first district that matches; and the order in which districts are shown.
     districts: dict[str, tuple[str, ...]] = field(
         default_factory=lambda: {

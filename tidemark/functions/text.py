@@ -31,9 +31,12 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def compatible(value: Column) -> Column:
-    """NFKC, white space squeezed, trimmed. Only texts beyond ASCII go through Python."""
+    """NFKC, white space squeezed, trimmed. Only texts beyond ASCII go through Python.
+
+    After the squeeze all white space is single spaces, which is what ``trim`` cuts.
+    """
     normal = F.when(value.rlike(r"[^\x00-\x7f]"), _nfkc(value)).otherwise(value)
-    return F.trim(F.regexp_replace(normal, r"[\s  -     　﻿]+", " "))
+    return F.trim(F.regexp_replace(normal, "[\\s\\u00a0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+", " "))
 
 
 def digest(*parts: Column) -> Column:
@@ -46,10 +49,15 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, r"[\\/]"), -1)
 
 
+#: One link of a Link header (RFC 8288): a target and parameters with quoted or plain values, in any order.
+_LINK = r'<[^>]*>(?:\s*;\s*[^\s=;,]+(?:\s*=\s*(?:"[^"]*"|[^\s;,"]+))?)*'
+_LAST = r'(?i);\s*rel\s*=\s*(?:"(?:[^"]*\s)?last(?:\s[^"]*)?"|last(?=\s*(?:;|\z)))'
+
+
 def page_count(link: Column, found: Column) -> Column:
-    """Pages from a Link header's last page; without one, the rows on the page."""
-    last = F.regexp_extract(link, r'<([^>]+)>;\s*rel="last"', 1)
-    page = F.regexp_extract(last, r"[?&]page=([0-9]+)(?:&|#|\z)", 1).try_cast("long")
+    """Pages from the page number of a Link header's last page; without one, the rows on the page."""
+    links = F.filter(F.regexp_extract_all(link, F.lit(_LINK), 0), lambda one: one.rlike(_LAST))
+    page = F.regexp_extract(F.get(links, F.lit(0)), r"[?&]page=([0-9]+)(?=[&#>])", 1).try_cast("long")
     return F.when(found == 0, F.lit(0)).when(page > 0, page).otherwise(found).cast("long")
 
 

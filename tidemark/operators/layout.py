@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import dense_places
+from .ranking import RANGE, dense_places, in_ranges
 
 # Factors of the pseudo-random numbers, cell, padding, least sizes, districts in a row, gap between districts, height of the ground.
 SPREAD = (12.9898, 78.233, 43758.5453)
@@ -132,13 +132,17 @@ def frame_percentiles(samples: DataFrame, *shares: float) -> DataFrame:
     return placed.groupBy("kind").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), *(at(s).alias(f"p{round(s * 100)}") for s in shares))
 
 
-def recent_frames(frames: DataFrame, warm_up_ms: float = 5000, longest_ms: float = 250, keep: int = 900) -> DataFrame:
-    """Samples after the warm-up, without long pauses, each with the mean of the last ``keep``."""
-    delta = F.col("at") - F.lag("at").over(Window.partitionBy("kind").orderBy("at", "i"))
-    start = F.min("at").over(Window.partitionBy("kind"))
-    used = frames.withColumns({"delta": delta, "start": start}).filter((F.col("at") - F.col("start") >= warm_up_ms) & (F.col("delta") < longest_ms))
-    last = Window.partitionBy("kind").orderBy("at", "i").rowsBetween(1 - keep, 0)
-    return used.select("kind", "i", "delta", F.avg("delta").over(last).alias("mean"))
+def recent_frames(frames: DataFrame, warm_up_ms: float = 5000, longest_ms: float = 250, keep: int = 900, size: int = RANGE) -> DataFrame:
+    """Samples after the warm-up, without long pauses, each with the mean of the last ``keep``.
+
+    A kind's samples are spread over ranges of ``size`` rows, so that no kind is a single task's.
+    """
+    order, window = [F.col("kind"), F.col("at"), F.col("i")], Window.partitionBy("_range", "kind").orderBy("at", "i")
+    starts = frames.groupBy(F.col("kind").alias("kind_")).agg(F.min("at").alias("start"))
+    each = in_ranges(frames, order, 1, size).withColumn("delta", F.col("at") - F.lag("at").over(window)).filter("not _carried").drop("_range", "_carried")
+    used = each.join(starts, F.col("kind") == F.col("kind_")).filter((F.col("at") - F.col("start") >= warm_up_ms) & (F.col("delta") < longest_ms))
+    means = in_ranges(used, order, keep - 1, size).withColumn("mean", F.avg("delta").over(window.rowsBetween(1 - keep, 0)))
+    return means.filter("not _carried").select("kind", "i", "delta", "mean")
 
 
 def pseudo_random(i: Column) -> Column:

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from ..scratch import saved
 
 
+#: Rows of a range, for windows over few rows that may span a very large group.
+RANGE = 1 << 16
+
+
+def in_ranges(rows: DataFrame, order: list[Column], before: int, size: int = RANGE) -> DataFrame:
+    """``rows`` with ``_range`` and ``_carried``: ranges of ``size`` rows in the order, each with a copy of the ``before`` rows that precede it.
+
+    A window of ``before`` rows back can be partitioned by ``_range`` too, so that a group of any size is spread over
+    tasks; the copies (``_carried``) are dropped after it.
+    """
+    if before > size:
+        raise ValueError("a range must hold the rows that are carried on")
+    of = F.floor((F.col("_place") - 1) / size)
+    copies = F.when(F.col("_place") > (of + 1) * size - before, F.array(of, of + 1)).otherwise(F.array(of))
+    return dense_places(rows, order, "_place").withColumn("_range", F.explode(copies)).withColumn("_carried", F.col("_range") > of).drop("_place")
+
+
 def dense_places(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``rows`` with ``name``: 1, 2, ... over the total order ``order``.
 

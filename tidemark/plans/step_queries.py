@@ -9,6 +9,7 @@ from ..operators import activity, city, decisions, events as ops, lifecycle
 from ..operators.ranking import dense_places
 from ..sources import archive, tables
 from . import city_queries as cq
+from . import commands
 from . import event_queries as eq
 from . import lifecycle_queries as lq
 from . import topic_queries as tq
@@ -160,11 +161,17 @@ def o8(spark, sf_dir):
     return dense_places(cq.ranked(spark, sf_dir).select("id", "global_rank"), [F.col("global_rank")], "place")
 
 
-@query("u2_input_union", lq._KNOWN + "SELECT input, count(*) AS n, count(id) AS known FROM seen GROUP BY input")
+@query(
+    "u2_input_union",
+    _V + f", {eq._META}, totals AS (SELECT key, count(*) AS n FROM watches GROUP BY key) "
+    "SELECT CAST(0 AS BIGINT) AS input, count(*) AS rows_, CAST(0 AS BIGINT) AS known, CAST(sum(n) AS BIGINT) AS n FROM totals UNION ALL SELECT 1, count(*), count(id), CAST(sum(n) AS BIGINT) FROM totals LEFT JOIN meta USING (key)",
+)
 def u2(spark, sf_dir):
-    seen = lq.observations(spark, sf_dir)
-    halves = seen.filter("input <= 6").unionByName(seen.filter("input > 6"))
-    return halves.groupBy("input").agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("known"))
+    """A raw series and an enriched one, which has columns that the other lacks."""
+    raw = activity.entity_totals(eq.watches(spark, sf_dir))
+    rich, _ = activity.enriched(raw, eq.metadata(spark, sf_dir))
+    seen = commands.observations(raw, 0).unionByName(commands.observations(rich, 1))
+    return seen.groupBy(F.col("input").cast("long").alias("input")).agg(F.count(F.lit(1)).alias("rows_"), F.count("id").alias("known"), F.sum("n").alias("n"))
 
 
 @query("u3_aliases", lq._KNOWN + "SELECT DISTINCT identity, name FROM identified")

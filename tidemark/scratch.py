@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,17 +13,43 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is missing (tests, local mode) is a local folder made and set.
+    Only where the setting is missing and driver and executors are one process (tests, local mode) is a
+    local folder made and set; on a cluster that would give every executor a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
+#: Folders made inside ``scope``, innermost last.
+_made: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables and files that are made inside are deleted at its end: for jobs that write their result elsewhere."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for folder in _made.pop():
+            deleted(spark, folder)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -33,7 +61,5 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table from ``saved`` that nothing reads any more."""
-    context = df.sparkSession.sparkContext
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(df.sparkSession, folder)
