@@ -86,6 +86,22 @@ def top_candidates(totals: DataFrame, k: int = 10) -> DataFrame:
     return ranked(totals).limit(k)
 
 
+# What each profile of metadata has beyond the entity's own record.
+PROFILES = {
+    "full": ("readme", "language_bytes", "language_share", "commits_30d", "contributors_count"),
+    "classification": ("readme",),
+    "screening": (),
+}
+
+
+def profiled(metadata: DataFrame, profile: str) -> DataFrame:
+    """``metadata`` with the parts of a profile; the other parts are null and their columns aren't read."""
+    if profile not in PROFILES:
+        raise ValueError(f"a profile is one of {', '.join(PROFILES)}")
+    left_out = set(PROFILES["full"]) - set(PROFILES[profile])
+    return metadata.select(*(F.lit(None).cast(kind).alias(c) if c in left_out else F.col(c) for c, kind in metadata.dtypes))
+
+
 def enriched(totals: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows of ``totals`` with metadata_selected and ``current``, their metadata, and a coverage row for each miss.
 

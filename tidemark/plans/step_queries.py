@@ -25,9 +25,16 @@ def s6(spark, sf_dir):
     return rows.groupBy(F.to_date("hour").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s7_metadata_profile", "SELECT 'OWNER/' || c_custkey AS full_name, CAST(greatest(0, floor(c_acctbal)) AS BIGINT) AS stars FROM customer WHERE c_custkey % 4 <> 0")
+@query(
+    "s7_metadata_profile",
+    "SELECT profile, 'OWNER/' || c_custkey AS full_name, CAST(greatest(0, floor(c_acctbal)) AS BIGINT) AS stars, CASE WHEN profile <> 'screening' THEN c_mktsegment END AS readme, "
+    "CASE WHEN profile = 'full' THEN CAST(c_nationkey AS BIGINT) END AS commits_30d FROM customer, (VALUES ('full'), ('classification'), ('screening')) p(profile) WHERE c_custkey % 4 <> 0",
+)
 def s7(spark, sf_dir):
-    return eq.metadata(spark, sf_dir).select("full_name", "stars")
+    parts = table(spark, sf_dir, "customer").select(F.concat(F.lit("OWNER/"), F.col("c_custkey")).alias("full_name"), F.col("c_mktsegment").alias("readme"), F.col("c_nationkey").cast("long").alias("commits_30d"))
+    whole = eq.metadata(spark, sf_dir).select("full_name", "stars").join(parts, "full_name")
+    each = [activity.profiled(whole, p).select(F.lit(p).alias("profile"), "*") for p in activity.PROFILES]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("p1_type_filter", _V + "SELECT count(*) AS n FROM raw WHERE kind = 'event' AND type = 'WatchEvent'")
