@@ -40,6 +40,34 @@ def test_forward_backward_against_all_labellings():
     assert np.allclose(together, np.concatenate(apart))
 
 
+def test_gradient_against_differences():
+    """Log likelihoods from all labellings of small documents, weights and soft labels included."""
+    rng = np.random.default_rng(2)
+    sizes, width = np.array([3, 1, 4]), 5
+    x, y, theta = rng.normal(size=(8, width)), rng.random(8), rng.normal(size=width + 4)
+    weight = np.repeat([0.5, 1.0, 2.0], sizes)
+
+    def likelihood(theta):
+        total, at = 0.0, 0
+        for n in sizes:
+            s, t, soft = x[at : at + n] @ theta[:-4], theta[-4:], y[at : at + n]
+            score = lambda z: s @ z + sum(t[2 * int(a) + int(b)] for a, b in zip(z, z[1:], strict=False))
+            every = [np.array([code >> k & 1 for k in range(n)]) for code in range(1 << n)]
+            given = s @ soft + sum(pa * pb * t[2 * a + b] for u, v in zip(soft, soft[1:], strict=False) for a, pa in ((0, 1 - u), (1, u)) for b, pb in ((0, 1 - v), (1, v)))
+            total += weight[at] * (given - np.log(sum(np.exp(score(z)) for z in every)))
+            at += n
+        return total
+
+    steps = 1e-5 * np.eye(width + 4)
+    want = [(likelihood(theta + d) - likelihood(theta - d)) / 2e-5 for d in steps]
+    assert np.allclose(crf.gradient(x, crf.Chains(sizes), weight, y, theta), want, atol=1e-6)
+
+
+def test_line_labels_are_estimated_again():
+    p, labels = np.array([0.9, 0.2, 0.4, 0.4, 0.7, 0.1]), np.array([0, 0, 0, 1, 1, 0])
+    assert crf.bad_lines(labels, p, np.array([0, 3, 5])).tolist() == [0.9, 0, 0.4, 1, 1, 0]
+
+
 def test_quality_on_held_out_documents(spark):
     (bad, miss), (false, good) = held_out(spark, crf.quality_scores(*inputs(spark, "sf0.1")), "sf0.1", "quality")
     assert bad / (bad + miss) > 0.9 and good / (good + false) > 0.98

@@ -107,33 +107,40 @@ def quality(p: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(p * length, first) / np.add.reduceat(length.astype(float), first)
 
 
+def gradient(x: np.ndarray, chains: Chains, weight: np.ndarray, y: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Of the log likelihood of line labels ``y`` (between 0 and 1), each document's times its lines' ``weight``: by WIDTH weights and 4 transitions."""
+    s, t, pairs = x @ theta[:-4], theta[-4:], chains.pairs()
+    forward, back = chains.odds(s, t)
+    p = 1 / (1 + np.exp(-np.clip(forward + back, -40, 40)))
+    a, b = forward[pairs], s[pairs + 1] + back[pairs + 1]
+    joint = np.stack([np.full_like(a, t[0]), t[1] + b, t[2] + a, t[3] + a + b])
+    joint = np.exp(joint - joint.max(axis=0))
+    joint /= joint.sum(axis=0)
+    i, j, w = y[pairs], y[pairs + 1], weight[pairs]
+    moved = [(1 - i) * (1 - j), (1 - i) * j, i * (1 - j), i * j]
+    return np.concatenate([x.T @ ((y - p) * weight), [((m - q) * w).sum() for m, q in zip(moved, joint, strict=True)]])
+
+
+def bad_lines(labels: np.ndarray, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """New line labels: good documents' lines are good, bad ones' keep their marginals, and the worst of each is bad."""
+    y = np.where(labels == 1, 1.0, p)
+    worst = np.minimum.reduceat(p, first)[np.cumsum(np.isin(np.arange(len(p)), first)) - 1]
+    y[(labels == 0) & (p <= worst)] = 0
+    return y
+
+
 def fit(x: np.ndarray, length: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict[str, list[float]]:
     """Weights (WIDTH), transitions (bad-bad, bad-good, good-bad, good-good) and curve (slope, offset)."""
     chains = Chains(sizes)
     of = np.repeat(np.arange(len(sizes)), sizes)
     weight = (1 / np.sqrt(sizes))[of]  # long documents don't drown short ones
-    pairs = chains.pairs()
     y = labels[of].astype(float)
     theta, m, v, step = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), 0
     for k in range(ROUNDS):
         if k:
-            p = chains.good(x @ theta[:WIDTH], theta[WIDTH:])
-            y = np.where(labels[of] == 1, 1.0, p)
-            worst = np.minimum.reduceat(p, chains.first)
-            y[(labels[of] == 0) & (p <= worst[of])] = 0  # a bad document has a bad line
+            y = bad_lines(labels[of], chains.good(x @ theta[:WIDTH], theta[WIDTH:]), chains.first)
         for _ in range(STEPS):
-            s, t = x @ theta[:WIDTH], theta[WIDTH:]
-            forward, back = chains.odds(s, t)
-            p = 1 / (1 + np.exp(-np.clip(forward + back, -40, 40)))
-            g = np.zeros_like(theta)
-            g[:WIDTH] = x.T @ ((y - p) * weight)
-            a, b = forward[pairs], s[pairs + 1] + back[pairs + 1]
-            joint = np.stack([np.full_like(a, t[0]), t[1] + b, t[2] + a, t[3] + a + b])
-            joint = np.exp(joint - joint.max(axis=0))
-            joint /= joint.sum(axis=0)
-            i, j, w = y[pairs], y[pairs + 1], weight[pairs]
-            g[WIDTH:] = [(((1 - i) * (1 - j) - joint[0]) * w).sum(), (((1 - i) * j - joint[1]) * w).sum(), ((i * (1 - j) - joint[2]) * w).sum(), ((i * j - joint[3]) * w).sum()]
-            g = g / len(sizes) - PENALTY * theta
+            g = gradient(x, chains, weight, y, theta) / len(sizes) - PENALTY * theta
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
