@@ -136,8 +136,8 @@ class RangeReader:
             self.file.close()
 
 
-def store_media(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The index (doc_id, n_bytes, digest, shard, offset, length), one row for each row of ``docs``, and the media (digest, shard, offset, length), one row for each content.
+def write_media(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Contents of ``docs`` (doc_id, n_bytes, digest), one row for each row, and media (digest, shard, offset, length), one row for each content.
 
     A null or empty text is an image of one row; no documents give no shards and empty tables.
     """
@@ -157,8 +157,13 @@ def store_media(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
     written = saved(id_text(docs).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-written")
     homes = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("home"))
-    media = saved(homes.select("digest", "home.*"), "media")
-    return written.select("doc_id", "n_bytes", "digest").join(media, "digest").select("doc_id", "n_bytes", "digest", "shard", "offset", "length"), media
+    return written.select("doc_id", "n_bytes", "digest"), saved(homes.select("digest", "home.*"), "media")
+
+
+def store_media(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The index (doc_id, n_bytes, digest, shard, offset, length), one row for each row of ``docs``, and the media, as in ``write_media``."""
+    contents, media = write_media(docs, folder)
+    return contents.join(media, "digest").select("doc_id", "n_bytes", "digest", "shard", "offset", "length"), media
 
 
 def by_shard(index: DataFrame) -> DataFrame:
@@ -218,8 +223,8 @@ def media_report(docs: DataFrame) -> DataFrame:
     give none. Other columns are ignored.
     """
     folder = new_path(docs.sparkSession, "shards")
-    index, media = store_media(docs, folder)
-    read = saved(with_samples(with_metadata(by_shard(media), folder), folder), "media-read")
-    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").select(
+    contents, media = write_media(docs, folder)
+    read = with_samples(with_metadata(by_shard(media), folder), folder).drop("shard", "offset", "length")
+    return contents.join(read, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
     )
