@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, licenses, media, mixing, rules, secrets, simhash, tokenfile, toxicity
+from . import bpe, crf, licenses, media, mixing, rules, runs, secrets, simhash, tokenfile, toxicity
 from .shared import documents, labels
 
 
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_secret_scan,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_license_scan,
         op10_toxicity,
+        op11_periodic_runs,
     )
     return {f.__name__: f for f in every}
 
