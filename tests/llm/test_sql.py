@@ -12,4 +12,4 @@ def test_queries_against_sql(spark):
         df = queries.queries()[name](spark, SF)
         want = connection.sql(sql)
         assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
-        assert [x for _, x in sorted(zip(df.columns, [t for _, t in df.dtypes]))] == [{"BIGINT": "bigint", "BOOLEAN": "boolean"}[str(t)] for _, t in sorted(zip(want.columns, want.types))]
+        assert [x for _, x in sorted(zip(df.columns, [t for _, t in df.dtypes]))] == [{"BIGINT": "bigint", "BOOLEAN": "boolean", "INTEGER": "int"}[str(t)] for _, t in sorted(zip(want.columns, want.types))]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, licenses, media, mixing, rules, runs, secrets, simhash, tokenfile, toxicity
+from . import bpe, crf, lexical, licenses, media, mixing, rules, runs, secrets, simhash, tokenfile, toxicity
 from .shared import documents, labels
 
 
@@ -56,6 +56,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs_report(documents(spark, sf_dir))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_secret_scan,
@@ -69,9 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_license_scan,
         op10_toxicity,
         op11_periodic_runs,
+        op12_lexical_search,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": rules.ORACLE_SQL}
+    return {"op7_quality_rules": rules.ORACLE_SQL, "op12_lexical_search": lexical.ORACLE_SQL}
