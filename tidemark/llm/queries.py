@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, lexical, licenses, media, mixing, rules, runs, secrets, simhash, tokenfile, toxicity
+from . import bpe, crf, lexical, licenses, media, mixing, rules, runs, secrets, simhash, tokenfile, toxicity, vectors
 from .shared import documents, labels
 
 
@@ -60,6 +60,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_secret_scan,
@@ -74,9 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_toxicity,
         op11_periodic_runs,
         op12_lexical_search,
+        op13_embedding_dedup,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": rules.ORACLE_SQL, "op12_lexical_search": lexical.ORACLE_SQL}
+    return {"op7_quality_rules": rules.ORACLE_SQL, "op12_lexical_search": lexical.ORACLE_SQL, "op13_embedding_dedup": vectors.ORACLE_SQL}
