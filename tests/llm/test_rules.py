@@ -38,11 +38,17 @@ def quantile(values, num, den):
     return sorted(values)[-(-len(values) * num // den) - 1]
 
 
-def cut_off(values, metric, times=1):
-    kept = [v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0) for v in values]
-    share, reach = rules.HIGH[metric]
-    median, high = quantile(kept, 1, 2), quantile(kept, share, 100)
-    return high + times * reach * max(high - median, rules.SPREAD)
+def in_buckets(values):
+    return [v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0) for v in values]
+
+
+def cut_off(group, metric, times=1):
+    """``group``: counts of documents."""
+    counted, of = rules.METRICS[metric]
+    ratios, sizes = in_buckets([c[counted] * 10**6 // max(c[of], 1) for c in group]), in_buckets([c[of] for c in group])
+    share, reach, size = rules.HIGH[metric]
+    median, high = quantile(ratios, 1, 2), quantile(ratios, share, 100)
+    return high + times * reach * max(high - median, 10**6 // max(quantile(sizes, size, 100), 1))
 
 
 def slow_verdicts(docs, min_group, limits=None):
@@ -51,20 +57,20 @@ def slow_verdicts(docs, min_group, limits=None):
     for i, text, lang, source in docs:
         c = dict(zip(rules.COUNTS, rules.counts((text or "").encode()), strict=True))
         base = c["n_words"] >= 20 and 100 * c["n_repeat_words"] <= 30 * c["n_words"]
-        rows.append((i, lang, source, base, {m: c[a] * 1000 // max(c[b], 1) for m, (a, b) in rules.METRICS.items()}))
+        rows.append((i, lang, source, base, c))
     out, limits = {}, {} if limits is None else limits
-    for i, lang, source, base, ratios in rows:
-        for m in ratios if base else ():
+    for i, lang, source, base, c in rows:
+        for m in rules.METRICS if base else ():
             if (lang, source, m) not in limits:
-                own = [r[4][m] for r in rows if r[3] and r[1:3] == (lang, source)]
-                language = [r[4][m] for r in rows if r[3] and r[1] == lang]
-                every = [r[4][m] for r in rows if r[3]]
+                own = [r[4] for r in rows if r[3] and r[1:3] == (lang, source)]
+                language = [r[4] for r in rows if r[3] and r[1] == lang]
+                every = [r[4] for r in rows if r[3]]
                 most = bound = cut_off(every, m, 2)
                 near = cut_off(every, m)
                 if len(language) >= min_group:
                     near, bound = min(cut_off(language, m), most), min(cut_off(language, m, 2), most)
                 limits[lang, source, m] = min(cut_off(own, m), bound) if len(own) >= min_group else near
-        out[i] = base and all(v <= limits[lang, source, m] for m, v in ratios.items())
+        out[i] = base and all(c[a] * 10**6 // max(c[b], 1) <= limits[lang, source, m] for m, (a, b) in rules.METRICS.items())
     return out
 
 
@@ -90,10 +96,10 @@ def test_labelled_documents(spark):
     counts = {(r.quality, r.kept): r["count"] for r in judged.join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
     good, bad = counts[1, True] / (counts[1, True] + counts.get((1, False), 0)), counts[0, False] / (counts[0, False] + counts.get((0, True), 0))
     assert good > 0.96 and bad > 0.95, counts
-    for m in ("upper", "dup_lines", "repeats"):
-        groups = {r[f"most_{m}"] for r in judged.select("lang", "source", f"most_{m}").distinct().collect()} - {None}
-        assert len(groups) > 5, m
-    share = "n_repeat_words * 1000 div n_words"
+    for m in rules.METRICS:
+        groups = [r[f"most_{m}"] for r in judged.filter("not base_failed").select("lang", "source", f"most_{m}").distinct().collect()]
+        assert len(set(groups)) > 5, m
+    share = f"n_repeat_words * {rules.WHOLE} div n_words"
     over = judged.filter(f"not base_failed and {share} > most_repeats").selectExpr(f"min({share})").first()[0]
     kept = judged.filter("kept").selectExpr(f"max({share})").first()[0]
     assert over < kept  # one is a fault in its group, a higher one none in its own
@@ -107,16 +113,27 @@ def text(k, capitals):
 
 
 def test_the_sketch_decides(spark):
-    """200 per mille capitals are far over a norm of 20 and no fault where the source often has 100; junk doesn't raise its own cut."""
+    """190 per mille capitals are far over a norm of 20 and no fault where the source often has 100; junk doesn't raise its own cut."""
     rows = [(100 + k, text(k, 20), "en", "plain") for k in range(4000)] + [(5000 + k, text(k, 50 if k % 3 else 100), "en", "loud") for k in range(150)]
     rows += [(6000 + k, text(k, 900 if k % 2 else 20), "en", "junk") for k in range(30)]
-    rows += [(1, text(1, 200), "en", "plain"), (2, text(2, 200), "en", "loud")]
+    rows += [(1, text(1, 190), "en", "plain"), (2, text(2, 190), "en", "loud")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r.kept for r in rules.quality_verdicts(docs).collect()}
     assert not kept[1] and kept[2]
     assert not any(kept[6000 + k] for k in range(1, 30, 2)) and all(kept[6000 + k] for k in range(0, 30, 2))
 
 
+def test_thresholds_follow_the_sizes(spark):
+    """Without spread, three symbols in a document of a group's usual size are no fault yet, whatever that size: no fixed ratio decides."""
+    words = lambda n, k: " ".join(f"word{(i * 7919 + k) % 9973}" for i in range(n))
+    rows = [(k, words(40, k), "en", "short") for k in range(400)] + [(1000 + k, words(4000, k), "en", "long") for k in range(400)]
+    rows += [(5000, words(40, 1) + " # #", "en", "short"), (5001, words(40, 1) + " #" * 9, "en", "short"), (5002, words(4000, 1) + " #" * 2, "en", "long"), (5003, words(4000, 1) + " #" * 9, "en", "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {r.doc_id: (r.kept, r.most_symbols) for r in rules.quality_verdicts(docs).collect()}
+    assert [judged[5000 + k][0] for k in range(4)] == [True, False, True, False]
+    assert judged[5000][1] > 50 * judged[5002][1]
+
+
 def test_rows(spark):
     good = " ".join(f"word{i}" for i in range(30))
     docs = spark.createDataFrame(

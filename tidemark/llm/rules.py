@@ -1,10 +1,12 @@
 """Quality rules whose cut-offs follow each language and source.
 
-Every document gets counts. Ratios of them (per mille) of the documents that pass the base rule go into
-one quantile sketch for each (language, source): a histogram over buckets of equal relative width, so
+Every document gets counts. Ratios of them (per million) and sizes of the documents that pass the base rule
+go into quantile sketches for each (language, source): histograms over buckets of equal relative width, so
 sketches merge by adding counts, the quantiles are exact to one part in 32, and the same rows always
-give the same sketch. A group's cut-off lies beyond a high quantile of its sketch. Groups that are too
-small use their language's sketch, else that of all documents, which are sums of the same buckets. The
+give the same sketch. A group's cut-off lies beyond a high quantile of its sketch, by a multiple of that
+quantile's distance from the median. Where the two agree, what one fault makes in a document of a size that is
+usual in the group stands for their distance, so no fixed ratio decides anywhere. Groups that are too
+small use their language's sketches, else those of all documents, which are sums of the same buckets. The
 thresholds are then joined to the documents.
 """
 
@@ -32,12 +34,15 @@ CAPITALS = bytes(range(65, 91))
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A group needs so many documents for a sketch of its own.
 MIN_GROUP = 100
-#: Metric -> (a high quantile, in hundredths; so many times its distance from the median is added).
-#: About a tenth of the documents may be full of symbols, so only nine tenths tell what is usual. The other
-#: faults are rare, but good documents have them too, so their quantile lies further out.
-HIGH = {"symbols": (90, 3), "upper": (99, 2), "dup_lines": (99, 2), "repeats": (99, 2)}
-#: The least such distance, in per mille: for sketches whose high quantile and median agree.
-SPREAD = 5
+#: Metric -> (a high quantile, in hundredths; so many times its distance from the median is added; the quantile
+#: of sizes in which one fault is the least such distance).
+#: About a tenth of the documents may be full of symbols, so only nine tenths tell what is usual; a short text
+#: with three of them is none of those. The other faults are rare, but good documents have them too, so their
+#: quantile lies further out.
+HIGH = {"symbols": (90, 3, 10), "upper": (99, 2, 50), "dup_lines": (99, 2, 50), "repeats": (99, 2, 50)}
+#: Ratios are parts of this.
+WHOLE = 1_000_000
+SIZES = {METRICS[m][1]: size for m, (_, _, size) in reversed(HIGH.items())}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], dtype=np.uint64)
 
@@ -110,7 +115,7 @@ def count_documents(docs: DataFrame) -> DataFrame:
 
 def ratio(metric: str) -> Column:
     counted, of = METRICS[metric]
-    return F.expr(f"{counted} * 1000 div greatest({of}, 1)")
+    return F.expr(f"{counted} * {WHOLE} div greatest({of}, 1)")
 
 
 def bucket(value: Column) -> Column:
@@ -120,8 +125,9 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """lang, source, metric, bucket, n: a mergeable sketch for each group and metric."""
-    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), ratio(m).alias("value")) for m in METRICS))
+    """lang, source, metric, bucket, n: a mergeable sketch for each group and metric, and for each size that ratios refer to."""
+    measured = {m: ratio(m) for m in METRICS} | {c: F.col(c).cast("long") for c in SIZES}
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in measured.items()))
     return (
         counted.select("lang", "source", F.explode(pairs).alias("p"))
         .groupBy("lang", "source", F.col("p.metric").alias("metric"), bucket(F.col("p.value")).alias("bucket"))
@@ -130,16 +136,21 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The keys and the metric, with suffix ``name``, and a struct ``name``: size, median and high quantile of each group's sketch."""
+    """The keys and the metric, with suffix ``name``, and a struct ``name`` for each group: total, median and high quantile of the metric, and one fault's ratio in a document of usual size."""
     by = [*keys, "metric"]
-    high = F.create_map(*(F.lit(x) for m, (h, _) in HIGH.items() for x in (m, h)))[F.col("metric")]
+    size = F.create_map(*(F.lit(x) for c, q in SIZES.items() for x in (c, q)))[F.col("metric")]
+    high = F.coalesce(F.create_map(*(F.lit(x) for m, (h, *_) in HIGH.items() for x in (m, h)))[F.col("metric")], size)
     merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     below = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket"))
     total = F.sum("n").over(Window.partitionBy(*by))
     at = lambda num, den: F.min(F.when(F.col("below") * den >= F.col("total") * num, F.col("bucket")))
     found = merged.select(*by, "bucket", below.alias("below"), total.alias("total")).groupBy(*by)
     found = found.agg(F.max("total").alias("total"), at(1, 2).alias("median"), at(high, 100).alias("high"))
-    return found.select(*(F.col(k).alias(f"{k}_{name}") for k in by), F.struct("total", "median", "high").alias(name))
+    group = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("total", "median", "high")))).alias("q"))
+    one = lambda of: F.floor(F.lit(WHOLE) / F.greatest(F.col("q")[of]["high"], F.lit(1))).alias("one")
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.struct(*(F.col("q")[m][c].alias(c) for c in ("total", "median", "high")), one(of)).alias(name)) for m, (_, of) in METRICS.items()))
+    rows = group.filter(F.size("q") > 0).select(*keys, F.inline(each))
+    return rows.withColumnsRenamed({k: f"{k}_{name}" for k in by})
 
 
 def base_failed() -> Column:
@@ -147,15 +158,15 @@ def base_failed() -> Column:
 
 
 def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source and one column for each metric: the largest ratio, in per mille, that isn't a fault.
+    """lang, source and one column for each metric: the largest ratio, per million, that isn't a fault.
 
-    It is a high quantile of the group plus some times its distance from the median; where the two
-    (nearly) agree, SPREAD is taken for that distance. No group's threshold is over what its language's
-    sketch, or that of all documents, gives for twice the reach, so a source full of junk doesn't raise
-    its own.
+    It is a high quantile of the group plus some times its distance from the median, and that distance is at
+    least what one fault makes in a document of a usual size (HIGH). No group's threshold is over what
+    its language's sketch, or that of all documents, gives for twice the reach, so a source full of junk
+    doesn't raise its own.
     """
-    reach = F.create_map(*(F.lit(x) for m, (_, r) in HIGH.items() for x in (m, r)))[F.col("metric")]
-    cut = lambda q, times=1: F.col(f"{q}.high") + times * reach * F.greatest(F.col(f"{q}.high") - F.col(f"{q}.median"), F.lit(SPREAD))
+    reach = F.create_map(*(F.lit(x) for m, (_, r, _) in HIGH.items() for x in (m, r)))[F.col("metric")]
+    cut = lambda q, times=1: F.col(f"{q}.high") + times * reach * F.greatest(F.col(f"{q}.high") - F.col(f"{q}.median"), F.col(f"{q}.one"))
     joined = (
         _quantiles(sketch, ["lang", "source"], "own")
         .withColumnsRenamed({"lang_own": "lang", "source_own": "source", "metric_own": "metric"})
@@ -217,18 +228,21 @@ def keep_quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def _quantile_sql(name: str, keys: list[str]) -> str:
-    """Total, median and high quantile of merged sketches, as ``_quantiles`` gives them, and their cut-offs."""
-    by = ", ".join([*keys, "metric"])
-    high = "CASE metric " + " ".join(f"WHEN '{m}' THEN {h}" for m, (h, _) in HIGH.items()) + " END"
-    reach = "CASE metric " + " ".join(f"WHEN '{m}' THEN {r}" for m, (_, r) in HIGH.items()) + " END"
+    """Total and cut-offs of merged sketches, as ``_quantiles`` and ``thresholds`` find them."""
+    by, same = ", ".join([*keys, "metric"]), " AND ".join(["true", *(f"r.{k} IS NOT DISTINCT FROM s.{k}" for k in keys)])
+    case = lambda values: "CASE r.metric " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in values.items()) + " END"
+    high, reach = case({m: h for m, (h, *_) in HIGH.items()} | SIZES).replace("r.metric", "metric"), case({m: r for m, (_, r, _) in HIGH.items()})
+    of, one = case({m: f"'{of}'" for m, (_, of) in METRICS.items()}), f"{WHOLE} // greatest(s.high, 1)"
     return f"""
+{name}_q AS (
+    SELECT {by}, max(total) AS total, min(bucket) FILTER (below * 2 >= total) AS median, min(bucket) FILTER (below * 100 >= total * {high}) AS high
+    FROM (
+        SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
+        FROM (SELECT {by}, bucket, sum(n) AS n FROM sketches GROUP BY {by}, bucket))
+    GROUP BY {by}),
 {name} AS (
-    SELECT {by}, total, high + {reach} * greatest(high - median, {SPREAD}) AS cut, high + 2 * {reach} * greatest(high - median, {SPREAD}) AS far FROM (
-        SELECT {by}, max(total) AS total, min(bucket) FILTER (below * 2 >= total) AS median, min(bucket) FILTER (below * 100 >= total * {high}) AS high
-        FROM (
-            SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
-            FROM (SELECT {by}, bucket, sum(n) AS n FROM sketches GROUP BY {by}, bucket))
-        GROUP BY {by}))"""
+    SELECT {", ".join(f"r.{k}" for k in [*keys, "metric", "total"])}, r.high + {reach} * greatest(r.high - r.median, {one}) AS cut, r.high + 2 * {reach} * greatest(r.high - r.median, {one}) AS far
+    FROM {name}_q r JOIN {name}_q s ON s.metric = {of} AND {same})"""
 
 
 #: The verdicts in DuckDB's SQL.
@@ -247,8 +261,9 @@ counted AS (
         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper
     FROM split s LEFT JOIN repeated r USING (doc_id)),
 based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted),
-ratios AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {a} * 1000 // greatest({b}, 1) AS v FROM based" for m, (a, b) in METRICS.items())}),
-bucketed AS (SELECT *, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS bucket FROM ratios),
+ratios AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {a} * {WHOLE} // greatest({b}, 1) AS v FROM based" for m, (a, b) in METRICS.items())}),
+measured AS (SELECT doc_id, lang, source, base_failed, metric, v FROM ratios {"".join(f" UNION ALL SELECT doc_id, lang, source, base_failed, '{c}', {c} FROM based" for c in SIZES)}),
+bucketed AS (SELECT *, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS bucket FROM measured),
 sketches AS (SELECT lang, source, metric, bucket, count(*) AS n FROM bucketed WHERE NOT base_failed GROUP BY ALL),
 {_quantile_sql("own", ["lang", "source"])}, {_quantile_sql("language", ["lang"])}, {_quantile_sql("every", [])},
 chosen AS (
