@@ -60,7 +60,7 @@ def test_media_mixing_and_files(docs):
     assert ids_of(media.media_report(docs)) == IDS
     rows = mixing.mix_report(docs).collect()
     assert sorted(r.doc_id or 0 for r in rows) == IDS
-    assert sorted(r.start for r in rows if r.source == "a") == [0, len(LONG)] and {r.start for r in rows if r.source is None} == {0}
+    assert sorted(r.block for r in rows if r.source == "a") == [0, 1] and {r.block for r in rows if r.source is None} == {0}
     files = sorted(tokenfile.token_file_report(docs).collect(), key=lambda r: r.start)
     assert [r.doc_id or 0 for r in files] == IDS and all(b.start == a.start + a.n_tokens for a, b in zip(files, files[1:], strict=False))
 

@@ -26,7 +26,7 @@ def test_positions_follow_the_schedule(spark, many_files, monkeypatch, tmp_path)
     given = tmp_path / "given"
     corpus_pipeline.mix_sources(spark, docs, sf).write.parquet(str(given))
     assert len(list(given.glob("part-*"))) > 1
-    order = {r.doc_id: (r.slot, r.start) for r in mixing.mix(docs, block=5000).select("row.doc_id", "slot", "start").collect()}
+    order = {r.doc_id: (r.slot, r.hash % 2**64 >> 1, r.hash) for r in mixing.mix(docs, block=5000).collect()}
     assert docs.filter(f"length(text) > {LEAF}").count() > 0
     rows = sorted(corpus_pipeline.encode(spark, spark.read.parquet(str(given)), sf).select("doc_id", "position").collect(), key=lambda r: r.position)
     assert [r.position for r in rows] == list(range(len(order)))

@@ -1,23 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form blocks of equal size: by default so small that the smallest source has
-BLOCKS of them. A document belongs to the block where it starts; one that is longer than a block fills
-the source's next blocks too, whose slots then stay empty. So at any slot a source is less than one block
-away from its share, and ahead by up to what its last document has beyond its block. Weights are whole slots of a period of D slots. The
-k-th block of a source with n slots may run from slot floor(k D / n) and must run before
-ceil((k + 1) D / n); earliest deadline first meets every deadline, since the slots add up to D, so at any
-slot each source is less than one block away from its share. The schedule repeats after D slots: it is
-worked out for one period only, whose size depends on the number of sources and not on the data, and
-block b of a source runs at slot (b div n) D + slot(b mod n).
-
-Blocks need the running size of a source's documents. It is summed by (source, range of a hash), so
-that a source with most of the rows is spread over as many tasks as it needs.
+A source's documents come in the order of a hash, which is cut into ranges of about one document each (in a
+large corpus, of more: RANGES bounds their number). Consecutive ranges form blocks of about BLOCK characters; documents stay
+whole. The clock counts characters. A source with share r and a characters before its block may
+run it from clock a / r on (release), and should have run it by (a + size) / r (deadline). Whenever the
+clock is free, the released block with the earliest deadline runs, for as many characters as it has. As
+in weighted fair queueing with eligible packets, a source is then never ahead of its share by more than its
+own block, nor behind by more than the largest block of all. A source that has no blocks left leaves its time
+empty, so the others keep their proportions.
+
+Only sizes of ranges and blocks reach the driver, at most RANGES and a few for each source, whatever the
+corpus; the schedule goes back to the documents as a small table keyed by range. No text is shuffled to find its place.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import floor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,39 +28,58 @@ BLOCK, BLOCK_LEAST, BLOCKS = 1 << 18, 1 << 10, 32
 TEMPERATURE = 0.7
 #: Sources are a small dimension: more than this is an error, not a silent cut.
 MAX_SOURCES = 10_000
-#: Slots of a period for each source, and at least.
-SLOTS_EACH, SLOTS_LEAST = 64, 1024
-#: Documents in a range of hashes, about: the ranges of a source follow its size.
-RANGE_ROWS = 1024
-
-
-def slots_of(weights: list[float], period: int) -> list[int]:
-    """Whole slots, at least one each, that add up to ``period``: largest remainders first."""
-    spare, total = period - len(weights), sum(weights)
-    exact = [spare * w / total for w in weights]
-    out = [1 + floor(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (out[i] - exact[i], i))[: period - sum(out)]:
-        out[i] += 1
-    return out
+#: Hash ranges of all sources together, at most, besides two for each source.
+RANGES = 1 << 17
 
 
-def schedule(slots: list[int]) -> list[list[int]]:
-    """For each source, the slots of its blocks in one period."""
-    period, out = sum(slots), [[] for _ in slots]
-    waiting, ready = [(0, i) for i in range(len(slots))], []
-    for now in range(period):
+def schedule(blocks: list[list[int]], shares: list[float]) -> list[tuple[int, int, int, float, float]]:
+    """(source, block, clock, release, deadline) in the order of running, from the sizes of each source's blocks."""
+    given, number = [0] * len(blocks), [0] * len(blocks)
+    waiting, ready, now, out = [(0.0, i) for i, b in enumerate(blocks) if b], [], 0, []
+    while waiting or ready:
+        if not ready and waiting[0][0] > now:
+            now = -int(-waiting[0][0] // 1)
         while waiting and waiting[0][0] <= now:
-            _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(out[i]) + 1) * period // slots[i]), i))
-        _, i = heapq.heappop(ready)
-        out[i].append(now)
-        if len(out[i]) < slots[i]:
-            heapq.heappush(waiting, (len(out[i]) * period // slots[i], i))
+            release, i = heapq.heappop(waiting)
+            heapq.heappush(ready, ((given[i] + blocks[i][number[i]]) / shares[i], i, release))
+        deadline, i, release = heapq.heappop(ready)
+        out.append((i, number[i], now, release, deadline))
+        size = blocks[i][number[i]]
+        now, given[i], number[i] = now + size, given[i] + size, number[i] + 1
+        if number[i] < len(blocks[i]):
+            heapq.heappush(waiting, (given[i] / shares[i], i))
+    return out
+
+
+def packed(ranges: list[int], block: int) -> list[int]:
+    """The block of each range, from their sizes: a block ends before it would be larger than ``block``."""
+    out, held = [], 0
+    for size in ranges:
+        full = bool(out) and held + size > block
+        held = size if full else held + size
+        out.append((out[-1] if out else 0) + full)
     return out
 
 
-def plan(sizes: DataFrame, weights: dict[str | None, float] | None) -> tuple[DataFrame, int]:
-    """source, its number, ranges, n, slots (array), period, one row for each source; and the block's size."""
+def sized(docs: DataFrame) -> DataFrame:
+    """What the schedule needs of ``docs``: doc_id, source, size and hash, written."""
+    return saved(docs.select("doc_id", *_measures()), "sizes")
+
+
+def _measures():
+    return (
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("doc_id", "text").alias("hash"),
+    )
+
+
+def plan(sizes: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source_, i, ranges) of each source, and (i, range, block, slot, clock, release, deadline, share) of each range that has documents.
+
+    ``slot`` numbers the blocks of all sources in the order of running, from 0.
+    """
+    spark = sizes.sparkSession
     found = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -70,60 +87,64 @@ def plan(sizes: DataFrame, weights: dict[str | None, float] | None) -> tuple[Dat
     weight = [weights.get(r.source, 0.0) if weights else max(r.size, 1) ** TEMPERATURE for r in found]
     if weights and (missing := [r.source for r, w in zip(found, weight, strict=True) if w <= 0]):
         raise ValueError(f"no positive weight for sources {missing}")
-    n = slots_of(weight, max(SLOTS_LEAST, SLOTS_EACH * len(found))) if found else []
-    block = max(BLOCK_LEAST, min([BLOCK, *(r.size // BLOCKS for r in found)]))
-    rows = [(r.source, i, -(-r.rows // RANGE_ROWS), k, s) for i, (r, k, s) in enumerate(zip(found, n, schedule(n), strict=True))]
-    schema = "source_ string, i int, ranges long, n long, slots array<int>"
-    return sizes.sparkSession.createDataFrame(rows, schema).withColumn("period", F.lit(sum(n)).cast("long")), block
+    each = max(1, -(-2 * sum(r.rows for r in found) // RANGES))
+    sources = spark.createDataFrame([(r.source, i, -(-2 * r.rows // each)) for i, r in enumerate(found)], "source_ string, i int, ranges long")
+    filled = ranged(sizes, sources).groupBy("i", "range").agg(F.sum("size").alias("sum")).collect()  # RANGES at most, and a few
+    by_source: list[list[tuple[int, int]]] = [[] for _ in found]
+    for r in filled:
+        by_source[r.i].append((r.range, r["sum"]))
+    block = block or max(BLOCK_LEAST, min([BLOCK, *(r.size // BLOCKS for r in found)]))
+    of, blocks = [], []
+    for ranges in by_source:
+        ranges.sort()
+        of.append(packed([size for _, size in ranges], block))
+        blocks.append([0] * (of[-1][-1] + 1 if ranges else 0))
+        for (_, size), k in zip(ranges, of[-1], strict=True):
+            blocks[-1][k] += size
+    share = [w / sum(weight) for w in weight]
+    runs = {(i, k): (slot, clock, release, deadline) for slot, (i, k, clock, release, deadline) in enumerate(schedule(blocks, share))}
+    rows = [(i, r, k, *runs[i, k], share[i]) for i, ranges in enumerate(by_source) for (r, _), k in zip(ranges, of[i], strict=True)]
+    return sources, spark.createDataFrame(rows, "i int, range long, block long, slot long, clock long, release double, deadline double, share double")
+
+
+def ranged(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` (source, hash, ...) with i and range, their place in the source's order of hashes."""
+    named = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("source_")))  # MAX_SOURCES rows at most
+    return named.withColumn("range", F.expr("shiftright(shiftrightunsigned(hash, 33) * ranges, 31)")).drop("source_", "ranges")
+
+
+def placed(rows: DataFrame, planned: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` (source, hash, ...) with block, slot, clock, release, deadline and share of their block, joined without a shuffle."""
+    sources, slots = planned
+    table = F.broadcast(slots.withColumnsRenamed({"i": "i_", "range": "range_"}))  # RANGES rows at most, and a few
+    return ranged(rows, sources).join(table, (F.col("i") == F.col("i_")) & (F.col("range") == F.col("range_"))).drop("i", "i_", "range", "range_")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None) -> DataFrame:
-    """One row for each row of ``docs``: row (all its columns), source, size, block, slot, release, deadline, start.
-
-    Reading the rows by slot, then start gives the mix. ``start`` is the size of the source's documents
-    before this one. A document is in the block where it starts. Null sources are a source of their
-    own, null texts have size 0. No row is dropped or repeated: where a source has no blocks left, its
-    slots stay empty and the others keep their order and proportions. ``weights`` must name every source.
-    Within a source, documents come by a hash of id and text; rows that agree in both have one size and
-    take their places among themselves in any order. No documents give no rows.
+    """One row for each row of ``docs``: doc_id, source, size, hash, block, slot, clock, release, deadline and share.
+
+    Reading the rows by slot, then hash (``order``) gives the mix. Null sources are a source of their own, null texts have size 0.
+    No row is dropped or repeated. ``weights`` must name every source. Rows that agree in id and text have
+    one size and one block, and take their places there in any order. Extra columns are ignored. No
+    documents give no rows.
     """
-    rows = docs.select(
-        F.struct("*").alias("row"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", "text").alias("hash"),
-    )
-    sources, own = plan(rows.select("source", "size"), weights)
-    block, sources = block or own, F.broadcast(sources)  # at most MAX_SOURCES rows and SLOTS_EACH slots a source
-    placed = rows.join(sources, F.col("source").eqNullSafe(F.col("source_"))).withColumn(
-        "range", F.expr("shiftright(shiftrightunsigned(hash, 33) * ranges, 31)")
-    )
-    sums = saved(placed.groupBy("i", "range").agg(F.sum("size").alias("sum")), "ranges")
-    before = Window.partitionBy("i").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("i", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("i", "range").orderBy(F.expr("shiftrightunsigned(hash, 1)"), "hash", F.col("row.doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    started = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["i", "range"])
-    k, periods = F.expr("block % n"), F.expr("block div n")
-    return (
-        started.withColumn("start", F.col("offset") + F.col("inside"))
-        .withColumn("block", F.expr(f"start div {block}"))
-        .select(
-            "row",
-            "source",
-            "size",
-            "block",
-            (periods * F.col("period") + F.get("slots", k.cast("int"))).alias("slot"),
-            (periods * F.col("period") + F.expr("((block % n) * period) div n")).alias("release"),
-            (periods * F.col("period") + F.expr("((block % n + 1) * period + n - 1) div n")).alias("deadline"),
-            "start",
-        )
-    )
+    sizes = sized(docs)
+    return placed(sizes, plan(sizes, weights, block))
+
+
+def order() -> list:
+    """The order of the mix: by slot, and in a block by the hash."""
+    return [F.col("slot"), F.expr("shiftrightunsigned(hash, 1)"), F.col("hash")]
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None) -> DataFrame:
-    """The rows of ``docs``, all of them and unchanged, in the order of the mix: part by part and row by row."""
-    mixed = mix(docs, weights, block).select("row", "slot", "start")
-    return mixed.repartitionByRange("slot", "start").sortWithinPartitions("slot", "start").select("row.*")
+    """The rows of ``docs``, all of them and unchanged, in the order of the mix: part by part and row by row.
+
+    Nulls, repeats and empty tables are as in ``mix``, whatever the columns are called. Texts move once.
+    """
+    planned = plan(sized(docs), weights, block)
+    rows = placed(docs.select(F.struct("*").alias("row"), *_measures()), planned).select("row", "slot", "hash")
+    return rows.repartitionByRange(*order()).sortWithinPartitions(*order()).select("row.*")
 
 
 def positions(mixed: DataFrame) -> DataFrame:
@@ -142,4 +163,4 @@ def positions(mixed: DataFrame) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "source", "text")).select("row.doc_id", "source", "size", "block", "slot", "release", "deadline", "start")
+    return mix(docs)

@@ -211,17 +211,19 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of equal ids and texts the row with the smallest hash of all columns stays, and of equal rows one.
     Rows without an id can't be named, and stay.
     """
-    found = saved(near_duplicates(docs).filter("doc_id is not null"), "near")
-    times = found.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
-    first = times.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "n")).alias("first")).select("first.*")
-    rows = docs.select(F.struct("*").alias("row"))
-    same = (rows["row.doc_id"].cast("long") == first["doc_id"]) & (F.xxhash64(F.coalesce(rows["row.text"], F.lit(""))) == first["hash"])
-    kept = rows.join(first.hint("shuffle_hash"), same)
-    lone = docs.filter(F.col("doc_id").isNull())
-    if first.filter("n > 1").isEmpty():
-        return kept.select("row.*").unionByName(lone)
-    several = kept.filter("n > 1").groupBy("doc_id", "hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return kept.filter("n = 1").select("row.*").unionByName(several.select("row.*")).unionByName(lone)
+    # those that go are joined against, not those that stay: most documents stay, and Spark picks the join by size
+    found = near_duplicates(docs).filter("doc_id is not null")
+    times = saved(found.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n")), "near")
+    first = times.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "n")).alias("first")).select("root", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash"), F.col("first.n").alias("n"))
+    gone = times.join(first, ["root", "doc_id", "hash"], "left_anti").select("doc_id", "hash")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash_"))
+    of = lambda keys: (F.col("id_") == keys["doc_id"]) & (F.col("hash_") == keys["hash"])
+    kept = rows.join(gone, of(gone), "left_anti")
+    several = saved(first.filter("n > 1").select("doc_id", "hash"), "several")
+    if several.isEmpty():
+        return kept.select("row.*")
+    one = kept.join(several, of(several), "left_semi").groupBy("id_", "hash_").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.join(several, of(several), "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
