@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activity, lifecycle
+from ..scratch import new_path, saved
+from ..streaming import lifecycle as stream
 from .registry import query, table
 
 LIMITS = lifecycle.rules(main=3, scout=3, breakout=6)
@@ -108,6 +110,21 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.folded(tracked(spark, sf_dir))
 
 
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the streaming lifecycle over the same counts and days; the last row only moves the watermark."""
+    none = lambda kind: F.lit(None).cast(kind)
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date")).agg(F.countDistinct(F.hour("ts")).cast("int").alias("hours_collected"))
+    days = days.select(none("string").alias("key"), "date", none("long").alias("n"), "hours_collected", (F.col("date") != F.lit(WARNED).cast("date")).alias("records_complete"))
+    counts = daily(spark, sf_dir).select("key", "date", "n", none("int").alias("hours_collected"), none("boolean").alias("records_complete"))
+    clock = days.agg(F.date_add(F.max("date"), 14).alias("date")).select(none("string").alias("key"), "date", none("long").alias("n"), none("int").alias("hours_collected"), none("boolean").alias("records_complete"))
+    given = saved(counts.unionByName(days).unionByName(clock), "observations")
+    rows = spark.readStream.schema(given.schema).parquet(given.inputFiles()[0].rpartition("/")[0])
+    out, notes = new_path(spark, "weeks"), new_path(spark, "offsets")
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream.followed(rows, LIMITS, groups).writeStream.format("parquet").option("path", out).option("checkpointLocation", notes).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.OUTPUT).parquet(out)
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Dates as text, so that every engine compares them alike."""
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
@@ -147,23 +164,37 @@ def a12(spark, sf_dir):
     return as_text(lifecycle.week_summary(daily(spark, sf_dir), coverage(spark, sf_dir), LIMITS))
 
 
-@query(
-    "t6_lifecycle_weeks",
-    _FOLD + "SELECT key, CAST(week AS VARCHAR) AS week, n, coverage, status, breakout_status, qualified, below FROM steps WHERE i > 0 AND (n > 0 OR status IS NOT NULL OR coalesce(breakout_status = 'pending', FALSE))",
+_SHOWN = (
+    _FOLD + "SELECT key, CAST(week AS VARCHAR) AS week, n, coverage, status, breakout_status, qualified, below FROM steps WHERE i > 0 AND (n > 0 OR status IS NOT NULL OR coalesce(breakout_status = 'pending', FALSE))"
 )
+
+
+@query("t6_lifecycle_weeks", _SHOWN)
 def t6(spark, sf_dir):
     return as_text(lifecycle.lifecycle_weeks(states(spark, sf_dir)).select("key", "week", "n", "coverage", "status", "breakout_status", "qualified", "below"))
 
 
-@query(
-    "t7_lifecycle_events",
+_EMITTED = (
     _FOLD + """, listed AS (SELECT key, i, unnest(emitted) AS e, generate_subscripts(emitted, 1) AS k FROM steps)
-    SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY i, k) - 1 AS INTEGER) AS seq, e.type AS "type", CAST(e.week AS VARCHAR) AS week, e.previous_status AS previous_status, e.next_status AS next_status FROM listed""",
+    SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY i, k) - 1 AS INTEGER) AS seq, e.type AS "type", CAST(e.week AS VARCHAR) AS week, e.previous_status AS previous_status, e.next_status AS next_status FROM listed"""
 )
+
+
+@query("t7_lifecycle_events", _EMITTED)
 def t7(spark, sf_dir):
     return as_text(lifecycle.lifecycle_events(states(spark, sf_dir)))
 
 
+@query("t6_streamed_weeks", _SHOWN)
+def t6_streamed(spark, sf_dir):
+    return as_text(stream.shown_weeks(streamed(spark, sf_dir)).select("key", "week", "n", "coverage", "status", "breakout_status", "qualified", "below"))
+
+
+@query("t7_streamed_events", _EMITTED)
+def t7_streamed(spark, sf_dir):
+    return as_text(stream.emitted_events(streamed(spark, sf_dir)))
+
+
 @query(
     "t6_final_state",
     _FOLD + "SELECT key, status, cooling_from, qualified, below, CAST(first_detected AS VARCHAR) AS first_detected, CAST(changed_at AS VARCHAR) AS changed_at, "
