@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import store
+
 VERSION = "version"
 
 
@@ -22,34 +22,14 @@ def write_relation(df: DataFrame, path: str, version: str, mode: str = "error")
 
 
 def replace_relation(df: DataFrame, path: str, version: str) -> None:
-    """Replace a relation as a whole: the new one is written beside the old one, which is renamed aside and, if the new one can't take its place, back.
-
-    A failed write leaves the old relation; between the two renames a reader finds none, never a part of one.
-    """
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    write_relation(df, fresh, version)
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    store = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-    had = store.exists(path_of(path))
-    if had and not store.rename(path_of(path), path_of(aside)):
-        raise OSError(f"{path} couldn't be renamed to {aside}")
-    try:
-        moved = store.rename(path_of(fresh), path_of(path))
-    except Exception:
-        moved = False
-    if not moved:
-        if had:
-            store.rename(path_of(aside), path_of(path))
-        raise OSError(f"{fresh} couldn't be renamed to {path}")
-    if had:
-        store.delete(path_of(aside), True)
+    """Replace a relation as a whole: readers see the old one until the new one is there (``store``)."""
+    store.changed(df.sparkSession, path, lambda before: df.withColumn(VERSION, F.lit(version)))
 
 
 def read_relation(spark: SparkSession, path: str, version: str) -> DataFrame:
-    """A relation of the given version; rows of any other version fail the read when they are met."""
-    rows = spark.read.parquet(path)
+    """A relation of the given version, from its last replacement if there is one; rows of any other version fail the read when they are met."""
+    replaced = store.current(spark, path)
+    rows = spark.read.parquet(replaced.folder if replaced else path)
     checked = F.when(F.col(VERSION) == version, True).otherwise(F.raise_error(F.concat(F.lit(f"{path}: expected version {version}, found "), F.coalesce(VERSION, F.lit("none")))))
     return rows.filter(checked.cast("boolean")).drop(VERSION)
 
