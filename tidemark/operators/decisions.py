@@ -67,41 +67,95 @@ def strict_responses(requested: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.select("id", "batch", F.when(problem.isNull(), F.col("answer")).alias("decision"), problem.alias("problem"))
 
 
-def classify(misses: DataFrame, invoke: Callable[[list[dict]], list[dict]], size: int = 20, retries: int = 1, budget: int = MAX_BUDGET, secrets: list[str] = ()) -> tuple[DataFrame, int]:
-    """Decisions of a model for ``misses``, and how many requests it took.
-
-    ``invoke`` answers a batch; it runs in the tasks. Rounds are sequential, since the budget counts the
-    requests of all batches and a retry needs the answers before it; entries of a round run in parallel.
+_ENTRY = "array<struct<id:long,description:string,topics:array<string>>>"
+_NONE = {"id": "long", "decision": "string", "evidence": "string", "failure": "string", "attempts": "int"}
+
+
+def outcomes(
+    misses: DataFrame,
+    invoke: Callable[[list[dict]], list[dict]],
+    size: int = 20,
+    retries: int = 1,
+    budget: int = MAX_BUDGET,
+    secrets: list[str] = (),
+    ledger: str | None = None,
+    identity: tuple[str, ...] = (),
+    save: Callable[[DataFrame], None] | None = None,
+) -> tuple[DataFrame, int]:
+    """id, decision, evidence, failure, attempts: what came of every row of ``misses``; and the number of requests.
+
+    ``invoke`` answers a batch; it runs in the tasks, once for each batch, which is one row whatever the size
+    of Arrow's frames. A failure is told by a code and not raised: the request failed, the response was
+    invalid (for this entry, or as a whole), or the budget was used up. Entries without a decision are asked again within
+    their batch, up to ``retries`` times. Rounds are sequential, since the budget counts the requests of all
+    batches; batches of a round run in parallel, those with small ids first in the budget.
+
+    With ``ledger``, a folder, no request that has an answer there is sent again, by a task that
+    runs twice or by a later run with the same ``identity``. ``save`` gets each round's decisions as they come.
     """
     if not 0 <= retries <= MAX_RETRIES or not 0 <= budget <= MAX_BUDGET:
         raise ValueError("retries or budget out of bounds")
     from ..scratch import saved
+    from ..sources import ledger as requests
+
+    columns = ["description", "topics"]
+    given = misses.select("id", *(F.col(c) if c in misses.columns else F.lit(None).cast("string" if c == "description" else "array<string>").alias(c) for c in columns))
+    open_ = saved(batches(given, size).withColumns({"failure": F.lit(None).cast("string"), "attempts": F.lit(0)}), "requests")
 
-    def run(groups):
+    def run(frames):
         import pandas as pd
 
-        for frame in groups:
-            for batch, rows in frame.groupby("batch"):
-                answers = invoke(rows.drop(columns="batch").to_dict("records"))
-                yield pd.DataFrame([{"batch": batch, "id": a.get("id"), "decision": a.get("decision"), "evidence": a.get("evidence")} for a in answers], columns=["batch", "id", "decision", "evidence"])
-
-    open_, done, spent = misses, None, 0
-    for _ in range(retries + 1):
-        dealt = batches(open_, size)
-        found = dealt.agg(F.max("batch")).first()[0]
-        asked = 0 if found is None else min(found + 1, budget - spent)
-        if asked <= 0:
+        book = requests.Ledger(ledger) if ledger else None
+        for frame in frames:
+            rows = []
+            for batch, entries, attempt in zip(frame["batch"], frame["entries"], frame["attempt"], strict=True):
+                content = [{"id": int(e["id"]), "description": e["description"], "topics": None if e["topics"] is None else [*e["topics"]]} for e in entries]
+                key = requests.request_key([*identity, content, int(attempt)])
+                send = lambda content=content: invoke(content)
+                found = book.ask(key, content, send) if book else requests.asked(send)
+                rows.append({"batch": batch, "code": found.get("failure"), "answers": found.get("answers", [])})
+            yield pd.DataFrame(rows, columns=["batch", "code", "answers"])
+
+    done, spent = None, 0
+    for attempt in range(retries + 1):
+        grouped = open_.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("id", *columns))).cast(_ENTRY).alias("entries"), F.lit(attempt).alias("attempt"))  # size at most
+        asked = saved(grouped.orderBy("batch").limit(budget - spent), f"asked{attempt}")  # before any of them is sent
+        n = asked.count()
+        if not n:
             break
-        dealt = dealt.filter(F.col("batch") < asked)
-        spent += asked
-        answered = saved(dealt.repartition("batch").mapInPandas(run, "batch long, id long, decision string, evidence string"), "answers")
-        checked = strict_responses(dealt, answered)
-        good = saved(checked.filter("problem is null").join(answered.select("id", "batch", "evidence"), ["id", "batch"]), "good")
+        spent += n
+        tasks = min(n, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        told = asked.repartition(tasks).mapInPandas(run, "batch long, code string, answers array<struct<id:long,decision:string,evidence:string>>")
+        answered = saved(told, f"answered{attempt}")
+        normal = compatible(F.col("a.evidence"))
+        fits = (normal != "") & (F.length(normal) <= EVIDENCE)
+        responses = answered.select("batch", F.explode("answers").alias("a")).select("batch", "a.id", F.when(fits, F.col("a.decision")).alias("decision"), "a.evidence")
+        responses = saved(responses, f"responses{attempt}")
+        sent = open_.join(asked.select("batch"), "batch")
+        checked = strict_responses(sent, responses).join(answered.select("batch", "code"), "batch")
+        texts = responses.groupBy("id", "batch").agg(F.min("evidence").alias("evidence"))
+        judged = checked.join(texts, ["id", "batch"], "left").select(
+            "id", "batch", "decision", F.when(F.col("decision").isNotNull(), evidence(F.col("evidence"), secrets)).alias("evidence"), F.coalesce("code", F.lit(requests.INVALID)).alias("code")
+        )
+        good = saved(judged.filter("decision is not null").select("id", "decision", "evidence", F.lit(None).cast("string").alias("failure"), F.lit(attempt + 1).alias("attempts")), f"good{attempt}")
+        if save and not good.isEmpty():
+            save(good)
         done = good if done is None else done.unionByName(good)
-        open_ = saved(open_.join(good.select("id"), "id", "left_anti"), "open")
-    if done is None:
-        done = misses.select("id", F.lit(None).cast("long").alias("batch"), F.lit(None).cast("string").alias("decision"), F.lit(None).cast("string").alias("problem"), F.lit(None).cast("string").alias("evidence")).limit(0)
-    return done.select("id", "decision", evidence(F.col("evidence"), secrets).alias("evidence")), spent
+        bad = judged.filter("decision is null").select("id", F.col("code").alias("code_"))
+        left = open_.join(good.select("id"), "id", "left_anti").join(bad, "id", "left")
+        open_ = saved(
+            left.select("id", *columns, "batch", F.coalesce("code_", "failure").alias("failure"), (F.col("attempts") + F.col("code_").isNotNull().cast("int")).alias("attempts")), f"open{attempt}"
+        )
+    # asked as often as allowed: the last failure; else the budget ended it
+    ended = F.when(F.col("attempts") > retries, F.col("failure")).otherwise(requests.EXHAUSTED)
+    rest = open_.select("id", *(F.lit(None).cast("string").alias(c) for c in ("decision", "evidence")), ended.alias("failure"), F.col("attempts").cast("int").alias("attempts"))
+    return (rest if done is None else done.unionByName(rest)).select(*(F.col(c).cast(t).alias(c) for c, t in _NONE.items())), spent
+
+
+def classify(misses: DataFrame, invoke: Callable[[list[dict]], list[dict]], size: int = 20, retries: int = 1, budget: int = MAX_BUDGET, secrets: list[str] = ()) -> tuple[DataFrame, int]:
+    """The decisions among ``outcomes``, and how many requests it took."""
+    found, spent = outcomes(misses, invoke, size, retries, budget, secrets)
+    return found.filter("decision is not null").select("id", "decision", "evidence"), spent
 
 
 def evidence(value: Column, secrets: list[str] = ()) -> Column:
@@ -121,26 +175,79 @@ class Model(NamedTuple):
     retries: int = 1
     budget: int = MAX_BUDGET
     secrets: tuple[str, ...] = ()
+    ledger: str | None = None
 
 
-def decided(entities: DataFrame, model: Model, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, decision, evidence) of the entities that the cache or the model decides, and the cache's new entries."""
+class Run(NamedTuple):
+    """What a model's run gave: outcomes (id, decision, evidence, failure, attempts, origin), new cache entries, statistics (one row)."""
+
+    outcomes: DataFrame
+    fresh: DataFrame
+    statistics: DataFrame
+
+
+def model_run(entities: DataFrame, model: Model, cache: DataFrame | str | None = None) -> Run:
+    """The outcome of every entity, from the cache or the model; each id is asked for once.
+
+    ``cache``: a table of entries, or the folder of a ``store``, which then gets new entries as answers come,
+    round by round, so that a run that breaks off has paid for them once. Corrupt entries are an error.
+    """
     from ..scratch import saved
+    from ..sources import store
 
+    spark, folder = entities.sparkSession, cache if isinstance(cache, str) else None
     versions = (model.provider, model.name, model.prompt_version, model.method_version)
+    named = dict(zip(("provider", "model", "prompt_version", "method_version"), map(F.lit, versions), strict=True))
     inputs = saved(cache_keys(model_input(entities), *versions).dropDuplicates(["id"]), "inputs")
-    if cache is None:
+    entries = store.read(spark, folder, corrupt_entries) if folder else cache
+    if entries is None:
         hits, misses = inputs.limit(0).select("id", F.lit(None).cast("string").alias("decision"), F.lit(None).cast("string").alias("evidence")), inputs
     else:
-        if not corrupt_entries(cache).isEmpty():
+        if not folder and not corrupt_entries(entries).isEmpty():
             raise ValueError("the cache has entries that don't follow from their fields")
-        hits, misses = cache_split(inputs, cache)
-        hits = hits.select("id", "decision", "evidence")
-    answers, _ = classify(misses.select("id", "description", "topics"), model.invoke, model.size, model.retries, model.budget, list(model.secrets))
-    found = saved(answers, "decisions")
-    named = dict(zip(("provider", "model", "prompt_version", "method_version"), map(F.lit, versions), strict=True))
-    fresh = inputs.select("id", "metadata_hash", "key").join(found, "id").withColumns(named)
-    return hits.unionByName(found), fresh
+        hits, misses = cache_split(inputs, entries)
+        hits = hits.select("id", "decision", evidence(F.col("evidence"), list(model.secrets)).alias("evidence"))
+
+    def as_entries(decided: DataFrame) -> DataFrame:
+        return inputs.select("id", "metadata_hash", "key").join(decided.select("id", "decision", "evidence"), "id").withColumns(named)
+
+    save = (lambda good: store.merged(as_entries(good), folder, ["key"])) if folder else None
+    found, spent = outcomes(misses.select("id", "description", "topics"), model.invoke, model.size, model.retries, model.budget, list(model.secrets), model.ledger, versions, save)
+    found = saved(found.withColumn("origin", F.when(F.col("decision").isNotNull(), "provider")), "outcomes")
+    every = hits.select("*", F.lit(None).cast("string").alias("failure"), F.lit(0).alias("attempts"), F.lit("cache").alias("origin")).unionByName(found)
+    return Run(every, as_entries(found.filter("decision is not null")), run_statistics(every, spent, model.budget))
+
+
+def run_statistics(found: DataFrame, requests: int, budget: int) -> DataFrame:
+    """One row: candidates, cache_hits, provider_decisions, each decision and each failure, requests, budget, and whether they add up."""
+    from ..sources.ledger import EXHAUSTED, FAILED, INVALID
+
+    count = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
+    kinds = {"request_failed": FAILED, "response_invalid": INVALID, "budget_exhausted": EXHAUSTED}
+    row = found.agg(
+        F.count(F.lit(1)).alias("candidates"),
+        count(F.col("origin") == "cache").alias("cache_hits"),
+        count(F.col("origin") == "provider").alias("provider_decisions"),
+        *(count(F.col("decision") == d).alias(d.replace("-", "_")) for d in DECISIONS),
+        *(count(F.col("failure") == code).alias(name) for name, code in kinds.items()),
+        F.count_distinct("id").alias("ids_"),
+    )
+    failures = sum((F.col(k) for k in kinds), F.lit(0))
+    decided_ = sum((F.col(d.replace("-", "_")) for d in DECISIONS), F.lit(0))
+    adds_up = (F.col("candidates") == F.col("cache_hits") + F.col("provider_decisions") + failures) & (decided_ == F.col("cache_hits") + F.col("provider_decisions")) & (F.col("candidates") == F.col("ids_"))
+    within = F.col("requests") <= F.col("budget")
+    return row.withColumns({"requests": F.lit(requests), "budget": F.lit(budget)}).withColumn("adds_up", adds_up & within).drop("ids_")
+
+
+def model_errors(found: DataFrame) -> DataFrame:
+    """source, target, message: one row for each entity without a decision, as in ``events.coverage_errors``."""
+    return found.filter("decision is null").select(F.lit("model").alias("source"), F.concat(F.lit("repository:"), F.col("id")).alias("target"), F.col("failure").alias("message"))
+
+
+def decided(entities: DataFrame, model: Model, cache: DataFrame | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, decision, evidence) of the entities that the cache or the model decides, and the cache's new entries."""
+    run = model_run(entities, model, cache)
+    return run.outcomes.filter("decision is not null").select("id", "decision", "evidence"), run.fresh
 
 
 def one_outcome(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -95,20 +95,22 @@ def follow(spark: SparkSession, inputs: list[dict[str, DataFrame]], limits: dict
     return {"states": lifecycle.final_states(states).join(who, "key"), "window": window, "weeks": lifecycle.lifecycle_weeks(states), "events": lifecycle.lifecycle_events(states), "summary": lifecycle.week_summary(observed, coverage, limits)}
 
 
-def analyze(entities: DataFrame, lexicon: Lexicon = Lexicon(), model: decisions.Model | None = None, cache: DataFrame | None = None) -> dict[str, DataFrame]:
+def analyze(entities: DataFrame, lexicon: Lexicon = Lexicon(), model: decisions.Model | None = None, cache: DataFrame | str | None = None) -> dict[str, DataFrame]:
     """Keywords and relevance of entities (id, topics, description, readme): observations, assessed, census, communities.
 
     Relevance follows from the keywords, or, with a ``model``, from its decisions: those in ``cache`` aren't
     asked for again, READMEs of entities that it rules out or leaves open aren't read, and ``cache`` in the
-    result has what is to be added to the cache.
+    result has what is new for the cache (a cache given as a folder has it already); ``run`` has the model's statistics,
+    ``errors`` a row for each entity without a decision.
     """
     extra = {}
     if model is None:
         observed = saved(topics.observations(entities, lexicon), "observed")
         assessed = saved(topics.relevance(entities, observed, lexicon), "assessed")
     else:
-        outcomes, extra["cache"] = decisions.decided(entities, model, cache)
-        judged = entities.join(outcomes, "id", "left")
+        run = decisions.model_run(entities, model, cache)
+        extra = {"cache": run.fresh, "run": run.statistics, "errors": decisions.model_errors(run.outcomes)}
+        judged = entities.join(run.outcomes.select("id", "decision", "evidence"), "id", "left")
         wanted = F.when(F.coalesce(F.col("decision") != "not-ai", F.lit(False)), F.col("readme"))
         observed = saved(topics.observations(judged.select("id", "topics", "description", wanted.alias("readme")), lexicon), "observed")
         score = F.coalesce(F.round(ordinal(F.col("decision")) * 100), F.lit(0)).cast("long")
