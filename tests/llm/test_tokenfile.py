@@ -87,3 +87,16 @@ def test_files_roll(spark):
         ids = library(long if r.doc_id == 300 else "a b c " * (r.doc_id % 9)) + np.array([1], "<u4").tobytes()
         assert (r.start, bytes(r.ids)) == (start, ids)
         start += len(ids) // 4
+
+
+def test_ranges_follow_the_size(spark, monkeypatch, tmp_path):
+    from tidemark.llm import media, shared
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [shared.ranges_for(spark, n) for n in (None, 0, shared.RANGE_BYTES, 100 * shared.RANGE_BYTES + 1)] == [least, least, least, 101]
+    monkeypatch.setattr(shared, "RANGE_BYTES", 100)
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(60)], "doc_id long, text string")
+    files = tokenfile.write_token_files(docs, "file://" + str(tmp_path / "ids"))
+    assert files.count() > 4 * least
+    index = spark.createDataFrame([("s", i * 50, 50) for i in range(100)], "shard string, offset long, length long")
+    assert media.by_shard(index).rdd.getNumPartitions() == 50

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, new_path, saved
+from .shared import id_text, new_path, ranges_for, saved
 
 WIDTH, LEVEL = 576, 1
 #: A shard is closed once it has so many bytes.
@@ -168,7 +168,7 @@ def store_media(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def by_shard(index: DataFrame) -> DataFrame:
     """The index in ranges of (shard, offset), so that tasks have equal shares and read from front to back."""
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges_for(index.sparkSession, index.agg(F.sum("length")).first()[0])
     return index.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 

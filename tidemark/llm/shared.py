@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import dropped, new_path, saved, shared_dir
 
-__all__ = ["by_batch", "documents", "dropped", "fold", "id_text", "labels", "new_path", "saved", "shared_dir", "small_batches"]
+__all__ = ["by_batch", "documents", "dropped", "fold", "id_text", "labels", "new_path", "ranges_for", "saved", "shared_dir", "small_batches"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,15 @@ def id_text(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+#: Bytes of a task's share where a range partitioning states its number of ranges.
+RANGE_BYTES = 256 << 20
+
+
+def ranges_for(spark: SparkSession, size: int | None) -> int:
+    """Partitions for ``size`` bytes: the session's number, or as many more as the size needs."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import word_encoder
-from .shared import id_text, new_path, saved
+from .shared import id_text, new_path, ranges_for, saved
 
 MAGIC = b"TMTOKEN2"
 CHUNK, LEVEL, END = 1 << 16, 3, 1
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_
     give no files. Every attempt at a task writes files of its own, and the table names those of the
     attempts that ended well.
     """
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or ranges_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0])
     key = ["doc_id", "hash"]
 
     def write(batches):
@@ -205,7 +205,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids (binary) of every document in ``files``; no files give no rows."""
     before = F.sum("n_ids").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file of ROLL ids
     based = files.withColumn("base", F.coalesce(before, F.lit(0)))
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges_for(files.sparkSession, files.agg(F.sum("n_ids") * 4).first()[0])
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def read(batches):
