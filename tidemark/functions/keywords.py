@@ -1,6 +1,6 @@
 """Keywords: normal forms and tests as column expressions, extraction from texts as an Arrow pass.
 
-All patterns use ASCII classes: word boundaries are look-arounds, since Java's own also see letters of
+White space is that of all scripts (``text.WHITE``), other classes are ASCII: word boundaries are look-arounds, since Java's own also see letters of
 other scripts. Extraction looks at every token of every text; as expressions this took ten times as
 long, so a vectorized function does it with one compiled pattern for each step and a memory of tokens.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from .lexicon import Lexicon
+from .text import WHITE
 
 # The token pattern, and the normal forms below.
 TOKEN = "[a-z0-9]+(?:-[a-z0-9]+)*"
@@ -30,8 +31,8 @@ def _words(words) -> Column:
 
 def normalized(value: Column, lexicon: Lexicon) -> Column:
     """Lower case with hyphens for spaces, slashes and underscores; other characters go; aliases resolved."""
-    text = F.lower(F.regexp_replace(value, r"^\s+|\s+\z", ""))
-    text = F.regexp_replace(text, r"[_/\s]+", "-")
+    text = F.lower(F.regexp_replace(value, rf"^[{WHITE}]+|[{WHITE}]+\z", ""))
+    text = F.regexp_replace(text, f"[_/{WHITE}]+", "-")
     text = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9-]", ""), "-+", "-")
     text = F.regexp_replace(text, r"^-|-\z", "")
     return aliased(text, lexicon)
@@ -47,12 +48,7 @@ def aliased(keyword: Column, lexicon: Lexicon) -> Column:
 def searchable(text: Column) -> Column:
     """Camel case split, lower case, links gone, underscores and slashes as hyphens."""
     text = F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1-$2"))
-    return F.regexp_replace(F.regexp_replace(text, r"https?://\S+", " "), "[_/]+", "-")
-
-
-def tokens(text: Column, lexicon: Lexicon) -> Column:
-    """The keywords of a searchable text's tokens: a token is a normal form already, but for aliases."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda w: aliased(w, lexicon))
+    return F.regexp_replace(F.regexp_replace(text, f"https?://[^{WHITE}]+", " "), "[_/]+", "-")
 
 
 def is_signal(keyword: Column, lexicon: Lexicon) -> Column:
@@ -91,7 +87,7 @@ class _Tokens(dict):
 class Extractor:
     """Keywords of texts, with repeats: phrases, tokens (signals and useful compounds) and bigrams (a modifier before a flexible suffix)."""
 
-    _CAMEL, _LINK, _JOIN, _TOKEN = re.compile("([a-z0-9])([A-Z])"), re.compile("https?://[^ \\t\\n\\x0b\\f\\r]+"), re.compile("[_/]+"), re.compile(TOKEN)
+    _CAMEL, _LINK, _JOIN, _TOKEN = re.compile("([a-z0-9])([A-Z])"), re.compile(f"https?://[^{WHITE}]+"), re.compile("[_/]+"), re.compile(TOKEN)
 
     def __init__(self, lexicon: Lexicon):
         self.aliases, self.known = lexicon.aliases, _Tokens(lexicon)
@@ -130,12 +126,13 @@ class Extractor:
         return [
             *(self.of_phrases(found) if "phrases" in steps else ()),
             *(self.of_tokens(words) if "tokens" in steps else ()),
+            *(map(self._alias, words) if "words" in steps else ()),
             *(self.bigrams(words) if "bigrams" in steps else ()),
         ]
 
 
 def text_keywords(text: Column, lexicon: Lexicon, steps: tuple[str, ...] = ("phrases", "tokens", "bigrams")) -> Column:
-    """All keywords of a text (null: none), with repeats: a hyphenated phrase counts as phrase and as token."""
+    """All keywords of a text (null: none), with repeats: a hyphenated phrase counts as phrase and as token. Step ``words``: every token, keyword or not."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -10,12 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import canonical
+
 # What is redacted, and with what.
 REDACTED = "[REDACTED]"
 AUTHORIZATION = r"(?i)(authorization\s*[:=]\s*bearer\s+)[^\s,;]+"
 BEARER = r"(?i)(bearer\s+)[A-Za-z0-9._-]+"
 
 
+#: White space of all scripts, as the inside of a class for Java's and Python's patterns: ``\\s`` is ASCII there or not, as they like.
+WHITE = "\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+
+
 def redacted(value: Column, secrets: list[str] = ()) -> Column:
     """Known secrets, authorization headers and bearer tokens replaced."""
     for secret in filter(None, secrets):
@@ -36,13 +42,12 @@ def compatible(value: Column) -> Column:
     After the squeeze all white space is single spaces, which is what ``trim`` cuts.
     """
     normal = F.when(value.rlike(r"[^\x00-\x7f]"), _nfkc(value)).otherwise(value)
-    return F.trim(F.regexp_replace(normal, "[\\s\\u00a0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+", " "))
+    return F.trim(F.regexp_replace(normal, f"[{WHITE}]+", " "))
 
 
 def digest(*parts: Column) -> Column:
     """sha256:<hex> of the parts as a JSON array of strings, null as null."""
-    quoted = [F.coalesce(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(p.cast("string"), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')), F.lit("null")) for p in parts]
-    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("["), F.concat_ws(",", *quoted), F.lit("]")), 256))
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(canonical.text(p.cast("string")), F.lit("null")) for p in parts)), F.lit("]")), 256))
 
 
 def base_name(path: Column) -> Column:

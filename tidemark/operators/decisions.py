@@ -7,8 +7,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
-from ..functions.text import compatible, digest, redacted
+from ..functions.canonical import json_of
+from ..functions.text import compatible, redacted
 from .ranking import dense_places
 
 # The decisions, and bounds of the options.
@@ -23,10 +25,26 @@ def model_input(entities: DataFrame) -> DataFrame:
     return entities.select("id", F.when(description != "", description).alias("description"), F.array_sort(F.array_distinct(F.filter(topics, lambda t: t != ""))).alias("topics"))
 
 
+# What names the hashed objects.
+METADATA_SCHEMA, KEY_SCHEMA = "ai-relevance-metadata-v1", "ai-relevance-cache-key-v1"
+
+
+def _hashed(kinds: dict[str, DataType], *values: Column) -> Column:
+    """sha256:<hex> of the JSON object with these keys, in this order."""
+    kind = StructType([StructField(name, t) for name, t in kinds.items()])
+    return F.concat(F.lit("sha256:"), F.sha2(json_of(F.struct(*(v.alias(n) for n, v in zip(kinds, values, strict=True))), kind, by_name=False), 256))
+
+
+def _key(*values: Column) -> Column:
+    names = ("schema", "repository_id", "metadata_hash", "provider", "model", "prompt_version", "methodology_version")
+    return _hashed(dict.fromkeys(names, StringType()), F.lit(KEY_SCHEMA), values[0].cast("string"), *values[1:])
+
+
 def cache_keys(inputs: DataFrame, provider: str, model: str, prompt_version: str, method_version: str) -> DataFrame:
     """``inputs`` with metadata_hash and key, which change with the text and with everything that decides."""
-    hashed = inputs.withColumn("metadata_hash", digest(F.col("description"), F.array_join("topics", "\n")))
-    return hashed.withColumn("key", digest(F.col("id"), F.col("metadata_hash"), F.lit(provider), F.lit(model), F.lit(prompt_version), F.lit(method_version)))
+    kinds = {"schema": StringType(), "description": StringType(), "topics": ArrayType(StringType())}
+    hashed = inputs.withColumn("metadata_hash", _hashed(kinds, F.lit(METADATA_SCHEMA), F.col("description"), F.col("topics")))
+    return hashed.withColumn("key", _key(F.col("id"), F.col("metadata_hash"), F.lit(provider), F.lit(model), F.lit(prompt_version), F.lit(method_version)))
 
 
 def cache_split(inputs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +55,7 @@ def cache_split(inputs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFra
 
 def corrupt_entries(cache: DataFrame) -> DataFrame:
     """Cache entries whose key doesn't follow from their fields, or with an unknown decision: must be empty."""
-    again = digest(*(F.col(c) for c in ("id", "metadata_hash", "provider", "model", "prompt_version", "method_version")))
+    again = _key(*(F.col(c) for c in ("id", "metadata_hash", "provider", "model", "prompt_version", "method_version")))
     return cache.filter(~F.col("key").eqNullSafe(again) | ~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)))
 
 

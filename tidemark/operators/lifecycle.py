@@ -7,11 +7,11 @@ that each step's expressions stay small.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import let
+
 # Thresholds a day and a week, and the streaks that move a state.
 MAIN_DAILY, SCOUT_WEEKLY, BREAKOUT_WEEKLY = 5, 3, 10
 CONFIRMING_WEEKS, INACTIVATING_WEEKS = 2, 2
@@ -96,11 +96,6 @@ def with_growth(tracked: DataFrame) -> DataFrame:
     return tracked.withColumn("grows", F.coalesce(grows, F.lit(False)))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _event(kind: str, week: Column, before: Column, after: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), week.alias("week"), before.alias("previous_status"), after.alias("next_status")).cast(EVENT)
 
@@ -226,10 +221,15 @@ def lifecycle_weeks(states: DataFrame) -> DataFrame:
 
 
 def lifecycle_events(states: DataFrame) -> DataFrame:
-    """Emitted events with ``seq``, their order within the key. By week, key, seq is the order of the whole log."""
+    """Emitted events with ``seq``, their order within the key. ``log_order`` is the order of the whole log."""
     return states.select("key", F.posexplode("state.events").alias("seq", "e")).select("key", "seq", "e.*")
 
 
+def log_order(name: str = "key") -> list[Column]:
+    """The order of the whole log: by week, then name as people sort it (case and accents set apart, punctuation before digits before letters), then as emitted."""
+    return [F.col("week"), F.expr(f"collate({name}, 'UNICODE_CI_AI')"), F.col(name), F.col("seq")]
+
+
 def final_states(states: DataFrame) -> DataFrame:
     fields = ("status", "cooling_from", "qualified", "below", "first_detected", "changed_at", "last_qualified", "fast_ever", "breakout_status")
     return states.select("key", *(F.col(f"state.{f}").alias(f) for f in fields))

@@ -9,12 +9,11 @@ from ..operators import decisions
 from ..sources.archive import readme_text
 from .registry import query, table
 
-_TOPICS = "array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(p_name, ' '), lambda t: lower(trim(t))), lambda t: t <> ''))), chr(10))"
-_QUOTED = "'\"' || {} || '\"'"
+_TOPICS = "'[' || array_to_string(list_transform(list_sort(list_distinct(list_filter(list_transform(string_split(p_name, ' '), lambda t: lower(trim(t))), lambda t: t <> ''))), lambda t: '\"' || t || '\"'), ',') || ']'"
 _KEYS = f"""
 WITH inputs AS (SELECT p_partkey AS id, p_name AS description, {_TOPICS} AS topics FROM part),
-hashed AS (SELECT *, 'sha256:' || sha256('[' || {_QUOTED.format('description')} || ',' || {_QUOTED.format('topics')} || ']') AS metadata_hash FROM inputs),
-keyed AS (SELECT *, 'sha256:' || sha256('["' || id || '","' || metadata_hash || '","acme","m1","p1","v1"]') AS key FROM hashed)
+hashed AS (SELECT *, 'sha256:' || sha256('{{"schema":"ai-relevance-metadata-v1","description":"' || description || '","topics":' || topics || '}}') AS metadata_hash FROM inputs),
+keyed AS (SELECT *, 'sha256:' || sha256('{{"schema":"ai-relevance-cache-key-v1","repository_id":"' || id || '","metadata_hash":"' || metadata_hash || '","provider":"acme","model":"m1","prompt_version":"p1","methodology_version":"v1"}}') AS key FROM hashed)
 """
 
 

@@ -114,7 +114,7 @@ def f3(spark, sf_dir):
     return eq.raw_records(spark, sf_dir).filter("created_at is not null").select("line", F.try_to_timestamp("created_at").isNotNull().alias("readable"))
 
 
-@query("f6_searchable", "SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(html, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://\\S+', ' ', 'g'), '[_/]+', '-', 'g') AS found FROM pages")
+@query("f6_searchable", f"SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(html, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://[^{tq.SQL_WHITE}]+', ' ', 'g'), '[_/]+', '-', 'g') AS found FROM pages")
 def f6(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", keywords.searchable(F.col("html")).alias("found"))
 
@@ -122,8 +122,8 @@ def f6(spark, sf_dir):
 @query("f9_compounds", tq._OBSERVED + f"SELECT w, count(*) AS n FROM words WHERE {tq._COMPOUND} GROUP BY w")
 def f9(spark, sf_dir):
     texts = tq.entities(spark, sf_dir).select(F.explode(F.array("description", F.substring("readme", 1, tq.LEXICON.readme_limit))).alias("t"))
-    words = keywords.tokens(keywords.searchable(F.coalesce("t", F.lit(""))), tq.LEXICON)
-    return texts.select(F.explode(words).alias("w")).filter(keywords.is_compound(F.col("w"), tq.LEXICON)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = texts.select(F.explode(keywords.text_keywords(F.col("t"), tq.LEXICON, ("words",))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return words.filter(keywords.is_compound(F.col("w"), tq.LEXICON))  # each token is looked at once
 
 
 @query("f11_signals", tq._OBSERVED + "SELECT DISTINCT keyword FROM signals")
@@ -157,10 +157,10 @@ def o5(spark, sf_dir):
     return dense_places(tq.a20(spark, sf_dir).select("community", "district", "entities"), [shown, F.desc("entities"), F.col("community")], "place")
 
 
-@query("o7_log_order", lq._FOLD + ", listed AS (SELECT key, i, unnest(emitted) AS e, generate_subscripts(emitted, 1) AS k FROM steps) SELECT key, e.type AS \"type\", CAST(e.week AS VARCHAR) AS week, row_number() OVER (ORDER BY e.week, key, i, k) AS place FROM listed")
+@query("o7_log_order", lq._FOLD + ", listed AS (SELECT key, i, unnest(emitted) AS e, generate_subscripts(emitted, 1) AS k FROM steps) SELECT key, e.type AS \"type\", CAST(e.week AS VARCHAR) AS week, row_number() OVER (ORDER BY e.week, key COLLATE nocase.noaccent.en, key, i, k) AS place FROM listed")
 def o7(spark, sf_dir):
     log = lifecycle.lifecycle_events(lq.states(spark, sf_dir))
-    return lq.as_text(dense_places(log, [F.col("week"), F.col("key"), F.col("seq")], "place").select("key", "type", "week", "place"))
+    return lq.as_text(dense_places(log, lifecycle.log_order(), "place").select("key", "type", "week", "place"))
 
 
 @query("o8_by_rank", cq._RANKED + "SELECT id, global_rank, row_number() OVER (ORDER BY global_rank) AS place FROM placed")

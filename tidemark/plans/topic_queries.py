@@ -30,12 +30,16 @@ LEXICON = Lexicon(
 )
 
 
+#: ``text.WHITE`` in the notation of DuckDB's patterns.
+SQL_WHITE = r"\t\n\x{0b}\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
+
 def _list(words) -> str:
     return ", ".join(f"'{w}'" for w in sorted(words))
 
 
 def _normal(x: str) -> str:
-    text = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')), '[_/\\s]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
+    text = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({x}, '^[{SQL_WHITE}]+|[{SQL_WHITE}]+$', '', 'g')), '[_/{SQL_WHITE}]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
     return "CASE " + " ".join(f"WHEN {text} = '{a}' THEN '{k}'" for a, k in LEXICON.aliases.items()) + f" ELSE {text} END"
 
 
@@ -54,7 +58,7 @@ entities AS (
     SELECT id, string_split(lines[1], ' ') AS topics, lines[2] AS description, substr(array_to_string(lines[3:], chr(10)), 1, 12000) AS readme FROM parts),
 texts AS (SELECT id, 'description' AS source, coalesce(description, '') AS t FROM entities UNION ALL SELECT id, 'readme', coalesce(readme, '') FROM entities),
 searched AS (
-    SELECT id, source, regexp_replace(regexp_replace(lower(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://\\S+', ' ', 'g'), '[_/]+', '-', 'g') AS t FROM texts),
+    SELECT id, source, regexp_replace(regexp_replace(lower(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://[^{SQL_WHITE}]+', ' ', 'g'), '[_/]+', '-', 'g') AS t FROM texts),
 tokens AS (SELECT id, source, unnest(regexp_extract_all(t, '{keywords.TOKEN}')) AS raw, generate_subscripts(regexp_extract_all(t, '{keywords.TOKEN}'), 1) AS i FROM searched),
 words AS (SELECT id, source, i, {_normal("raw")} AS w FROM tokens),
 paired AS (SELECT *, coalesce(lead(w) OVER (PARTITION BY id, source ORDER BY i), '') AS next FROM words),
@@ -120,7 +124,7 @@ def f5(spark, sf_dir):
 @query("f8_tokens", _OBSERVED + "SELECT w AS token, count(*) AS n FROM words GROUP BY w")
 def f8(spark, sf_dir):
     texts = entities(spark, sf_dir).select(F.explode(F.array("description", F.substring("readme", 1, LEXICON.readme_limit))).alias("t"))
-    words = keywords.tokens(keywords.searchable(F.coalesce("t", F.lit(""))), LEXICON)
+    words = keywords.text_keywords(F.col("t"), LEXICON, ("words",))
     return texts.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -128,7 +132,7 @@ def f8(spark, sf_dir):
     "f7_phrases",
     "SELECT doc_id, keyword, n FROM ("
     + " UNION ALL ".join(
-        f"SELECT doc_id, '{_keyword(p)}' AS keyword, len(regexp_extract_all(regexp_replace(regexp_replace(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://\\S+', ' ', 'g'), '[_/]+', '-', 'g'), '\\b{p.replace(' ', '[ -]+')}\\b')) AS n FROM documents"
+        f"SELECT doc_id, '{_keyword(p)}' AS keyword, len(regexp_extract_all(regexp_replace(regexp_replace(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')), 'https?://[^{SQL_WHITE}]+', ' ', 'g'), '[_/]+', '-', 'g'), '\\b{p.replace(' ', '[ -]+')}\\b')) AS n FROM documents"
         for p in LEXICON.phrases
     )
     + ") WHERE n > 0",
