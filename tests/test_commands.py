@@ -3,6 +3,7 @@ import json
 from datetime import datetime, timedelta
 
 from tidemark.__main__ import main
+from tidemark.operators import validation
 from tidemark.plans import commands
 from tidemark.sources import tables
 from tidemark.streaming import daily as streaming
@@ -62,8 +63,8 @@ def test_from_archive_to_city(spark, tmp_path):
     got = {r.id: (r.community, r.district, r.global_rank, r.community_rank, r.flags) for r in city["entities"].collect()}
     assert got == {1: ("graph-rag", "knowledge-data", 1, 1, ["breakout", "cooling"]), 3: ("ai-agents", "agents", 2, 1, [])}
     assert city["buildings"].count() == 2
-    assert tables.city_violations(city["entities"], city["communities"], list(commands.Lexicon().shown)).count() == 0
-    assert tables.city_violations(city["entities"], city["communities"], ["agents"]).first().problem == "unknown district"
+    assert validation.city_violations(city["entities"], city["communities"], list(commands.Lexicon().shown)).count() == 0
+    assert validation.city_violations(city["entities"], city["communities"], ["agents"]).first().problem == "unknown district"
 
 
 def test_a_renamed_entity_is_followed_by_its_id(spark):

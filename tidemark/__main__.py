@@ -10,9 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lexicon import Lexicon
-from .operators import lifecycle
+from .operators import lifecycle, validation
 from .plans import commands
-from .sources import tables
+from .sources import store, tables
 
 VERSION = "1"
 # Fixed value: the bound of an option.
@@ -50,12 +50,36 @@ def parser() -> argparse.ArgumentParser:
 def write(found: dict, out: str) -> None:
     for name, df in found.items():
         tables.write_relation(df, f"{out}/{name}", VERSION)
+    spark = next(iter(found.values())).sparkSession
+    print(json.dumps(told(spark, out, [*found]), default=str))
+
+
+def with_coverage(spark: SparkSession, path: str, *names: str) -> dict:
+    """The tables, and the coverage if the result has one (those of older versions haven't)."""
+    return read(spark, path, *names, *(["coverage"] if store.exists(spark, f"{path}/coverage") else []))
 
 
 def read(spark: SparkSession, path: str, *names: str) -> dict:
     return {n: tables.read_relation(spark, f"{path}/{n}", VERSION) for n in names}
 
 
+def told(spark: SparkSession, out: str, names: list[str]) -> dict:
+    """What a command's summary says: rows of each table, progress by day, levels of coverage, decisions, states."""
+    found = read(spark, out, *names)
+    summary: dict = {"out": out, "rows": {n: df.count() for n, df in found.items()}}
+    if "progress" in found:
+        summary["days"] = [r.asDict() for r in found["progress"].orderBy("date").collect()]  # 7 at most
+    if "coverage" in found:
+        levels = {r.level or "all": {"errors": r.errors, "complete": r.complete} for r in found["coverage"].collect()}  # a row a level
+        summary["coverage"] = levels
+    if "run" in found:
+        summary["model"] = found["run"].first().asDict()
+    for name, column in (("assessed", "decision"), ("states", "status")):
+        if name in found:
+            summary[column] = {str(r[0]): r[1] for r in found[name].groupBy(column).count().collect()}
+    return summary
+
+
 def window(spark: SparkSession, series: str):
     """First and last day of a series: one row."""
     return read(spark, series, "days")["days"].agg(F.min("date").alias("first"), F.max("date").alias("last"))
@@ -74,21 +98,25 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "backfill":
         write(commands.backfill(spark, a.archive, a.start, a.days, a.least_daily, a.least_total), a.out)
     elif a.command == "enrich":
-        write(commands.enrich(read(spark, a.series, "activity", "daily", "days", "integrity", "errors"), spark.read.parquet(a.metadata)), a.out)
+        write(commands.enrich(with_coverage(spark, a.series, "activity", "daily", "days", "integrity", "errors"), spark.read.parquet(a.metadata)), a.out)
     elif a.command == "lifecycle":
         limits = lifecycle.rules(a.main_daily, a.scout_weekly, a.breakout_weekly)
-        write(commands.follow(spark, [read(spark, s, "activity", "daily", "days") for s in a.series], limits), a.out)
+        write(commands.follow(spark, [with_coverage(spark, s, "activity", "daily", "days") for s in a.series], limits), a.out)
     elif a.command == "analyze":
         if not 1 <= a.readme_limit <= MAX_README:
             raise ValueError(f"the README limit must be from 1 to {MAX_README}")
         found = commands.analyze(spark.read.parquet(a.entities), Lexicon(readme_limit=a.readme_limit))
-        write(found | ({"window": window(spark, a.series)} if a.series else {}), a.out)
+        write(found | ({"window": window(spark, a.series).withColumn("source", F.lit(commands.SERIES))} if a.series else {}), a.out)
     else:
         windows = window(spark, a.series), *(read(spark, path, "window")["window"] for path in (a.analysis, a.states))
         if problems := [r.problem for r in commands.incompatible(*windows).collect()]:  # two at most
             raise ValueError("; ".join(problems))
         states = read(spark, a.states, "states")["states"].select("id", F.col("full_name").alias("name"), "status", "fast_ever")
-        write(commands.build_city(spark.read.parquet(a.active), read(spark, a.analysis, "related", "homes"), states), a.out)
+        city = commands.build_city(spark.read.parquet(a.active), read(spark, a.analysis, "related", "homes"), states)
+        if problems := [f"{r.problem}: {r.n}" for r in validation.city_violations(city["entities"], city["communities"], list(Lexicon().shown)).collect()]:  # a row a rule
+            raise ValueError("; ".join(problems))
+        levels = [f["coverage"] for f in (with_coverage(spark, path) for path in (a.series, a.analysis, a.states)) if f]
+        write(city | ({"coverage": commands.with_total(*levels)} if levels else {}), a.out)
 
 
 if __name__ == "__main__":

@@ -2,59 +2,101 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keywords
 from ..functions.lexicon import Lexicon
 from ..functions.text import ordinal
 from ..operators import activity, city, decisions, events, layout, lifecycle, topics
+from ..operators.coverage import covered
 from ..operators.ranking import dense_places
 from ..scratch import saved
 from ..sources import archive
 
 
-def inspect(spark: SparkSession, path: str, window: tuple) -> DataFrame:
-    """Deduplicated records of the archive in a window of hours."""
-    return saved(events.deduplicated(events.validated(archive.read_archive(spark, path, window, mark_files=True))), "inspected")
+PROGRESS = ("files", "watch", "duplicate", "invalid", "parse-error")
+
+
+def inspect(spark: SparkSession, path: str, window: tuple) -> tuple[DataFrame, DataFrame]:
+    """Deduplicated records of the archive in a window of hours, and progress: date, files read and records of each status, observed while they are written."""
+    rows = events.deduplicated(events.validated(archive.read_archive(spark, path, window, mark_files=True)))
+    first, last = window
+    days = [str((first + timedelta(days=k)).date()) for k in range((last - timedelta(hours=1) - first).days + 1)]
+    days = sorted({*days, str((last - timedelta(hours=1)).date())})
+    status = lambda name: F.col("kind") == "file" if name == "files" else F.col("status") == name
+    seen = Observation()
+    written = saved(rows.observe(seen, *(F.count_if((F.to_date("hour") == F.lit(d).cast("date")) & status(n)).alias(f"{d} {n}") for d in days for n in PROGRESS)), "inspected")
+    found = [(d, *(seen.get[f"{d} {n}"] for n in PROGRESS)) for d in days]
+    return written, spark.createDataFrame(found, "date string, " + ", ".join(f"`{n}` long" for n in PROGRESS)).withColumnRenamed("parse-error", "parse_error")
 
 
 def discover(spark: SparkSession, path: str, start: str, hours: int = 24, top: int = 10, metadata: DataFrame | None = None) -> dict[str, DataFrame]:
     """The most watched entities of up to a day: candidates, counters, errors."""
-    inspected = inspect(spark, path, archive.hour_window(start, hours))
+    window = archive.hour_window(start, hours)
+    inspected, progress = inspect(spark, path, window)
     candidates = activity.top_candidates(activity.entity_totals(inspected.filter("status = 'watch'")), top)
     errors = events.coverage_errors(inspected)
+    coverage = covered("archive", errors.unionByName(missing_hours(spark, inspected, window)))
     if metadata is not None:
         candidates, missing = activity.enriched(candidates, metadata)
         errors = errors.unionByName(missing)
-    return {"candidates": candidates, "integrity": events.integrity(inspected), "errors": errors}
+        coverage = coverage.merged(covered("metadata", missing))
+    return {"candidates": candidates, "integrity": events.integrity(inspected), "errors": errors, "progress": progress, "coverage": coverage.summary()}
+
+
+def missing_hours(spark: SparkSession, inspected: DataFrame, window: tuple) -> DataFrame:
+    """source, target, message: hours of the window without a file."""
+    first, last = window
+    hours = [((first + timedelta(hours=k)).isoformat() + ".000Z",) for k in range(int((last - first) / timedelta(hours=1)))]
+    read = inspected.filter("kind = 'file'").select(F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("target")).distinct()
+    return spark.createDataFrame(hours, "target string").join(read, "target", "left_anti").select(F.lit("archive").alias("source"), "target", F.lit("the hour has no file").alias("message"))
 
 
 def backfill(spark: SparkSession, path: str, start: str, days: int = 7, least_daily: int | None = 5, least_total: int | None = None) -> dict[str, DataFrame]:
     """Dense daily series of up to a week: activity, daily, days, errors. Selected: by a day's events, or by the window's."""
     window = archive.day_window(start, days)
-    inspected = inspect(spark, path, window)
+    inspected, progress = inspect(spark, path, window)
     watches = inspected.filter("status = 'watch'")
     counts = activity.daily_counts(watches)
     calendar = activity.calendar(spark, start[:10], days)
     hours = inspected.groupBy(F.to_date("hour").alias("date"), "hour").agg(F.count_if(F.col("status") == "watch").alias("n"), F.count_if(F.col("status").isin("parse-error", "invalid")).alias("errors"))
-    covered = calendar.join(activity.day_coverage(hours), "date", "left").na.fill({"hours_collected": 0, "events": 0, "complete": False})
-    complete = F.broadcast(covered.agg(F.bool_and("complete").alias("complete")))  # one row
+    known = calendar.join(activity.day_coverage(hours), "date", "left").na.fill({"hours_collected": 0, "events": 0, "complete": False})
+    complete = F.broadcast(known.agg(F.bool_and("complete").alias("complete")))  # one row
     totals = activity.entity_totals(watches)
     rule = activity.window_total(counts, least_total) if least_total else activity.any_day(counts, least_daily or 5)
     chosen = rule.select("key", F.lit(True).alias("selected"))
     rows = totals.join(chosen, "key", "left").join(complete).na.fill({"selected": False})
     series = rows.withColumn("velocity", activity.velocity(F.col("n"), F.lit(days), F.col("complete"))).drop("complete")
-    return {"activity": series, "daily": activity.dense_daily(counts, calendar), "days": covered, "integrity": events.integrity(inspected.withColumn("date", F.to_date("hour")), ["date"]), "errors": events.coverage_errors(inspected)}
+    errors = events.coverage_errors(inspected)
+    return {
+        "activity": series,
+        "daily": activity.dense_daily(counts, calendar),
+        "days": known,
+        "integrity": events.integrity(inspected.withColumn("date", F.to_date("hour")), ["date"]),
+        "errors": errors,
+        "progress": progress,
+        "coverage": covered("archive", errors.unionByName(missing_hours(spark, inspected, window))).summary(),
+    }
 
 
 def enrich(series: dict[str, DataFrame], metadata: DataFrame) -> dict[str, DataFrame]:
     """A series with the metadata of its selected entities: all of its tables, so that it can be used like the raw one."""
     rows, missing = activity.enriched(series["activity"].drop("metadata_selected", "current"), metadata)
     errors = activity.without_old_errors(series["errors"]).unionByName(missing)
-    return series | {"activity": rows, "errors": errors, "metadata": activity.metadata_counts(rows)}
+    levels = {"metadata": covered("metadata", missing).summary().filter("level is not null")}
+    if "coverage" in series:
+        levels["archive"] = series["coverage"].filter("level = 'archive'")
+    return series | {"activity": rows, "errors": errors, "metadata": activity.metadata_counts(rows), "coverage": with_total(*levels.values())}
+
+
+def with_total(*levels: DataFrame) -> DataFrame:
+    """Coverage rows (level, errors, complete) of several results, each level once, and their total (level null)."""
+    rows = reduce(lambda a, b: a.unionByName(b), levels).filter("level is not null").groupBy("level").agg(F.max("errors").alias("errors"))
+    return rows.groupingSets([["level"], []], "level").agg(F.sum("errors").alias("errors")).withColumn("complete", F.col("errors") == 0)
 
 
 def observations(series: DataFrame, number: int) -> DataFrame:
@@ -75,7 +117,7 @@ def observations(series: DataFrame, number: int) -> DataFrame:
 
 
 def follow(spark: SparkSession, inputs: list[dict[str, DataFrame]], limits: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """The lifecycle over consecutive series (activity, daily, days), raw or enriched: states, weeks, events, summary, window.
+    """The lifecycle over consecutive series (activity, daily, days), raw or enriched: states, weeks, events, summary, window, and coverage if all have it.
 
     Entities are followed by their id, under whatever names; only names that no input knows an id for are
     followed by name. ``states`` has id, full_name, aliases and availability of each.
@@ -92,7 +134,9 @@ def follow(spark: SparkSession, inputs: list[dict[str, DataFrame]], limits: dict
     states = saved(lifecycle.folded(lifecycle.tracked_weeks(observed, coverage, limits)), "states")
     who = lifecycle.merged_identities(named).select(F.col("identity").alias("key"), "id", "full_name", "aliases", "availability", "first_at", "last_at")
     window = days.agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    return {"states": lifecycle.final_states(states).join(who, "key"), "window": window, "weeks": lifecycle.lifecycle_weeks(states), "events": lifecycle.lifecycle_events(states), "summary": lifecycle.week_summary(observed, coverage, limits)}
+    coverages = [s["coverage"] for s in inputs if "coverage" in s]
+    extra = {"coverage": with_total(*coverages)} if len(coverages) == len(inputs) else {}
+    return extra | {"states": lifecycle.final_states(states).join(who, "key"), "window": window, "weeks": lifecycle.lifecycle_weeks(states), "events": lifecycle.lifecycle_events(states), "summary": lifecycle.week_summary(observed, coverage, limits)}
 
 
 def analyze(entities: DataFrame, lexicon: Lexicon = Lexicon(), model: decisions.Model | None = None, cache: DataFrame | str | None = None) -> dict[str, DataFrame]:
@@ -109,7 +153,8 @@ def analyze(entities: DataFrame, lexicon: Lexicon = Lexicon(), model: decisions.
         assessed = saved(topics.relevance(entities, observed, lexicon), "assessed")
     else:
         run = decisions.model_run(entities, model, cache)
-        extra = {"cache": run.fresh, "run": run.statistics, "errors": decisions.model_errors(run.outcomes)}
+        errors = decisions.model_errors(run.outcomes)
+        extra = {"cache": run.fresh, "run": run.statistics, "errors": errors, "coverage": covered("model", errors).summary()}
         judged = entities.join(run.outcomes.select("id", "decision", "evidence"), "id", "left")
         wanted = F.when(F.coalesce(F.col("decision") != "not-ai", F.lit(False)), F.col("readme"))
         observed = saved(topics.observations(judged.select("id", "topics", "description", wanted.alias("readme")), lexicon), "observed")
@@ -125,13 +170,19 @@ def analyze(entities: DataFrame, lexicon: Lexicon = Lexicon(), model: decisions.
     }
 
 
+#: The source that a city's analysis must have.
+SERIES = "activity-series"
+
+
 def incompatible(activity_window: DataFrame, analysis_window: DataFrame, lifecycle_window: DataFrame) -> DataFrame:
-    """problem: what keeps the documents of a city from going together (windows: first, last; one row each). No rows: nothing."""
-    a, n, c = (w.select(F.col("first").alias(f"{k}_first"), F.col("last").alias(f"{k}_last")) for w, k in ((activity_window, "a"), (analysis_window, "n"), (lifecycle_window, "c")))
+    """problem: what keeps the documents of a city from going together (windows: first, last, of an analysis also source; one row each). No rows: nothing."""
+    source = lambda w: (F.col("source") if "source" in w.columns else F.lit(None)).cast("string")
+    a, n, c = (w.select(F.col("first").alias(f"{k}_first"), F.col("last").alias(f"{k}_last"), source(w).alias(f"{k}_source")) for w, k in ((activity_window, "a"), (analysis_window, "n"), (lifecycle_window, "c")))
     every = a.join(F.broadcast(n)).join(F.broadcast(c))  # one row each
     problems = F.array_compact(
         F.array(
             F.when(~F.col("a_first").eqNullSafe(F.col("n_first")) | ~F.col("a_last").eqNullSafe(F.col("n_last")), "the analysis has another window than the activity"),
+            F.when(F.coalesce(F.col("n_source") != SERIES, F.lit(False)), "the analysis isn't of an activity series"),
             F.when(~F.coalesce((F.col("c_first") <= F.col("a_first")) & (F.col("c_last") >= F.col("a_last")), F.lit(False)), "the lifecycle doesn't cover the activity"),
         )
     )

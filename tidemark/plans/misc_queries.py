@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import decisions
+from ..operators import coverage, decisions
 from ..sources.archive import readme_text
+from ..sources.tables import fingerprint_of
 from .registry import query, table
 
 _TOPICS = "'[' || array_to_string(list_transform(list_sort(list_distinct(list_filter(list_transform(string_split(p_name, ' '), lambda t: lower(trim(t))), lambda t: t <> ''))), lambda t: '\"' || t || '\"'), ',') || ']'"
@@ -83,6 +84,28 @@ def a26(spark, sf_dir):
     return table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("labelled"), good.alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), (good + bad == F.count(F.lit(1))).alias("adds_up"))
 
 
+def _rated(batch):
+    """A model that fails for some, leaves some out, and has an opinion on the others."""
+    if any(r["id"] % 400 == 7 for r in batch):
+        raise OSError("no connection")
+    kinds = ("ai-related", "review", "not-ai")
+    return [{"id": r["id"], "decision": kinds[r["id"] % 3], "evidence": f"part {r['id']}"} for r in batch if r["id"] % 13 != 0]
+
+
+@query(
+    "a26_model_run",
+    """WITH placed AS (SELECT p_partkey AS id, (row_number() OVER (ORDER BY p_partkey) - 1) // 20 AS batch FROM part),
+    judged AS (SELECT id, bool_or(id % 400 = 7) OVER (PARTITION BY batch) AS failed, id % 13 = 0 AS left_out FROM placed)
+    SELECT count(*) AS candidates, 0::BIGINT AS cache_hits, count(*) FILTER (NOT failed AND NOT left_out) AS provider_decisions, count(*) FILTER (NOT failed AND NOT left_out AND id % 3 = 0) AS ai_related,
+        count(*) FILTER (NOT failed AND NOT left_out AND id % 3 = 1) AS review, count(*) FILTER (NOT failed AND NOT left_out AND id % 3 = 2) AS not_ai, count(*) FILTER (failed) AS request_failed,
+        count(*) FILTER (NOT failed AND left_out) AS response_invalid, 0::BIGINT AS budget_exhausted, (SELECT max(batch) + 1 FROM placed)::BIGINT AS requests, true AS adds_up FROM judged""",
+)
+def a26_run(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("description"), F.split("p_name", " ").alias("topics"))
+    run = decisions.model_run(parts, decisions.Model(_rated, "acme", "m1", retries=0))
+    return run.statistics.withColumn("requests", F.col("requests").cast("long")).drop("budget")
+
+
 @query("f18_ordinal", "SELECT doc_id, CASE WHEN quality = 1 THEN CAST(1 AS DOUBLE) WHEN toxic = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS score FROM labels")
 def f18(spark, sf_dir):
     decision = F.when(F.col("quality") == 1, "ai-related").when(F.col("toxic") == 1, "not-ai").otherwise("review")
@@ -147,14 +170,17 @@ def f27(spark, sf_dir):
 @query("s8_optional_parts", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'missing' WHEN c_custkey % 4 = 1 THEN 'failed' ELSE 'found' END AS outcome FROM customer")
 def s8(spark, sf_dir):
     answers = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, 404).when(F.col("c_custkey") % 4 == 1, 500).otherwise(200).alias("status"))
-    outcome = F.when(F.col("status") == 404, "missing").when(F.col("status") >= 400, "failed").otherwise("found")
-    return answers.select("c_custkey", outcome.alias("outcome"))
+    found, _ = coverage.optional_part(answers.withColumn("readme", F.lit("text")), "c_custkey", "readme", "status", "readme")
+    return found.select("c_custkey", "outcome")
 
 
-@query("a32_coverage_algebra", "SELECT o_orderstatus AS input, count(*) FILTER (o_orderkey % 97 = 5) AS errors, count(*) FILTER (o_orderkey % 97 = 5) = 0 AS complete FROM orders GROUP BY 1")
+@query("a32_coverage_algebra", "SELECT o_orderstatus AS input, count(*) FILTER (o_orderkey % 97 = 5) AS errors, count(*) FILTER (o_orderkey % 97 = 5) = 0 AS complete FROM orders GROUP BY GROUPING SETS ((1), ())")
 def a32(spark, sf_dir):
-    bad = F.count_if(F.col("o_orderkey") % 97 == 5)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("input")).agg(bad.alias("errors"), (bad == 0).alias("complete"))
+    """Orders of a status are a level; its errors are merged with those of the other levels."""
+    orders = table(spark, sf_dir, "orders")
+    errors = orders.filter("o_orderkey % 97 = 5").select("o_orderstatus", F.lit("archive").alias("source"), F.col("o_orderkey").cast("string").alias("target"), F.lit("bad").alias("message"))
+    levels = [coverage.covered(level, errors.filter(F.col("o_orderstatus") == level)) for level in "FOP"]
+    return levels[0].merged(*levels[1:], levels[0]).summary().withColumnRenamed("level", "input")
 
 
 @query("f29_keyword_lists", "SELECT p_brand AS brand, array_to_string(list_sort(list(DISTINCT p_name)), ',') AS names FROM part GROUP BY 1")
@@ -164,4 +190,4 @@ def f29(spark, sf_dir):
 
 @query("k2_identity_suffix", "SELECT p_partkey, substr(sha256(p_name || '/' || p_brand), 1, 12) AS suffix FROM part")
 def k2(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.substring(F.sha2(F.concat_ws("/", "p_name", "p_brand"), 256), 1, 12).alias("suffix"))
+    return table(spark, sf_dir, "part").select("p_partkey", fingerprint_of(F.col("p_name"), F.col("p_brand")).alias("suffix"))

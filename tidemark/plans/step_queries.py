@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keywords
-from ..operators import activity, city, decisions, events as ops, lifecycle
+from ..operators import activity, city, decisions, events as ops, lifecycle, validation
 from ..operators.ranking import dense_places
-from ..sources import archive, tables
+from ..sources import archive
 from . import city_queries as cq
 from . import commands
 from . import event_queries as eq
@@ -205,4 +205,4 @@ def s13(spark, sf_dir):
     ranked = city.community_ranks(cq.ranked(spark, sf_dir))
     districts = [f"Brand#{k}" for k in range(0, 60) if k != 7]
     communities = table(spark, sf_dir, "part").select(F.col("p_type").alias("community")).distinct().filter("community <> 'ECONOMY'")
-    return tables.city_violations(ranked, communities, districts)
+    return validation.city_violations(ranked, communities, districts)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -11,8 +13,19 @@ from . import store
 VERSION = "version"
 
 
-def run_path(root: str, start: str, end: str, suffix: str = "") -> str:
-    """A run's folder, named after its window; colons, which some stores refuse, become hyphens."""
+def fingerprint(*identity: str | None, length: int = 12) -> str:
+    """A suffix that tells runs of different models or settings apart: the beginning of a digest of the parts."""
+    return hashlib.sha256("/".join(p or "" for p in identity).encode()).hexdigest()[:length]
+
+
+def fingerprint_of(*identity: Column, length: int = 12) -> Column:
+    """``fingerprint`` of columns."""
+    return F.substring(F.sha2(F.concat_ws("/", *(F.coalesce(c, F.lit("")) for c in identity)), 256), 1, length)
+
+
+def run_path(root: str, start: str, end: str, suffix: str = "", identity: tuple[str | None, ...] = ()) -> str:
+    """A run's folder, named after its window and, if there is one, the fingerprint of its identity; colons, which some stores refuse, become hyphens."""
+    suffix += f"_{fingerprint(*identity)}" if identity else ""
     return f"{root.rstrip('/')}/{start}_{end}{suffix}".replace(":", "-") if "://" not in root else f"{root.rstrip('/')}/{f'{start}_{end}{suffix}'.replace(':', '-')}"
 
 
@@ -44,22 +57,3 @@ def read_documents(spark: SparkSession, path: str, schema: StructType | str, ver
 def write_documents(df: DataFrame, path: str) -> None:
     """One JSON object a row, dates and times as ISO text."""
     df.write.mode("error").option("ignoreNullFields", "false").json(path)
-
-
-def city_violations(entities: DataFrame, communities: DataFrame, districts: list[str]) -> DataFrame:
-    """problem, n: rules of a valid city that don't hold. No rows: valid."""
-    n = F.count(F.lit(1))
-    known = communities.select(F.col("community").alias("community_"))
-    rules = [
-        ("duplicate id", entities.groupBy("id").agg(n.alias("k")).filter("k > 1")),
-        ("unknown district", entities.filter(~F.coalesce(F.col("district").isin(*districts), F.lit(False)))),
-        ("unknown community", entities.join(known, F.col("community") == F.col("community_"), "left_anti")),
-        ("rank below one", entities.filter((F.col("global_rank") < 1) | (F.col("community_rank") < 1))),
-        ("negative count", entities.filter((F.col("watches") < 0) | (F.col("stars") < 0))),
-        ("rank given twice", entities.groupBy("global_rank").agg(n.alias("k")).filter("k > 1")),
-    ]
-    found = [rows.agg(n.alias("n")).select(F.lit(problem).alias("problem"), "n") for problem, rows in rules]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.filter("n > 0")
