@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import city_queries, event_queries, lifecycle_queries, misc_queries, step_queries, topic_queries  # noqa: F401
+from .plans import archive_queries, city_queries, event_queries, lifecycle_queries, misc_queries, step_queries, topic_queries  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import json_of
+from . import store
 from .hourly import opened
 
 #: Rows of a document's longest list.
@@ -81,6 +82,8 @@ SCHEMAS = {
 
 def parsed(spark: SparkSession, path: str) -> DataFrame:
     """path, schema_version and doc (VARIANT) of the JSON files in ``path``, one a row; what isn't JSON, or of no known version, fails the read."""
+    if empty := [f for f in store.sizes(spark, path) if not f[1]]:  # Spark's readers leave empty files out
+        raise ValueError(f"{empty[0][0]}: not JSON")
     files = spark.read.format("binaryFile").load(path).select("path", F.try_parse_json(F.decode("content", "UTF-8")).alias("doc"))
     refused = lambda what: F.raise_error(F.concat(F.col("path"), F.lit(what)))
     version = F.try_variant_get("doc", "$.schema_version", "string")

@@ -26,6 +26,7 @@ from datetime import date, datetime, timedelta, timezone
 from typing import Any
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
@@ -230,6 +231,41 @@ class HourlyArchive(DataSource):
         return HourStreamReader(self.options)
 
 
+def write_hours(rows: DataFrame, folder: str) -> None:
+    """Write ``rows`` (hour, place, text) as an archive: a gzip file for each hour, its texts as lines in order of place; files appear whole.
+
+    One task writes an hour, record by record. ``folder`` is a path for pyarrow's file systems.
+    """
+
+    def put(frames):
+        import uuid
+
+        import pandas as pd
+
+        store, root = opened(folder)
+        store.create_dir(root, recursive=True)
+        hour = fresh = out = None
+
+        def closed():
+            out.close()
+            store.move(fresh, f"{root}/{hour:%Y-%m-%d}-{hour.hour}.json.gz")
+
+        for frame in frames:
+            for at, text in zip(frame["hour"], frame["text"], strict=True):
+                if at != hour:
+                    if out:
+                        closed()
+                    hour, fresh = at, f"{root}/.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(fresh, compression="gzip")
+                out.write(f"{text}\n".encode())
+        if out:
+            closed()
+        yield pd.DataFrame({"done": [True]})
+
+    dealt = rows.select("hour", "place", "text").repartition("hour").sortWithinPartitions("hour", "place").select("hour", "text")
+    dealt.mapInPandas(put, "done boolean").write.format("noop").mode("overwrite").save()
+
+
 def registered(spark):
     """``spark`` with the source and with filters pushed down to Python sources."""
     spark.dataSource.register(HourlyArchive)

@@ -38,6 +38,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The files of a folder (or the file itself) and their bytes, without hidden ones."""
+    at, files = _files(spark, path)
+    found = [s for s in files.listStatus(at) if s.isFile()]
+    return [(s.getPath().toString(), s.getLen()) for s in found if s.getPath().getName()[0] not in "._"]
+
+
 def current(spark: SparkSession, path: str) -> Current | None:
     """The relation's last version, None if it has none."""
     at, files = _files(spark, f"{path.rstrip('/')}/_current")
