@@ -158,3 +158,50 @@ def test_stream(spark, tmp_path):
     query.stop()
     got = {(r.key, r.date.day): r.n for r in spark.table("days").collect()}
     assert got == {("graph/rag", 27): 29, ("graph/rag", 28): 29, ("small/tool", 27): 1, ("small/tool", 28): 1, ("agents/mcp", 27): 8, ("agents/mcp", 28): 8}
+
+
+def test_coverage_and_summaries_from_archive_to_city(spark, tmp_path, capsys):
+    """Each kind of fault makes exactly its level incomplete; every command tells it in its summary."""
+    from tidemark.operators import decisions
+
+    src, out, start = tmp_path / "in", tmp_path / "out", "2026-07-27T00:00:00Z"
+    src.mkdir()
+    archive(src)
+
+    def told(*args):
+        capsys.readouterr()
+        main([*args])
+        return json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    complete = lambda summary: {level: c["complete"] for level, c in summary["coverage"].items()}
+    whole = told("backfill", str(src), "--from", start, "--out", str(out / "whole"))
+    assert complete(whole) == {"archive": True, "all": True} and [d["files"] for d in whole["days"]] == [24] * 7
+    counters = {str(r.date): r.unique_watch_events for r in tables.read_relation(spark, str(out / "whole/integrity"), "1").filter("date is not null").collect()}
+    assert {d["date"]: d["watch"] for d in whole["days"]} == counters
+    (src / "2026-07-28-5.json.gz").unlink()
+    (src / "2026-07-29-0.json.gz").write_bytes(gzip.compress(b"{oops"))
+    part = told("backfill", str(src), "--from", start, "--out", str(out / "part"))
+    assert part["coverage"] == {"archive": {"errors": 2, "complete": False}, "all": {"errors": 2, "complete": False}}
+    assert [(d["date"], d["files"], d["parse_error"]) for d in part["days"]][1:3] == [("2026-07-28", 23, 0), ("2026-07-29", 24, 1)]
+    metadata = spark.createDataFrame([(5, "graph/rag")], "id long, full_name string")
+    metadata.write.parquet(str(tmp_path / "metadata"))
+    rich = told("enrich", str(out / "whole"), "--metadata", str(tmp_path / "metadata"), "--out", str(out / "rich"))
+    assert complete(rich) == {"archive": True, "metadata": False, "all": False} and rich["coverage"]["metadata"]["errors"] == 1
+    found = told("discover", str(src), "--from", start, "--top", "2", "--metadata", str(tmp_path / "metadata"), "--out", str(out / "found"))
+    assert complete(found) == {"archive": True, "metadata": False, "all": False} and found["rows"]["candidates"] == 2
+    life = told("lifecycle", str(out / "rich"), "--out", str(out / "life"))
+    assert complete(life) == {"archive": True, "metadata": False, "all": False} and sum(life["status"].values()) == 3
+    entities = spark.createDataFrame([(5, ["graph-rag"], None, None)], "id long, topics array<string>, description string, readme string")
+    entities.write.parquet(str(tmp_path / "entities"))
+    analysis = told("analyze", str(tmp_path / "entities"), "--series", str(out / "rich"), "--out", str(out / "analysis"))
+    assert analysis["decision"] == {"ai-related": 1}
+    active = spark.createDataFrame([(5, "graph/rag", 202, 900, 9, 5)], "id long, full_name string, watches long, stars long, forks long, commits long")
+    active.write.parquet(str(tmp_path / "active"))
+    city = ("build-city", str(tmp_path / "active"), "--series", str(out / "rich"), "--states", str(out / "life"))
+    built = told(*city, "--analysis", str(out / "analysis"), "--out", str(out / "city"))
+    assert complete(built) == {"archive": True, "metadata": False, "all": False} and built["rows"]["entities"] == 1
+    run = commands.analyze(entities, model=decisions.Model(lambda batch: [], "p", "m", retries=0))
+    assert {r.level or "all": r.complete for r in run["coverage"].collect()} == {"model": False, "all": False} and run["run"].first().adds_up
+    lone = tables.read_relation(spark, str(out / "analysis/window"), "1").withColumn("source", commands.F.lit("candidates"))
+    series = tables.read_relation(spark, str(out / "life/window"), "1")
+    assert [r.problem for r in commands.incompatible(series, lone, series).collect()] == ["the analysis isn't of an activity series"]
