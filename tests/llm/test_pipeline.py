@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.test_rules import slow_verdicts
 from tests.llm.test_simhash import slow_components, slow_fingerprint
-from tidemark.llm import secrets
+from tidemark.llm import mixing, secrets
 
 
 def test_stages_against_brute_force(spark):
@@ -20,6 +20,10 @@ def test_stages_against_brute_force(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert rows.keys() == want.keys()
+    sources = {i: source for i, _, _, source in given}
+    mixed = mixing.mix(spark.createDataFrame([(i, t, sources[i]) for i, t in want.items()], "doc_id long, text string, source string"))
+    order = [r.doc_id for r in mixed.orderBy(*mixing.order()).collect()]
+    assert [r.doc_id for r in sorted(rows.values(), key=lambda r: r.position)] == order and sorted(r.position for r in rows.values()) == list(range(len(order)))
     for i, text in want.items():
         ids = np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
         assert (rows[i].n_tokens, bytes(rows[i].ids)) == (len(ids), ids.tobytes())

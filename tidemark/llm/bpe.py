@@ -393,7 +393,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", lea
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the long columns ``keep``, ids and the text that ``ids`` stand for."""
+    """doc_id, the long columns ``keep``, ids and the text that ``ids`` stand for.
+
+    ``encoded`` is what ``encode_documents`` gives: no ids are the empty text, repeated rows are decoded
+    alike, an empty table gives no rows; null ids, and ids that the vocabulary hasn't, are an error.
+    """
     named = ["doc_id", *keep]
     schema = pa.schema([*((c, pa.int64()) for c in named), ("ids", pa.binary()), ("decoded", pa.string())])
 

@@ -218,7 +218,10 @@ MATCHES = "array<struct<license:string,start:int,end:int,matched:int,words:int>>
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id and ``matches``, one row for each row of ``docs``; null and empty texts have none."""
+    """doc_id and ``matches``, one row for each row of ``docs``; null and empty texts have none, and no documents give no rows.
+
+    Ids are whole numbers here as in all operators (a text that isn't one is an error of Spark's cast); null ids stay null.
+    """
     given = tuple(templates.items())
     item = pa.struct([("license", pa.string()), *((c, pa.int32()) for c in ("start", "end", "matched", "words"))])
     schema = pa.schema([("doc_id", pa.int64()), ("matches", pa.list_(item))])

@@ -129,7 +129,8 @@ def masked(text: str, mask: str) -> str:
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret masked in ``text``; ``n_chars`` follows where it is a column.
 
-    Texts without secrets, null texts and all other columns stay as they are.
+    Texts without secrets, null texts and all other columns stay as they are; repeated rows are masked alike,
+    and an empty table stays empty.
     """
 
     def redact(batches):
