@@ -10,32 +10,31 @@ from tidemark.llm.shared import documents
 from tidemark.scratch import deleted, new_path, scope
 
 
-# Null texts count as empty; repeated rows are judged alike; ties are settled as the operators say; empty
-# tables pass through every stage. Documents without an id stay: near_dedup can't name them.
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules reject go, empty ones among them."""
+    """Documents that the adaptive quality rules reject go; null and empty texts among them, ties at a threshold stay, repeated rows are judged alike. No documents stay none."""
     return rules.keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that with the smallest id; of repeated rows one. Rows without an id can't be named, and stay. No documents stay none."""
     return simhash.drop_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked."""
+    """Secrets in the texts are masked; null texts stay null, repeated rows are masked alike. No documents stay none."""
     return secrets.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in an order that gives every source its share."""
+    """The documents in an order that gives every source its share; null sources are one of their own, null texts have size 0, repeated rows follow one another. No documents stay none."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place in the mix, token ids (unsigned 32-bit, little-endian), their number, and a digest of what they decode to."""
+    """Place in the mix, token ids (unsigned 32-bit, little-endian), their number, and a digest of what they decode to.
+
+    A null text has no ids; repeated rows have a place each. No documents give no rows.
+    """
     placed = mixing.positions(docs)
     decoded = bpe.decode_documents(bpe.encode_documents(placed, keep=("position",)), keep=("position",))
     return decoded.select(

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
-#: Folders made inside ``scope``, innermost last.
-_made: list[list[str]] = []
+#: Folders made inside the innermost ``scope`` of this thread, None outside of any.
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _made:
-        _made[-1].append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -44,11 +45,13 @@ def deleted(spark: SparkSession, folder: str) -> None:
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables and files that are made inside are deleted at its end: for jobs that write their result elsewhere."""
-    _made.append([])
+    made: list[str] = []
+    before = _made.set(made)
     try:
         yield
     finally:
-        for folder in _made.pop():
+        _made.reset(before)
+        for folder in made:
             deleted(spark, folder)
 
 
