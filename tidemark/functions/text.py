@@ -10,8 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from . import canonical
-
 # What is redacted, and with what.
 REDACTED = "[REDACTED]"
 AUTHORIZATION = r"(?i)(authorization\s*[:=]\s*bearer\s+)[^\s,;]+"
@@ -45,11 +43,6 @@ def compatible(value: Column) -> Column:
     return F.trim(F.regexp_replace(normal, f"[{WHITE}]+", " "))
 
 
-def digest(*parts: Column) -> Column:
-    """sha256:<hex> of the parts as a JSON array of strings, null as null."""
-    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(canonical.text(p.cast("string")), F.lit("null")) for p in parts)), F.lit("]")), 256))
-
-
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, r"[\\/]"), -1)
 

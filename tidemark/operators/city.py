@@ -91,10 +91,10 @@ def communities(placed: DataFrame, related: DataFrame, lexicon: Lexicon) -> Data
     return grouped.join(counts, "community", "left").select("community", label(F.col("community"), lexicon).alias("label"), "district", status.alias("status"), "entities")
 
 
-def shown_order(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Communities in the order in which they are shown."""
+def shown_order(lexicon: Lexicon) -> list[Column]:
+    """The order in which communities (district, entities, community) are shown."""
     place = F.array_position(F.array(*(F.lit(d) for d in lexicon.shown)), F.col("district"))
-    return rows.orderBy(place, F.desc("entities"), "community")
+    return [place, F.desc("entities"), F.col("community")]
 
 
 def detection_signals(daily: DataFrame) -> DataFrame:

@@ -153,8 +153,7 @@ def o4(spark, sf_dir):
     f"SELECT community, district, entities, row_number() OVER (ORDER BY list_position([{', '.join(repr(d) for d in tq.LEXICON.shown)}], district), entities DESC, community) AS place FROM grouped",
 )
 def o5(spark, sf_dir):
-    shown = F.array_position(F.array(*(F.lit(d) for d in tq.LEXICON.shown)), F.col("district"))
-    return dense_places(tq.a20(spark, sf_dir).select("community", "district", "entities"), [shown, F.desc("entities"), F.col("community")], "place")
+    return dense_places(tq.a20(spark, sf_dir).select("community", "district", "entities"), city.shown_order(tq.LEXICON), "place")
 
 
 @query("o7_log_order", lq._FOLD + ", listed AS (SELECT key, i, unnest(emitted) AS e, generate_subscripts(emitted, 1) AS k FROM steps) SELECT key, e.type AS \"type\", CAST(e.week AS VARCHAR) AS week, row_number() OVER (ORDER BY e.week, key COLLATE nocase.noaccent.en, key, i, k) AS place FROM listed")
