@@ -30,6 +30,11 @@ def entity_totals(events: DataFrame) -> DataFrame:
     )
 
 
+def entity_counts(totals: DataFrame) -> DataFrame:
+    """entities and events over all ``entity_totals``: one row."""
+    return totals.agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("events"))
+
+
 def daily_counts(events: DataFrame) -> DataFrame:
     """key, date, n; the day is that of the event's file."""
     return events.groupBy(F.lower("name").alias("key"), F.to_date("hour").alias("date")).agg(F.count(F.lit(1)).alias("n"))

@@ -38,14 +38,15 @@ def discover(spark: SparkSession, path: str, start: str, hours: int = 24, top: i
     """The most watched entities of up to a day: candidates, counters, errors."""
     window = archive.hour_window(start, hours)
     inspected, progress = inspect(spark, path, window)
-    candidates = activity.top_candidates(activity.entity_totals(inspected.filter("status = 'watch'")), top)
-    errors = events.coverage_errors(inspected)
-    coverage = covered("archive", errors.unionByName(missing_hours(spark, inspected, window)))
+    totals = activity.entity_totals(inspected.filter("status = 'watch'"))
+    candidates, seen = activity.top_candidates(totals, top), activity.entity_counts(totals)
+    errors = events.coverage_errors(inspected).unionByName(missing_hours(spark, inspected, window))
+    coverage = covered("archive", errors)
     if metadata is not None:
         candidates, missing = activity.enriched(candidates, metadata)
         errors = errors.unionByName(missing)
         coverage = coverage.merged(covered("metadata", missing))
-    return {"candidates": candidates, "integrity": events.integrity(inspected), "errors": errors, "progress": progress, "coverage": coverage.summary()}
+    return {"candidates": candidates, "seen": seen, "integrity": events.integrity(inspected), "errors": errors, "progress": progress, "coverage": coverage.summary()}
 
 
 def missing_hours(spark: SparkSession, inspected: DataFrame, window: tuple) -> DataFrame:
@@ -67,11 +68,10 @@ def backfill(spark: SparkSession, path: str, start: str, days: int = 7, least_da
     known = calendar.join(activity.day_coverage(hours), "date", "left").na.fill({"hours_collected": 0, "events": 0, "complete": False})
     complete = F.broadcast(known.agg(F.bool_and("complete").alias("complete")))  # one row
     totals = activity.entity_totals(watches)
-    rule = activity.window_total(counts, least_total) if least_total else activity.any_day(counts, least_daily or 5)
-    chosen = rule.select("key", F.lit(True).alias("selected"))
-    rows = totals.join(chosen, "key", "left").join(complete).na.fill({"selected": False})
+    marked, selection = selected(totals, counts, least_daily, least_total)
+    rows = marked.join(complete)
     series = rows.withColumn("velocity", activity.velocity(F.col("n"), F.lit(days), F.col("complete"))).drop("complete")
-    errors = events.coverage_errors(inspected)
+    errors = events.coverage_errors(inspected).unionByName(missing_hours(spark, inspected, window))
     return {
         "activity": series,
         "daily": activity.dense_daily(counts, calendar),
@@ -79,12 +79,27 @@ def backfill(spark: SparkSession, path: str, start: str, days: int = 7, least_da
         "integrity": events.integrity(inspected.withColumn("date", F.to_date("hour")), ["date"]),
         "errors": errors,
         "progress": progress,
-        "coverage": covered("archive", errors.unionByName(missing_hours(spark, inspected, window))).summary(),
+        "coverage": covered("archive", errors).summary(),
+        "selection": selection,
     }
 
 
-def enrich(series: dict[str, DataFrame], metadata: DataFrame) -> dict[str, DataFrame]:
-    """A series with the metadata of its selected entities: all of its tables, so that it can be used like the raw one."""
+def selected(rows: DataFrame, daily: DataFrame, least_daily: int | None = None, least_total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``selected``, by the window's events or else by a day's (5 unless given), and the rule (method, least): one row."""
+    method, least = ("window-total", least_total) if least_total else ("any-day", least_daily or 5)
+    rule = activity.window_total(daily, least) if least_total else activity.any_day(daily, least)
+    marked = rows.join(rule.select("key", F.lit(True).alias("selected")), "key", "left").na.fill({"selected": False})
+    return marked, rows.sparkSession.createDataFrame([(method, least)], "method string, least int")
+
+
+def enrich(series: dict[str, DataFrame], metadata: DataFrame, least_daily: int | None = None, least_total: int | None = None) -> dict[str, DataFrame]:
+    """A series with the metadata of its selected entities: all of its tables, so that it can be used like the raw one.
+
+    A rule given here selects anew; a series that says nothing of a selection (a raw document) is selected by the usual one.
+    """
+    if least_daily or least_total or "selected" not in series["activity"].columns:
+        marked, rule = selected(series["activity"].drop("selected"), series["daily"], least_daily, least_total)
+        series = series | {"activity": marked, "selection": rule}
     rows, missing = activity.enriched(series["activity"].drop("metadata_selected", "current"), metadata)
     errors = activity.without_old_errors(series["errors"]).unionByName(missing)
     levels = {"metadata": covered("metadata", missing).summary().filter("level is not null")}

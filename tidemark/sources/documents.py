@@ -143,7 +143,8 @@ def write(documents: DataFrame, folder: str, version: str, name: str = "name") -
 
 
 def listed(rows: DataFrame, columns: dict[str, Column], order: list[Column], name: str) -> DataFrame:
-    """One row with the array ``name`` of ``rows`` as structs of ``columns``, in ``order``; more than LIMIT rows are an error."""
+    """One row with the array ``name`` of ``rows`` as structs of ``columns`` (maps too), in ``order``, which must be total; more than LIMIT rows are an error."""
+    placed = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
     few = rows.select(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))).alias("o"), F.struct(*(c.alias(n) for n, c in columns.items())).alias("row")).limit(LIMIT + 1)
-    sized = few.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "row"))), lambda x: x["row"]).alias(name))  # LIMIT rows at most
+    sized = few.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "row")), placed), lambda x: x["row"]).alias(name))  # LIMIT rows at most
     return sized.select(F.when(F.size(name) <= LIMIT, F.col(name)).otherwise(F.raise_error(F.lit(f"more than {LIMIT} {name}"))).alias(name))
