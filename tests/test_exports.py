@@ -82,6 +82,7 @@ def test_series_and_lifecycle(spark, tmp_path):
         assert rows(spark, out / "life", table) == sorted(map(tuple, followed[table].collect()), key=str), table
     a = one(tmp_path / "life-docs")[1]
     assert [i["file_name"] for i in a["source"]["input_snapshots"]] == ["rich"] and a["source"]["coverage_complete"]
+    assert {a["source"]["integrity_verification"], a["weeks"][0]["integrity_verification"], a["repositories"][0]["weeks"][0]["integrity_verification"]} == {"verified"}
     assert a["generated_at"] == a["window"]["to"] == "2026-08-03T00:00:00.000Z" and a["methodology"]["scout_weekly_watch_events"] == 6
     assert a["weeks"][0]["from"] == "2026-07-27T00:00:00.000Z" and a["weeks"][0]["decision_coverage"] == "complete" and a["weeks"][0]["repositories_observed"] == 3
     states = {r["full_name"]: (r["repository_id"], r["radar_status"], r["availability_status"], r["breakout_status"], len(r["weeks"])) for r in a["repositories"]}
@@ -102,6 +103,8 @@ def test_a_raw_document_is_selected_when_enriched(spark, tmp_path):
     chosen = lambda **rule: {r.full_name: r.current and r.current.id for r in commands.enrich(series, metadata, **rule)["activity"].collect()}
     assert chosen() == {"A/b": 5, "c/d": None} and chosen(least_total=3) == {"A/b": 5, "c/d": 6} and chosen(least_daily=7) == {"A/b": None, "c/d": None}
     assert {(r.level, r.errors, r.complete) for r in series["coverage"].collect()} == {("archive", 1, False), (None, 1, False)}
+    life = exports.lifecycle_document(commands.follow(spark, [series]), [("raw.json", series)]).first()  # deduplication isn't told of
+    assert {life.source.integrity_verification, life.source.input_snapshots[0].integrity_verification, life.weeks[0].integrity_verification} == {"unavailable"}
 
 
 def test_an_empty_window(spark, tmp_path):

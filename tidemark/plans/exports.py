@@ -191,7 +191,7 @@ def series_of(document: DataFrame) -> dict[str, DataFrame]:
     return {
         "activity": rows,
         "daily": each.select("key", F.explode("daily").alias("d")).select("key", F.col("d.date").cast("date").alias("date"), F.col("d.watch_events_observed").alias("n")),
-        "days": days.select(F.col("date").cast("date").alias("date"), F.col("hours_collected").cast("long"), F.col("watch_events_observed").alias("events"), F.col("coverage_complete").alias("complete")),
+        "days": days.select(F.col("date").cast("date").alias("date"), F.col("hours_collected").cast("long"), F.col("watch_events_observed").alias("events"), F.col("coverage_complete").alias("complete"), F.when(F.col("event_integrity.deduplication_applied"), True).alias("verified")),
         "integrity": days.select(*counters(F.col("event_integrity"), F.col("date").cast("date"))).unionByName(doc.select(*counters(F.col("source.event_integrity"), F.lit(None).cast("date")))),
         "errors": errors,
         "coverage": levels.groupingSets([["level"], []], "level").agg(F.sum("errors").alias("errors")).withColumn("complete", F.col("errors") == 0),
@@ -205,12 +205,15 @@ def lifecycle_document(followed: dict[str, DataFrame], inputs: list[tuple[str, d
     """
     limits = limits or lifecycle.rules()
     spark, version = followed["states"].sparkSession, "repository-lifecycle-v1"
-    days = reduce(lambda a, b: a.unionByName(b), (s["days"].select("date", "hours_collected", F.col("complete").alias("records_complete")) for _, s in inputs))
-    # the tables that are followed were deduplicated when they were written
+    # tables were deduplicated when they were written; a document tells for each day (``verified``, else null)
+    verified = lambda s: F.col("verified") if "verified" in s["days"].columns else F.lit(True)
+    days = reduce(lambda a, b: a.unionByName(b), (s["days"].select("date", "hours_collected", F.col("complete").alias("records_complete"), verified(s).alias("verified")) for _, s in inputs))
+    state = lifecycle.integrity_state(F.col("verified"))
+    by_week = days.groupBy(F.to_date(F.date_trunc("week", "date")).alias("w_")).agg(state.alias("integrity_verification"))
     weeks = lifecycle.week_coverage(days).select(
         F.col("week").alias("w_"), "calendar_complete", F.col("hours_complete").alias("hour_coverage_complete"), F.col("records_complete").alias("record_coverage_complete"),
-        F.col("coverage").alias("decision_coverage"), F.lit("verified").alias("integrity_verification"),
-    )
+        F.col("coverage").alias("decision_coverage"),
+    ).join(by_week, "w_")
     covered = ("calendar_complete", "hour_coverage_complete", "record_coverage_complete", "decision_coverage", "integrity_verification")
     span = {"from": iso_midnight(F.col("week")), "to": iso_midnight(F.date_add("week", 7))}
     listed_weeks = documents.listed(
@@ -248,19 +251,19 @@ def lifecycle_document(followed: dict[str, DataFrame], inputs: list[tuple[str, d
         "events",
     )
     parts = [
-        s["days"].agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).cast("int").alias("days"), F.bool_and("complete").alias("complete")).select(
-            F.struct(F.lit(n).alias("file_name"), midnight("first").alias("from"), iso_midnight(F.date_add("last", 1)).alias("to"), "days", F.col("complete").alias("archive_coverage_complete"), F.lit("verified").alias("integrity_verification")).alias(f"input{k}")
+        s["days"].agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).cast("int").alias("days"), F.bool_and("complete").alias("complete"), lifecycle.integrity_state(verified(s)).alias("state")).select(
+            F.struct(F.lit(n).alias("file_name"), midnight("first").alias("from"), iso_midnight(F.date_add("last", 1)).alias("to"), "days", F.col("complete").alias("archive_coverage_complete"), F.col("state").alias("integrity_verification")).alias(f"input{k}")
         )
         for k, (n, s) in enumerate(inputs)
     ]
     records = weeks.agg(F.bool_and("record_coverage_complete").alias("records"))
-    every = _together(listed, listed_weeks, log, followed["window"], records, *parts)
+    every = _together(listed, listed_weeks, log, followed["window"], records, days.agg(state.alias("all_verified")), *parts)
     first, end = midnight("first"), iso_midnight(F.date_add("last", 1))
     method = F.struct(
         F.lit(LIFECYCLE_METHOD), F.lit(limits["main"]), F.lit(limits["scout"]), F.lit(limits["breakout"]), F.lit(lifecycle.CONFIRMING_WEEKS), F.lit(lifecycle.INACTIVATING_WEEKS)
     ).cast(_type(spark, version, "methodology"))
     snapshots = F.array(*(F.col(f"input{k}") for k in range(len(inputs))))
-    source = F.struct(F.lit("activity-series-v1").alias("input_schema_version"), snapshots.alias("input_snapshots"), F.col("records").alias("coverage_complete"), F.lit("verified").alias("integrity_verification"))
+    source = F.struct(F.lit("activity-series-v1").alias("input_schema_version"), snapshots.alias("input_snapshots"), F.col("records").alias("coverage_complete"), F.col("all_verified").alias("integrity_verification"))
     name = F.replace(F.concat(first, F.lit("_"), end, F.lit(".json")), F.lit(":"), F.lit("-"))
     window = F.struct(first.alias("from"), end.alias("to"))
     return _document(every.select(name.alias("name"), end.alias("generated_at"), window.alias("window"), method.alias("methodology"), source.alias("source"), "weeks", "repositories", "events"), version)
