@@ -61,10 +61,10 @@ answers AS (
 @query(
     "x4_strict_responses",
     _ANSWERS
-    + """, spoiled AS (SELECT DISTINCT batch FROM answers WHERE id >= 1000000), times AS (SELECT id, count(*) AS n, min(decision) AS decision FROM answers GROUP BY id)
+    + """, spoiled AS (SELECT DISTINCT batch FROM answers ANTI JOIN asked USING (id, batch)), times AS (SELECT id, batch, count(*) AS n, min(decision) AS decision FROM answers GROUP BY id, batch)
     SELECT id, batch, CASE WHEN problem IS NULL THEN decision END AS decision, problem FROM (
         SELECT a.id, a.batch, t.decision, CASE WHEN s.batch IS NOT NULL THEN 'unknown-id' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' WHEN t.decision = 'perhaps' THEN 'invalid-decision' END AS problem
-        FROM asked a LEFT JOIN times t USING (id) LEFT JOIN spoiled s ON s.batch = a.batch)""",
+        FROM asked a LEFT JOIN times t USING (id, batch) LEFT JOIN spoiled s ON s.batch = a.batch)""",
 )
 def x4(spark, sf_dir):
     asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 20").alias("batch"))
