@@ -94,13 +94,14 @@ def _rated(batch):
 
 @query(
     "a26_model_run",
-    """WITH placed AS (SELECT p_partkey AS id, (row_number() OVER (ORDER BY p_partkey) - 1) // 20 AS batch FROM part),
-    judged AS (SELECT id, bool_or(id % 400 = 7) OVER (PARTITION BY batch) AS failed, id % 13 = 0 AS left_out FROM placed)
-    SELECT count(*) AS candidates, 0::BIGINT AS cache_hits, count(*) FILTER (NOT failed AND NOT left_out) AS provider_decisions, count(*) FILTER (NOT failed AND NOT left_out AND id % 3 = 0) AS ai_related,
-        count(*) FILTER (NOT failed AND NOT left_out AND id % 3 = 1) AS review, count(*) FILTER (NOT failed AND NOT left_out AND id % 3 = 2) AS not_ai, count(*) FILTER (failed) AS request_failed,
-        count(*) FILTER (NOT failed AND left_out) AS response_invalid, 0::BIGINT AS budget_exhausted, (SELECT max(batch) + 1 FROM placed)::BIGINT AS requests, true AS adds_up FROM judged""",
+    f"""WITH placed AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 20 AS batch FROM (SELECT DISTINCT p_partkey AS id FROM part)),
+    judged AS (SELECT id, batch < {decisions.MAX_BUDGET} AS asked, asked AND bool_or(id % 400 = 7) OVER (PARTITION BY batch) AS failed, asked AND NOT failed AND id % 13 = 0 AS left_out, asked AND NOT failed AND NOT left_out AS decided FROM placed)
+    SELECT count(*) AS candidates, 0::BIGINT AS cache_hits, count(*) FILTER (decided) AS provider_decisions, count(*) FILTER (decided AND id % 3 = 0) AS ai_related,
+        count(*) FILTER (decided AND id % 3 = 1) AS review, count(*) FILTER (decided AND id % 3 = 2) AS not_ai, count(*) FILTER (failed) AS request_failed,
+        count(*) FILTER (left_out) AS response_invalid, count(*) FILTER (NOT asked) AS budget_exhausted, (SELECT count(DISTINCT batch) FROM placed WHERE batch < {decisions.MAX_BUDGET})::BIGINT AS requests, true AS adds_up FROM judged""",
 )
 def a26_run(spark, sf_dir):
+    """Batches of 20 by id, each asked once, the first ``MAX_BUDGET`` of them; what is left over has exhausted the budget."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("description"), F.split("p_name", " ").alias("topics"))
     run = decisions.model_run(parts, decisions.Model(_rated, "acme", "m1", retries=0))
     return run.statistics.withColumn("requests", F.col("requests").cast("long")).drop("budget")
