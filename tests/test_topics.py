@@ -43,3 +43,37 @@ def test_hyphenated_phrase_counts_twice(spark):
 def test_accents_bound_no_words(spark):
     observed, _ = assess(spark, ([], "éai ai", None))
     assert [(r.keyword, r.occurrences) for r in observed.collect()] == [("ai", 2)]
+
+
+def test_normal_forms_are_those_of_the_patterns(spark):
+    """The normal form against its definition, pattern by pattern; also over more topics than a task remembers."""
+    import random
+    import re
+
+    from tidemark.functions import keywords
+    from tidemark.functions.text import WHITE
+
+    def defined(t):
+        t = re.sub(f"[_/{WHITE}]+", "-", re.sub(rf"^[{WHITE}]+|[{WHITE}]+\Z", "", t).lower())
+        t = re.sub("-+", "-", re.sub("[^a-z0-9-]", "", t))
+        return re.sub(r"^-|-\Z", "", t)
+
+    draw = random.Random(7)
+    texts = ["", "-", " - ", "\x85a", "A__b//C", "İKÅa", *("".join(draw.choices("aZ9-_/ \t\x0b\x1c  ﻿Kéß中", k=draw.randrange(1, 40))) for _ in range(2000))]
+    assert [keywords.normal_form(t) for t in texts] == [defined(t) for t in texts]
+    many = [f"Topic {k}" for k in range(keywords.REMEMBERED + 5)] * 2
+    find = keywords.Extractor(L)
+    assert find.of_topics([*many, None, "", "Python"]) == [defined(t) for t in many] and len(find.named) <= keywords.REMEMBERED
+
+
+def test_keywords_are_counted_where_they_are_found(spark):
+    """One row a keyword and source leaves Python, whatever its repeats, in batches of a size that suits texts; ids that are there twice add up."""
+    text = "machine learning " * 500
+    rows = [(i, ["LLM", "llm", None], "RAG rag", text) for i in (1, 2, 2)]
+    entities = spark.createDataFrame(rows, SCHEMA)
+    observed = topics.observations(entities, L)
+    assert {(r.id, r.source, r.keyword): r.occurrences for r in observed.collect()} == {
+        (i, s, k): n * (i if i == 2 else 1) for i in (1, 2) for s, k, n in (("topics", "llm", 2), ("description", "rag", 2), ("readme", "machine-learning", 500))
+    }
+    assert "MapInArrow" in (plan := observed._jdf.queryExecution().toString()) and "Generate" not in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000

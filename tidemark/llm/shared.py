@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..scratch import dropped, new_path, saved, shared_dir
 
 __all__ = ["by_batch", "documents", "dropped", "fold", "id_text", "labels", "new_path", "ranges_for", "saved", "shared_dir", "small_batches"]
@@ -21,18 +22,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, and Arrow batches of a size that suits texts: Python tasks hold a few of them.
-
-    Spark's own sizes suit rows of numbers; settings that a user has changed stay.
-    """
-    conf = df.sparkSession.conf
-    for key, usual, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", str(4 << 20))):
-        if conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
-            conf.set(f"spark.sql.execution.arrow.{key}", own)
-    return df
-
-
 def id_text(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The id, the text (null: empty) and the columns ``keep``, whatever other columns there are."""
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
