@@ -77,3 +77,29 @@ def test_keywords_are_counted_where_they_are_found(spark):
     }
     assert "MapInArrow" in (plan := observed._jdf.queryExecution().toString()) and "Generate" not in plan
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_words_are_the_matches_of_the_token_pattern(spark):
+    """Words, hyphens and capitals against their patterns, over texts in which hyphens stand everywhere."""
+    import random
+    import re
+
+    from tidemark.functions import keywords
+
+    draw = random.Random(3)
+    parts = ["of the", "ai", "RAG", "fooBar", "http://x.y/z", *"aB9-_/ \t.\néK?", "--", " -", "- "]
+    find = keywords.Extractor(L)
+    for text in ["", "-", "- -a", "a--b-", *("".join(draw.choices(parts, k=draw.randrange(40))) for _ in range(5000))]:
+        found = find.searchable(text)
+        assert found == re.sub("[_/]+", "-", find._LINK.sub(" ", re.sub("([a-z0-9])([A-Z])", r"\1-\2", text).lower()))
+        assert find.words(found) == re.findall(keywords.TOKEN, found)
+
+
+def test_words_are_looked_up_once_a_text(spark):
+    """Repeats are counted before anything is looked up; plain words that can't be keywords aren't looked up at all."""
+    from tidemark.functions import keywords
+
+    find, asked = keywords.Extractor(L), []
+    find.known = keywords._Known(lambda w: asked.append(w) or find._of_token(w))
+    assert find("plain words, llm llm and ai-tools ai-tools " * 300, ("tokens",)) == {"llm": 600, "ai-tools": 600}
+    assert sorted(asked) == ["ai-tools", "llm"]
