@@ -103,3 +103,10 @@ def test_words_are_looked_up_once_a_text(spark):
     find.known = keywords._Known(lambda w: asked.append(w) or find._of_token(w))
     assert find("plain words, llm llm and ai-tools ai-tools " * 300, ("tokens",)) == {"llm": 600, "ai-tools": 600}
     assert sorted(asked) == ["ai-tools", "llm"]
+
+
+def test_census_holds_no_sets(spark):
+    observed, _ = assess(spark, (["llm"], "llm rag", "rag"), ([], "llm", None))
+    found = topics.census(observed)
+    assert {(r.keyword, r.entities, r.occurrences, tuple(r.sources)) for r in found.collect()} == {("llm", 2, 3, ("description", "topics")), ("rag", 1, 2, ("description", "readme"))}
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
