@@ -5,6 +5,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import counted, keywords
 from tidemark.functions.lexicon import Lexicon
@@ -64,3 +65,21 @@ def test_census_of_marked_observations_deals_keywords_only(spark):
     assert sorted(map(tuple, marked.collect())) == sorted(map(tuple, plain.collect())) == [("llm", 2, 4, ["description", "topics"]), ("rag", 2, 3, ["description", "readme", "topics"])]
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange") < plan.index("partial_count_if" if "partial_count_if" in plan else "partial_count") < plan.index("MapInArrow") and "distinct" not in plan
+
+
+def test_only_signals_leave_the_tasks(spark):
+    """Signals are told where they are found; no text is dealt for them."""
+    entities = spark.createDataFrame([(1, ["llm", "vision-agent", "ai-x", "paper"], "llm rag graph-rag rags", None), (1, ["llm"], None, "agent-vision")], SCHEMA)
+    found = topics._found(topics._given(entities, Lexicon()), Lexicon(), signals=True)
+    assert {r.keyword for r in found.collect()} == {"llm", "ai-x", "rag", "graph-rag"}
+    signals = topics.signal_observations(entities, Lexicon())
+    assert {(r.source, r.keyword): r.occurrences for r in signals.collect()} == {("topics", "llm"): 2, ("topics", "ai-x"): 1, ("description", "llm"): 1, ("description", "rag"): 1, ("description", "graph-rag"): 1}
+    plan = signals._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+
+
+def test_signals_are_those_of_the_column(spark):
+    words = ["ai", "ai-x", "x-ai", "rag", "a-rag-b", "drag", "rag-x", "llms", "x-llms", "rag.", "", "paper", "multimodal"]
+    for lexicon in (Lexicon(), LEXICON, Lexicon(signal_parts=frozenset(["r.g", "x"]))):
+        told = counted._signals(pa.array(words, pa.large_string()), lexicon).to_pylist()
+        assert told == [r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", keywords.is_signal(F.col("w"), lexicon).alias("s")).collect()]
