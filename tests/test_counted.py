@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import counted, keywords
 from tidemark.functions.lexicon import Lexicon
 from tidemark.operators import topics
+from tidemark.operators.ranking import numbered
 from tidemark.plans.topic_queries import LEXICON
 
 SCHEMA = "id long, topics array<string>, description string, readme string"
@@ -83,3 +84,16 @@ def test_signals_are_those_of_the_column(spark):
     for lexicon in (Lexicon(), LEXICON, Lexicon(signal_parts=frozenset(["r.g", "x"]))):
         told = counted._signals(pa.array(words, pa.large_string()), lexicon).to_pylist()
         assert told == [r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", keywords.is_signal(F.col("w"), lexicon).alias("s")).collect()]
+
+
+def test_observations_in_order_are_numbered_as_they_come(spark):
+    """Texts are dealt by ranges of ids; their keywords are neither dealt nor sorted again."""
+    draw = random.Random(4)
+    rows_ = [(draw.randrange(300), ["llm", draw.choice("abc")], "vision agent rag", "RAG llm") for _ in range(500)] + [(None, ["rag"], None, None)] * 2
+    entities = spark.createDataFrame(rows_, SCHEMA).repartition(7)
+    ordered = topics.marked_observations(entities, Lexicon(), ordered=True).select("id", "source", "keyword")
+    found = [tuple(r) for r in numbered(ordered, "place").orderBy("place").collect()]
+    want = sorted((tuple(r) for r in topics.observations(entities, Lexicon()).select("id", "source", "keyword").collect()), key=lambda r: (r[0] is not None, r))
+    assert found == [(*r, k) for k, r in enumerate(want, 1)]
+    plan = ordered._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+    assert plan.count("Sort [") == plan.count("Exchange range") == 1 and plan.index("MapInArrow") < plan.index("Sort [") < plan.index("Exchange")
