@@ -7,10 +7,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalogue
 from tidemark.functions import counted, keywords
 from tidemark.functions.lexicon import Lexicon
 from tidemark.operators import topics
 from tidemark.operators.ranking import numbered
+from tidemark.plans import topic_queries
 from tidemark.plans.topic_queries import LEXICON
 
 SCHEMA = "id long, topics array<string>, description string, readme string"
@@ -97,3 +99,19 @@ def test_observations_in_order_are_numbered_as_they_come(spark):
     assert found == [(*r, k) for k, r in enumerate(want, 1)]
     plan = ordered._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
     assert plan.count("Sort [") == plan.count("Exchange range") == 1 and plan.index("MapInArrow") < plan.index("Sort [") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("name", ["p9_related", "f16_score"])
+def test_scores_are_made_of_signals_only(spark, name, monkeypatch):
+    """Other keywords don't leave the tasks of the queries over scores: their rows are what the signals' step gives."""
+    sf_dir = "/root/testdata/sf0.001"
+    whole = topics.relevance(topic_queries.entities(spark, sf_dir), topic_queries.observed(spark, sf_dir), LEXICON)
+    want = whole.filter("decision = 'ai-related'").select("id") if name == "p9_related" else whole.select("id", "score", "decision")
+    asked, count = [], counted.counted_keywords
+    monkeypatch.setattr(topics, "counted_keywords", lambda lexicon, signals=False: asked.append(signals) or count(lexicon, signals))
+    found = catalogue.queries()[name](spark, sf_dir)
+    assert asked == [True]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == sorted(want.collect())
+    below = plan[plan.index("MapInArrow") :].partition("Join")[0]
+    assert "Exchange" not in below and "Sort" not in below
