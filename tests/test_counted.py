@@ -115,3 +115,16 @@ def test_scores_are_made_of_signals_only(spark, name, monkeypatch):
     assert sorted(found.collect()) == sorted(want.collect())
     below = plan[plan.index("MapInArrow") :].partition("Join")[0]
     assert "Exchange" not in below and "Sort" not in below
+
+
+def test_words_are_counted_in_parts_of_batches(monkeypatch):
+    """A worker holds the words of a few texts, whatever the batches; they are those of the token pattern."""
+    given = rows(8)[0] * 40
+    seen, parts = [], counted._Texts
+    monkeypatch.setattr(counted, "_Texts", lambda texts, find: seen.append(len(texts)) or parts(texts, find))
+    n, find = Counter(), keywords.Extractor(LEXICON)
+    for b in counted.counted_words(LEXICON)(batches(given, len(given))):
+        for r in b.to_pylist():
+            n[r["word"]] += r["n"]
+    want = Counter(LEXICON.aliases.get(w, w) for *_, d, r in given for t in (d, r) if t for w in find.words(find.searchable(t)))
+    assert n == want and len(given) > counted.AT_ONCE >= max(seen)
