@@ -133,3 +133,26 @@ def test_clashing_names(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.schema == docs.schema and [r.doc_id for r in kept.collect()] == [1]
     assert [r.component_id for r in simhash.fingerprint_report(docs).collect()] == [1, 1]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_bucket_is_broadcast(spark, monkeypatch):
+    """A table of 31 rows a class is taken to be as small as the classes; it stays out of the driver all the same."""
+    plans, write = {}, simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, name: write(df, name) if plans.setdefault(name, plan_of(df)) else None)
+    docs = spark.createDataFrame([(k, f"word{k % 5} and {k % 3} others") for k in range(40)], "doc_id long, text string")
+    assert simhash.drop_near_duplicates(docs).count() > 0
+    assert "Generate explode" in plans["buckets"] and "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]
+
+
+def test_many_ids_are_not_broadcast(spark, monkeypatch):
+    """Ids of copies are a small file and many rows: by their number they are joined by sorting."""
+    docs = spark.createDataFrame([(k // 2, "one text for all of them") for k in range(40)] + [(50, "another text that is alone")], "doc_id long, text string")
+    few = simhash.drop_near_duplicates(docs)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0, raising=False)
+    many = simhash.drop_near_duplicates(docs)
+    assert "Broadcast" in plan_of(few) and "SortMergeJoin" in plan_of(many) and "Broadcast" not in plan_of(many)
+    assert sorted(few.collect()) == sorted(many.collect()) == sorted(docs.filter("doc_id in (0, 50)").distinct().collect())

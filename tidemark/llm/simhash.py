@@ -26,6 +26,8 @@ from .shared import by_batch, dropped, id_text, saved
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Classes in one bucket, above which it is cut once more.
 BUCKET = 8192
+#: Rows of ids that Spark may broadcast, if it finds their file small: equal hashes take next to no room in a file, but do in the driver.
+BROADCAST_ROWS = 500_000
 #: The bits of every byte value, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -141,7 +143,8 @@ def links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.col("m.table").alias("table"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp"
     )
     sizes = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = saved(keyed.join(sizes, ["table", "key"]), "buckets")
+    # Spark takes an exploded table to be as small as what it is made from, and would broadcast it
+    shared = saved(keyed.join(sizes.hint("merge"), ["table", "key"]), "buckets")
     small = shared.filter(F.col("n") <= bucket).select("table", F.lit(0).cast("byte").alias("inner"), "key", "fp")
     inner = F.array(*(F.array(*(F.struct(F.lit(i + 1).cast("byte").alias("inner"), F.lit(m).alias("mask")) for i, m in enumerate(ms))) for ms in INNER))
     large = shared.filter(F.col("n") > bucket).select("table", "key", "fp", F.explode(inner[F.col("table")]).alias("m")).select(
@@ -205,6 +208,12 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
+def _listed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written; too many rows for the driver are joined by sorting, however small their file."""
+    ids = saved(df, name)
+    return ids.hint("merge") if ids.count() > BROADCAST_ROWS else ids
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component, all its columns: that with the smallest id, and of those the one with the smallest hash of its text.
 
@@ -215,11 +224,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs).filter("doc_id is not null")
     times = saved(found.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n")), "near")
     first = times.groupBy("root").agg(F.min(F.struct("doc_id", "hash", "n")).alias("first")).select("root", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash"), F.col("first.n").alias("n"))
-    gone = times.join(first, ["root", "doc_id", "hash"], "left_anti").select("doc_id", "hash")
+    gone = _listed(times.join(first, ["root", "doc_id", "hash"], "left_anti").select("doc_id", "hash"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash_"))
     of = lambda keys: (F.col("id_") == keys["doc_id"]) & (F.col("hash_") == keys["hash"])
     kept = rows.join(gone, of(gone), "left_anti")
-    several = saved(first.filter("n > 1").select("doc_id", "hash"), "several")
+    several = _listed(first.filter("n > 1").select("doc_id", "hash"), "several")
     if several.isEmpty():
         return kept.select("row.*")
     one = kept.join(several, of(several), "left_semi").groupBy("id_", "hash_").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
