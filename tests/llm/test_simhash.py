@@ -156,3 +156,10 @@ def test_many_ids_are_not_broadcast(spark, monkeypatch):
     many = simhash.drop_near_duplicates(docs)
     assert "Broadcast" in plan_of(few) and "SortMergeJoin" in plan_of(many) and "Broadcast" not in plan_of(many)
     assert sorted(few.collect()) == sorted(many.collect()) == sorted(docs.filter("doc_id in (0, 50)").distinct().collect())
+
+
+def test_fingerprints_of_all_documents_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(k, "one text for all of them") for k in range(40)], "doc_id long, text string")
+    found = simhash.fingerprint_report(docs)
+    assert "SortMergeJoin" in plan_of(found).partition("BroadcastHashJoin")[0]
+    assert {r.component_id for r in found.collect()} == {0} and found.count() == 40

@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     found = components(links(classes, bucket))
     rooted = saved(classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "hash", "fp", "root", "component_id")
+    # a row for each document: repeated texts make its file small, not its rows in the driver
+    return prints.hint("merge").join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
 def _listed(df: DataFrame, name: str) -> DataFrame:
