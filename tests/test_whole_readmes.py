@@ -7,7 +7,7 @@ import pytest
 
 from tidemark import catalogue
 
-NAMES = ["a14_observations"]
+NAMES = ["a14_observations", "a15_census"]
 
 
 @pytest.fixture(scope="module")
