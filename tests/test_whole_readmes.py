@@ -7,7 +7,7 @@ import pytest
 
 from tidemark import catalogue
 
-NAMES = ["a14_observations", "a15_census"]
+NAMES = ["a14_observations", "a15_census", "a18_related_counts"]
 
 
 @pytest.fixture(scope="module")
