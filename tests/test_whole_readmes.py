@@ -7,7 +7,7 @@ import pytest
 
 from tidemark import catalogue
 
-NAMES = ["a14_observations", "a15_census", "a18_related_counts"]
+NAMES = ["a14_observations", "a15_census", "a18_related_counts", "a19_primary_community"]
 
 
 @pytest.fixture(scope="module")
