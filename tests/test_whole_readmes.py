@@ -7,7 +7,7 @@ import pytest
 
 from tidemark import catalogue
 
-NAMES = ["a14_observations", "a15_census", "a18_related_counts", "a19_primary_community", "a20_communities", "f11_signals", "f16_evidence", "f16_score", "f17_confidence", "f19_label", "f9_compounds", "j13_district", "o3_census_top", "o5_community_order", "p19_readme_needed"]
+NAMES = ["a14_observations", "a15_census", "a18_related_counts", "a19_primary_community", "a20_communities", "f11_signals", "f16_evidence", "f16_score", "f17_confidence", "f19_label", "f9_compounds", "j13_district", "o3_census_top", "o5_community_order", "p19_readme_needed", "p9_related"]
 
 
 @pytest.fixture(scope="module")
